@@ -78,14 +78,11 @@ _quartiles = union_sql(
 
 
 def quartiles_approx(spark, folder):
-    """Quartiles of the one-scan statistics are within a hundredth of their rank."""
+    """The quartiles of the one-pass statistics are within a hundredth of their rank."""
     rows = table(spark, folder, "lineitem").select("l_extendedprice")
-    stats = describe.numeric_stats(rows, accuracy=100)
-    cuts = F.array(
-        *[F.struct(F.lit(p).alias("probability"), F.col(c).alias("value"))
-          for p, c in zip(_QUARTILES, ("q1", "median", "q3"))]
-    )
-    errors = quantiles.rank_error(rows, "l_extendedprice", stats.select(F.inline(cuts)))
+    cuts = describe.numeric_stats(rows, quantile_error=0.002).first()
+    estimates = [(p, cuts[c]) for p, c in zip(_QUARTILES, ("q1", "median", "q3"))]
+    errors = quantiles.rank_error(rows, "l_extendedprice", estimates)
     return errors.select("probability", (F.col("rank_error") <= 0.01).alias("close"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprof.columns import (
@@ -12,78 +12,83 @@ from sparkprof.columns import (
     is_floating,
     numeric_columns,
     qcol,
+    quoted,
     require_columns,
     require_numeric,
     string_columns,
 )
-from sparkprof.functions.missing import finite_or_null, nan_to_null
 from sparkprof.functions.text import display_stat, or_default
+from sparkprof.operators.quantiles import sketched_quantiles
 
-QUARTILES = (0.25, 0.5, 0.75)
+QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_SCAN = 100
 DECIMALS = 4
 SHORT_TEXT = 64
 
 
 def numeric_stats(
-    df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000
+    df: DataFrame, columns: list[str] | None = None, quantile_error: float = 0.001
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles, one row per column.
 
-    One aggregate over one column-pruned scan serves all columns.  NaN is left
-    out like NULL and counted in ``nan_count``; a statistic that is not finite
-    is NULL.  Quartiles are within ``1 / accuracy`` of the asked rank; the state
-    kept per column does not grow with the rows.  ``min_text`` and ``max_text``
-    keep the digits a double would lose.
+    All columns share one compiled aggregate and one of quantile sketches, each
+    over a column-pruned scan.  NaN is left out like NULL and counted in
+    ``nan_count``; a statistic that is not finite is NULL.  Quartiles are within
+    ``quantile_error`` of their rank; ``exact_quantiles`` gives them exactly.
+    ``min_text`` and ``max_text`` keep the digits a double would lose.
     """
     columns = numeric_columns(df) if columns is None else columns
     for name in columns:
         require_numeric(df, name)
-    parts = [_numeric_group(df, group, accuracy) for group in in_groups(columns, COLUMNS_PER_SCAN)]
+    parts = [
+        _numeric_group(df, group, quantile_error) for group in in_groups(columns, COLUMNS_PER_SCAN)
+    ]
     return reduce(DataFrame.unionAll, parts)
 
 
-def _numeric_group(df: DataFrame, columns: list[str], accuracy: int) -> DataFrame:
-    aggregates, entries = [], []
+def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) -> DataFrame:
+    # Written as SQL text: a wide table makes many expressions, and text is
+    # handed to the engine at once.
+    values, aggregates, sketches, entries = [], [], [], []
     for i, name in enumerate(columns):
-        floating = is_floating(df.schema[name].dataType)
-        value = nan_to_null(qcol(name)) if floating else qcol(name)
-        nans = F.count_if(F.isnan(qcol(name))) if floating else F.lit(0).cast("bigint")
-        number = value.cast("double")
-        cuts = F.percentile_approx(number, list(QUARTILES), accuracy)
-        parts = {
-            "count": F.count(value),
-            "nan_count": nans,
-            "mean": F.avg(value).cast("double"),
-            "std": F.stddev_samp(number),
-            "min": F.min(value),
-            "max": F.max(value),
-            "cuts": cuts,
-        }
-        aggregates.append(F.struct(*[p.alias(k) for k, p in parts.items()]).alias(f"s{i}"))
-        got = lambda key, i=i: F.col(f"s{i}.{key}")
+        column = quoted(name)
+        nan = f"isnan({column})" if is_floating(df.schema[name].dataType) else "false"
+        values += [
+            f"if({nan}, NULL, {column}) AS v{i}",
+            f"double(if({nan}, NULL, {column})) AS d{i}",
+            f"{nan} AS nan{i}",
+        ]
+        aggregates += [
+            f"count(v{i}) AS count_{i}",
+            f"count_if(nan{i}) AS nans_{i}",
+            f"double(avg(v{i})) AS mean_{i}",
+            f"stddev_samp(d{i}) AS std_{i}",
+            f"min(v{i}) AS min_{i}",
+            f"max(v{i}) AS max_{i}",
+        ]
+        sketches.append(f"{sketched_quantiles(f'd{i}', QUARTILES, quantile_error)} AS cuts_{i}")
+        cut = [f"round({_finite(f'cuts.cuts_{i}[{k}]')}, {DECIMALS})" for k in range(3)]
+        label = name.replace("\\", "\\\\").replace("'", "\\'")
         entries.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                got("count").alias("count"),
-                got("nan_count").alias("nan_count"),
-                _rounded(got("mean")).alias("mean"),
-                _rounded(got("std")).alias("std"),
-                finite_or_null(got("min").cast("double")).alias("min"),
-                *[
-                    _rounded(F.get(got("cuts"), F.lit(k))).alias(cut)
-                    for k, cut in enumerate(("q1", "median", "q3"))
-                ],
-                finite_or_null(got("max").cast("double")).alias("max"),
-                got("min").cast("string").alias("min_text"),
-                got("max").cast("string").alias("max_text"),
-            )
+            f"struct('{label}' AS column, count_{i} AS count, nans_{i} AS nan_count, "
+            f"round({_finite(f'mean_{i}')}, {DECIMALS}) AS mean, "
+            f"round({_finite(f'std_{i}')}, {DECIMALS}) AS std, "
+            f"{_finite(f'double(min_{i})')} AS min, "
+            f"{cut[0]} AS q1, {cut[1]} AS median, {cut[2]} AS q3, "
+            f"{_finite(f'double(max_{i})')} AS max, "
+            f"string(min_{i}) AS min_text, string(max_{i}) AS max_text)"
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    numbers = df.selectExpr(*values)
+    # Sketches would keep the other aggregates from being compiled, so they are
+    # an aggregate of their own: a scalar of the plan.
+    cuts = numbers.selectExpr(*sketches)
+    cuts = cuts.select(F.struct("*")).scalar()
+    rows = numbers.selectExpr(*aggregates).withColumn("cuts", cuts)
+    return rows.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
-def _rounded(value: Column) -> Column:
-    return F.round(finite_or_null(value), DECIMALS)
+def _finite(value: str) -> str:
+    return f"if(abs({value}) < double('inf'), {value}, NULL)"
 
 
 def _long_form(df: DataFrame, columns: list[str] | None) -> DataFrame:
