@@ -20,7 +20,7 @@ def numeric_stats(spark, folder):
 
 _numeric_stats = union_sql(
     f"""SELECT '{c}' AS "column", count({c})::BIGINT AS "count", 0::BIGINT AS nan_count,
-  round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+  printf('%.4f', avg({c}))::DOUBLE AS mean, printf('%.4f', stddev_samp({c}))::DOUBLE AS std,
   min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem"""
     for c in _NUMERIC
 )
@@ -39,12 +39,12 @@ def numeric_stats_missing(spark, folder):
 
 _numeric_stats_missing = """
 SELECT 'with_nulls' AS "column", count(v)::BIGINT AS "count", 0::BIGINT AS nan_count,
-  round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min, max(v) AS max
+  printf('%.4f', avg(v))::DOUBLE AS mean, printf('%.4f', stddev_samp(v))::DOUBLE AS std, min(v) AS min, max(v) AS max
 FROM (SELECT nullif(l_discount, 0.0) AS v FROM lineitem)
 UNION ALL
 SELECT 'with_nans', count(l_tax) FILTER (l_linenumber <> 1), count(*) FILTER (l_linenumber = 1),
-  round(avg(l_tax) FILTER (l_linenumber <> 1), 4),
-  round(stddev_samp(l_tax) FILTER (l_linenumber <> 1), 4),
+  printf('%.4f', avg(l_tax) FILTER (l_linenumber <> 1))::DOUBLE,
+  printf('%.4f', stddev_samp(l_tax) FILTER (l_linenumber <> 1))::DOUBLE,
   min(l_tax) FILTER (l_linenumber <> 1), max(l_tax) FILTER (l_linenumber <> 1) FROM lineitem
 UNION ALL
 SELECT 'empty', 0, 0, NULL, NULL, NULL, NULL FROM (SELECT count(*) FROM lineitem)"""
@@ -59,7 +59,7 @@ def stats_table(spark, folder):
 
 _stats_table = union_sql(
     f"""SELECT '{c}' AS "column", count({c})::BIGINT AS "count",
-  printf('%.4f', round(avg({c}), 4)) AS mean, printf('%.4f', round(stddev_samp({c}), 4)) AS std,
+  printf('%.4f', avg({c})) AS mean, printf('%.4f', stddev_samp({c})) AS std,
   printf('%.4f', min({c})::DOUBLE) AS min, printf('%.4f', max({c})::DOUBLE) AS max FROM orders"""
     for c in ("o_orderkey", "o_custkey", "o_totalprice")
 )
@@ -232,7 +232,7 @@ edges AS (SELECT i AS bin, low + i * w AS lo, low + (i + 1) * w AS hi FROM
   (SELECT low, CASE WHEN high <> low THEN (high - low) / {bins} ELSE 1.0::DOUBLE END AS w FROM span),
   range({bins}) AS r(i) WHERE low IS NOT NULL)
 SELECT bin::INTEGER AS bin, printf('%.2f', lo) || '-' || printf('%.2f', hi) AS label,
-  count(x)::BIGINT AS "count", round(lo, 4) AS min, round(hi, 4) AS max
+  count(x)::BIGINT AS "count", printf('%.4f', lo)::DOUBLE AS min, printf('%.4f', hi)::DOUBLE AS max
 FROM edges LEFT JOIN rows ON x >= lo AND (x < hi OR bin = {bins - 1}) GROUP BY ALL"""
 
 

@@ -1 +1,165 @@
-QUERIES = {}
+"""Readers and writers: each query writes a whole table and reads it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from checks.inputs import table
+from sparkprof.scratch import new_path
+from sparkprof.sources import admission, delimited, json_records, workbooks
+
+
+def csv_roundtrip(spark, folder):
+    """Texts with quotes, separators and line breaks, types inferred."""
+    path = new_path(spark, "csv")
+    delimited.write_csv(table(spark, folder, "documents"), path)
+    rows = delimited.read_csv(spark, path)
+    return rows.select(
+        F.col("doc_id").cast("bigint"), "text", "lang", "source", F.col("n_chars").cast("bigint")
+    )
+
+
+_csv_roundtrip = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+def csv_splittable(spark, folder):
+    """A declared schema and no quoted line breaks: files are split, none is read twice."""
+    path = new_path(spark, "csv")
+    orders = table(spark, folder, "orders").drop("o_orderdate")
+    delimited.write_csv(orders, path)
+    return delimited.read_csv(spark, path, schema=orders.schema, quoted_newlines=False)
+
+
+_csv_splittable = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+FROM orders"""
+
+
+def _documents(rows: DataFrame, path: str) -> None:
+    """Writes one JSON document per batch of rows, as a client would send them."""
+
+    def pack(batches):
+        import json
+
+        import pandas
+
+        for batch in batches:
+            records = [json.loads(r) for r in batch["record"]]
+            document = {"name": "events", "data": records}
+            yield pandas.DataFrame({"value": [json.dumps(document)]})
+
+    record = json_records.json_record(rows).alias("record")
+    packed = rows.select(record).mapInPandas(pack, "value string")
+    # One document per file is what the reader expects.
+    packed.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def json_records_in(spark, folder):
+    path = new_path(spark, "json")
+    events = table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", "value",
+        F.expr("nullif(props, '{\"k\": 1}')").alias("props"),
+    )
+    _documents(events, path)
+    return json_records.read_json_records(spark, path)
+
+
+_json_records_in = """SELECT 'events' AS dataset_name, event_id, user_id, event_type, value,
+  nullif(props, '{"k": 1}') AS props FROM events"""
+
+
+def json_records_out(spark, folder):
+    """Written as JSON lines, NaN as null, and read back with a schema."""
+    path = new_path(spark, "lines")
+    events = table(spark, folder, "events").select(
+        "event_id", "event_type",
+        F.expr("if(user_id % 5 = 0, double('NaN'), value)").alias("value"),
+    )
+    json_records.write_json_records(events, path)
+    return json_records.read_json_lines(spark, path, events.schema)
+
+
+_json_records_out = """SELECT event_id, event_type,
+  CASE WHEN user_id % 5 <> 0 THEN value END AS value FROM events"""
+
+_NAMES = """concat(source, CASE doc_id % 5 WHEN 0 THEN '/a.csv' WHEN 1 THEN '/b.XLSX'
+  WHEN 2 THEN '/c.parquet' WHEN 3 THEN '/no_dot' ELSE '/d.xls' END)"""
+
+
+def file_admission(spark, folder):
+    """Every document as a listed file whose size spans the limit."""
+    files = table(spark, folder, "documents").select(
+        "doc_id", F.expr(_NAMES).alias("path"), F.expr("n_chars * 50000").alias("length")
+    )
+    return admission.admit(files)
+
+
+_file_admission = f"""WITH files AS (
+  SELECT doc_id, {_NAMES} AS path, n_chars * 50000 AS length FROM documents),
+known AS (SELECT *, regexp_matches(lower(path), '\\.(csv|xlsx|xls)$') AS k FROM files)
+SELECT doc_id, path, length, k AND length <= 104857600 AS accepted,
+  CASE WHEN NOT k THEN 'extension' WHEN length > 104857600 THEN 'size' END AS reason FROM known"""
+
+
+def _workbooks(rows: DataFrame) -> DataFrame:
+    """(path, content): one workbook per batch of rows, text inline."""
+    names = rows.columns
+
+    def pack(batches):
+        import io
+        import uuid
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pandas
+
+        space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        package = "http://schemas.openxmlformats.org/package/2006/relationships"
+        book = (f'<workbook xmlns="{space}" xmlns:r="{links}"><sheets>'
+                '<sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        relations = (f'<Relationships xmlns="{package}"><Relationship Id="rId1" '
+                     f'Type="{links}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+
+        def cell(value):
+            if isinstance(value, str):
+                return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+            return f"<c><v>{value!r}</v></c>"
+
+        for batch in batches:
+            lines = ["".join(cell(n) for n in names)]
+            columns = [batch[n].tolist() for n in names]
+            lines += ["".join(map(cell, row)) for row in zip(*columns)]
+            data = "".join(f'<row r="{i}">{line}</row>' for i, line in enumerate(lines, 1))
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("xl/workbook.xml", book)
+                archive.writestr("xl/_rels/workbook.xml.rels", relations)
+                archive.writestr(
+                    "xl/worksheets/sheet1.xml",
+                    f'<worksheet xmlns="{space}"><sheetData>{data}</sheetData></worksheet>',
+                )
+            name = f"{uuid.uuid4().hex}.xlsx"
+            yield pandas.DataFrame({"path": [name], "content": [buffer.getvalue()]})
+
+    return rows.mapInPandas(pack, "path string, content binary")
+
+
+def xlsx_ingest(spark, folder):
+    """Every customer, packed into workbooks and read from them."""
+    customers = table(spark, folder, "customer")
+    rows = workbooks.read_workbooks(_workbooks(customers), customers.schema)
+    return rows.drop("path", "row_number")
+
+
+_xlsx_ingest = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+QUERIES = {
+    "csv_roundtrip": (csv_roundtrip, _csv_roundtrip),
+    "csv_splittable": (csv_splittable, _csv_splittable),
+    "json_records": (json_records_in, _json_records_in),
+    "json_records_out": (json_records_out, _json_records_out),
+    "file_admission": (file_admission, _file_admission),
+    "xlsx_ingest": (xlsx_ingest, _xlsx_ingest),
+}

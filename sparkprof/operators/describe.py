@@ -17,12 +17,14 @@ from sparkprof.columns import (
     require_numeric,
     string_columns,
 )
+from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import display_stat, or_default
 from sparkprof.operators.quantiles import sketched_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_SCAN = 100
 DECIMALS = 4
+ROUNDED = ("mean", "std", "q1", "median", "q3")
 SHORT_TEXT = 64
 
 
@@ -67,12 +69,11 @@ def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) ->
             f"max(v{i}) AS max_{i}",
         ]
         sketches.append(f"{sketched_quantiles(f'd{i}', QUARTILES, quantile_error)} AS cuts_{i}")
-        cut = [f"round({_finite(f'cuts.cuts_{i}[{k}]')}, {DECIMALS})" for k in range(3)]
+        cut = [_finite(f"cuts.cuts_{i}[{k}]") for k in range(3)]
         label = name.replace("\\", "\\\\").replace("'", "\\'")
         entries.append(
             f"struct('{label}' AS column, count_{i} AS count, nans_{i} AS nan_count, "
-            f"round({_finite(f'mean_{i}')}, {DECIMALS}) AS mean, "
-            f"round({_finite(f'std_{i}')}, {DECIMALS}) AS std, "
+            f"{_finite(f'mean_{i}')} AS mean, {_finite(f'std_{i}')} AS std, "
             f"{_finite(f'double(min_{i})')} AS min, "
             f"{cut[0]} AS q1, {cut[1]} AS median, {cut[2]} AS q3, "
             f"{_finite(f'double(max_{i})')} AS max, "
@@ -84,7 +85,8 @@ def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) ->
     cuts = numbers.selectExpr(*sketches)
     cuts = cuts.select(F.struct("*")).scalar()
     rows = numbers.selectExpr(*aggregates).withColumn("cuts", cuts)
-    return rows.selectExpr(f"inline(array({', '.join(entries)}))")
+    stats = rows.selectExpr(f"inline(array({', '.join(entries)}))")
+    return stats.withColumns({c: rounded(F.col(c), DECIMALS) for c in ROUNDED})
 
 
 def _finite(value: str) -> str:

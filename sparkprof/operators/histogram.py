@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol, require_numeric
 from sparkprof.functions.missing import finite_or_null
+from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import range_label
 
 MAX_BINS = 100
@@ -59,6 +60,6 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         "bin",
         range_label(lower, upper).alias("label"),
         F.coalesce("n", F.lit(0)).alias("count"),
-        F.round(lower, DECIMALS).alias("min"),
-        F.round(upper, DECIMALS).alias("max"),
+        rounded(lower, DECIMALS).alias("min"),
+        rounded(upper, DECIMALS).alias("max"),
     )

@@ -12,18 +12,17 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkprof.operators.profile import profile
 
-RUN_SCHEMA = T.StructType.fromDDL(
+RUN_SCHEMA = (
     "id string, name string, model_type string, algorithm string, features array<string>, "
     "target string, params map<string,string>, metrics map<string,double>, "
     "confusion_matrix array<array<bigint>>, feature_importance map<string,double>, "
     "dataset_id string, train_size bigint, test_size bigint, created_at timestamp_ntz, "
     "model_path string"
 )
-DATASET_SCHEMA = T.StructType.fromDDL(
+DATASET_SCHEMA = (
     "id string, filename string, path string, created_at timestamp_ntz, row_count bigint, "
     "column_count int, columns array<struct<name:string,type:string,spark_type:string,"
     "nullable:boolean,null_count:bigint,non_null_count:bigint>>"
@@ -42,9 +41,8 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def open_registry(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    change = T.StructType(schema.fields).add("op", "string").add("updated_at", "timestamp_ntz")
-    return spark.read.schema(change).parquet(path)
+def open_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, op string, updated_at timestamp_ntz").parquet(path)
 
 
 def current(registry: DataFrame, key: str = "id") -> DataFrame:

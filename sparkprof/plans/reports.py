@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprof.columns import quoted
+from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import NOT_AVAILABLE, UNKNOWN, or_default, short_id, title_case
 from sparkprof.operators.paging import preview
 from sparkprof.plans.registry import get
@@ -127,7 +128,7 @@ def metrics(runs: DataFrame) -> DataFrame:
     """(id, metric, value): the scalar metrics of each run."""
     exploded = runs.select("id", F.explode("metrics").alias("name", "raw"))
     return exploded.select(
-        "id", title_case(F.col("name")).alias("metric"), F.round("raw", DECIMALS).alias("value")
+        "id", title_case(F.col("name")).alias("metric"), rounded(F.col("raw"), DECIMALS).alias("value")
     )
 
 
@@ -161,7 +162,7 @@ def metrics_comparison(runs: DataFrame) -> DataFrame:
     cells = []
     for model_type, names in KEY_METRICS.items():
         for name, title in names.items():
-            value = or_default(F.round(F.try_element_at("metrics", F.lit(name)), DECIMALS))
+            value = or_default(rounded(F.try_element_at("metrics", F.lit(name)), DECIMALS))
             cells.append(F.when(F.col("model_type") == model_type, value).alias(title))
     return runs.select(
         short_id(F.col("id"), COMPARED_ID).alias("Model ID"),
@@ -192,7 +193,7 @@ def type_comparison(
         short_id(F.col("id"), DETAILED_ID).alias("Model ID"),
         F.col("algorithm").alias("Algorithm"),
         *[
-            or_default(F.round(F.try_element_at("metrics", F.lit(n)), DECIMALS)).alias(t)
+            or_default(rounded(F.try_element_at("metrics", F.lit(n)), DECIMALS)).alias(t)
             for n, t in zip(names, titles)
         ],
     )
