@@ -1 +1,451 @@
-QUERIES = {}
+"""Preparation, training, scoring and evaluation over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from checks.inputs import PREDICTIONS_SQL, hash_split_sql, predictions, table
+from sparkprof.operators import evaluate, features, indexing
+from sparkprof.plans.training import SCALED, TrainedModel, TrainSpec, feature_stages, train
+from sparkprof.scratch import new_path
+
+_LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _nullable_orders(spark, folder):
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.expr("nullif(o_orderstatus, 'F')").alias("status"),
+        F.expr("if(o_custkey % 4 = 0, double('NaN'), o_totalprice)").alias("price"),
+        "o_orderpriority",
+    )
+
+
+def select_columns(spark, folder):
+    orders = table(spark, folder, "orders")
+    return features.select_columns(orders, ["o_totalprice", "o_custkey"], "o_orderstatus")
+
+
+_select_columns = "SELECT o_totalprice, o_custkey, o_orderstatus FROM orders"
+
+
+def dropna_rows(spark, folder):
+    """Rows with a NULL or a NaN in the chosen columns go."""
+    return features.drop_incomplete(_nullable_orders(spark, folder), ["status", "price"])
+
+
+_dropna_rows = """SELECT o_orderkey, o_orderstatus AS status, o_totalprice AS price, o_orderpriority
+FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 4 <> 0"""
+
+
+def label_projection(spark, folder):
+    """Numbers and booleans as labels, every column kept."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", (F.col("o_totalprice") > 50_000).alias("large")
+    )
+    numbers = features.with_label(rows, "o_custkey", "number_label")
+    return features.with_label(numbers, "large")
+
+
+_label_projection = """SELECT o_orderkey, o_custkey, o_totalprice > 50000 AS large,
+  o_custkey::DOUBLE AS number_label, (o_totalprice > 50000)::INT::DOUBLE AS label FROM orders"""
+
+
+def split_sizes(spark, folder):
+    rows = table(spark, folder, "lineitem")
+    return features.split_sizes(rows, features.in_train(_LINE_KEY, 0.3))
+
+
+_split_sizes = f"""SELECT count(*) FILTER (t)::BIGINT AS train_size,
+  count(*) FILTER (NOT t)::BIGINT AS test_size
+FROM (SELECT {hash_split_sql(_LINE_KEY, 0.3)} AS t FROM lineitem)"""
+
+
+def split_rows(spark, folder):
+    """The same rows whatever the partitioning."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    train_rows, test_rows = features.hash_split(orders.repartition(7), ["o_orderkey"], 0.2)
+    return train_rows.withColumn("side", F.lit("train")).unionAll(
+        test_rows.withColumn("side", F.lit("test"))
+    )
+
+
+_split_rows = f"""SELECT o_orderkey, o_custkey,
+  CASE WHEN {hash_split_sql(['o_orderkey'], 0.2)} THEN 'train' ELSE 'test' END AS side FROM orders"""
+
+
+def string_index(spark, folder):
+    """Values by frequency, ties alphabetical."""
+    return indexing.index_values(table(spark, folder, "documents"), "source")
+
+
+_string_index = """SELECT source AS value, count(*)::BIGINT AS n,
+  row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS "index" FROM documents GROUP BY source"""
+
+
+def string_index_rows(spark, folder):
+    """Rows with their index: hot values matched in place, rare and unknown ones too."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_name")
+    values = indexing.index_values(parts.filter("p_name <> 'red widget'"), "p_name")
+    asked = parts.withColumn("p_name", F.expr("nullif(p_name, 'blue bolt')"))
+    return indexing.apply_index(asked, "p_name", values, hot_values=10)
+
+
+_string_index_rows = """WITH ix AS (SELECT p_name, row_number() OVER (ORDER BY count(*) DESC, p_name) - 1 AS i
+  FROM part WHERE p_name <> 'red widget' GROUP BY p_name),
+asked AS (SELECT p_partkey, nullif(p_name, 'blue bolt') AS p_name FROM part)
+SELECT p_partkey, p_name, coalesce(i, (SELECT count(*) FROM ix))::DOUBLE AS p_name_indexed
+FROM asked LEFT JOIN ix USING (p_name)"""
+
+
+def _prepared(rows, names):
+    fitted = Pipeline(stages=feature_stages(rows, names)).fit(rows)
+    return fitted.transform(rows)
+
+
+def assemble(spark, folder):
+    """Numbers first, then indexed strings; rows with missing numbers are skipped."""
+    rows = table(spark, folder, "lineitem").select(
+        *_LINE_KEY, "l_returnflag", "l_quantity",
+        F.expr("nullif(l_discount, 0.0D)").alias("discount"),
+    )
+    vectors = _prepared(rows, ["l_returnflag", "l_quantity", "discount"])
+    parts = vector_to_array("_assembled")
+    return vectors.select(
+        *_LINE_KEY, *[parts[i].alias(n) for i, n in enumerate(("quantity", "discount", "flag"))]
+    )
+
+
+_assemble = f"""WITH ix AS (SELECT l_returnflag, row_number() OVER
+    (ORDER BY count(*) DESC, l_returnflag) - 1 AS i FROM lineitem GROUP BY l_returnflag)
+SELECT {', '.join(_LINE_KEY)}, l_quantity AS quantity, l_discount AS discount, i::DOUBLE AS flag
+FROM lineitem JOIN ix USING (l_returnflag) WHERE l_discount <> 0"""
+
+
+def standard_scale(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    scaled = vector_to_array(SCALED)
+    return _prepared(rows, ["o_totalprice", "o_custkey"]).select(
+        "o_orderkey", F.round(scaled[0], 4).alias("price"), F.round(scaled[1], 4).alias("customer")
+    )
+
+
+_standard_scale = """SELECT o_orderkey,
+  round(o_totalprice / (SELECT stddev_samp(o_totalprice) FROM orders), 4) AS price,
+  round(o_custkey / (SELECT stddev_samp(o_custkey) FROM orders), 4) AS customer FROM orders"""
+
+
+def confusion_matrix(spark, folder):
+    """Three actual classes and one that is only predicted."""
+    counts = evaluate.confusion_counts(predictions(spark, folder))
+    return evaluate.confusion_cells(evaluate.confusion_matrix(counts))
+
+
+def _confusion_sql(classes: int) -> str:
+    return f"""WITH {PREDICTIONS_SQL} SELECT 'Actual ' || a AS actual, 'Predicted ' || p AS predicted,
+  count(label)::BIGINT AS n FROM range({classes}) AS x(a) CROSS JOIN range({classes}) AS y(p)
+  LEFT JOIN predictions ON label = a AND prediction = p GROUP BY ALL"""
+
+
+def confusion_matrix_actual(spark, folder):
+    """Only the classes that occur as labels."""
+    counts = evaluate.confusion_counts(predictions(spark, folder))
+    return evaluate.confusion_cells(evaluate.confusion_matrix(counts, actual_only=True))
+
+
+def classification_metrics(spark, folder):
+    found = evaluate.classification_metrics(evaluate.confusion_counts(predictions(spark, folder)))
+    return found.select([F.round(c, 6).alias(c) for c in found.columns])
+
+
+_classification_metrics = f"""WITH {PREDICTIONS_SQL}, classes AS (
+  SELECT c::DOUBLE AS c, count(*) FILTER (label = c AND prediction = c) AS hits,
+    count(*) FILTER (label = c) AS actual, count(*) FILTER (prediction = c) AS predicted
+  FROM predictions, range(4) AS r(c) GROUP BY c),
+scores AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS p,
+  CASE WHEN actual > 0 THEN hits / actual ELSE 0 END AS r FROM classes)
+SELECT round(sum(hits) / sum(actual), 6) AS accuracy,
+  round(sum(actual * p) / sum(actual), 6) AS precision,
+  round(sum(actual * r) / sum(actual), 6) AS recall,
+  round(sum(actual * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / sum(actual), 6) AS f1
+FROM scores"""
+
+
+def _scored(spark, folder):
+    return table(spark, folder, "lineitem").select(
+        (F.col("l_linestatus") == "O").cast("int").alias("label"), "l_extendedprice", "l_quantity"
+    )
+
+
+def roc_auc(spark, folder):
+    """A score that is nearly unique and one with many ties."""
+    rows = _scored(spark, folder)
+    parts = [
+        evaluate.roc_auc(rows, name).select(
+            F.lit(name).alias("score"), F.round("roc_auc", 8).alias("roc_auc")
+        )
+        for name in ("l_extendedprice", "l_quantity")
+    ]
+    return parts[0].unionAll(parts[1])
+
+
+_roc_auc = " UNION ALL ".join(
+    f"""SELECT '{s}' AS score, round(sum(p * (below + n / 2)) / (sum(p)::DOUBLE * sum(n)), 8) AS roc_auc
+FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
+    AND 1 PRECEDING), 0)::DOUBLE AS below
+  FROM (SELECT {s} AS s, count(*) FILTER (l_linestatus = 'O')::DOUBLE AS p,
+    count(*) FILTER (l_linestatus <> 'O')::DOUBLE AS n FROM lineitem GROUP BY 1))"""
+    for s in ("l_extendedprice", "l_quantity")
+)
+
+
+def regression_metrics(spark, folder):
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction")
+    )
+    found = evaluate.regression_metrics(rows)
+    return found.select([F.round(c, 4).alias(c) for c in found.columns])
+
+
+_regression_metrics = """SELECT round(sqrt(avg((p - l) ** 2)), 4) AS rmse, round(avg(abs(p - l)), 4) AS mae,
+  round(1 - sum((l - p) ** 2) / (var_pop(l) * count(*)), 4) AS r2
+FROM (SELECT l_extendedprice AS l, l_quantity * 1500 AS p FROM lineitem)"""
+
+
+def predicted_vs_actual(spark, folder):
+    return evaluate.predicted_vs_actual(predictions(spark, folder), ["o_orderkey"])
+
+
+_predicted_vs_actual = f"""WITH {PREDICTIONS_SQL} SELECT o_orderkey, label::DOUBLE AS actual,
+  prediction AS predicted FROM predictions ORDER BY o_orderkey LIMIT 100"""
+
+
+def linreg_coefficients(spark, folder):
+    """A closed form: slope and intercept over the whole table."""
+    rows = features.with_label(
+        table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice"), "l_extendedprice"
+    )
+    stages = feature_stages(rows, ["l_quantity"])
+    fitted = Pipeline(stages=[*stages, LinearRegression(featuresCol=SCALED)]).fit(rows)
+    slope = float(fitted.stages[-1].coefficients[0] / fitted.stages[-2].std[0])
+    values = (slope, float(fitted.stages[-1].intercept))
+    return rows.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.round(F.lit(values[0]), 5).alias("slope"), F.round(F.lit(values[1]), 3).alias("intercept")
+    )
+
+
+_linreg_coefficients = """SELECT count(*)::BIGINT AS "rows",
+  round(regr_slope(l_extendedprice, l_quantity), 5) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem"""
+
+
+# Training: sizes are exact, metrics are checked against their bounds.
+_BOUNDED = ("accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+def _trained(df, **spec):
+    run = train(df, TrainSpec(**spec)).run
+    bounded = [F.coalesce(F.try_element_at("metrics", F.lit(m)).between(0, 1), F.lit(True))
+               for m in _BOUNDED]
+    sound = F.map_values("metrics")
+    sound = F.forall(sound, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size("metrics") >= 3)
+    for check in bounded:
+        sound = sound & check
+    cells = F.aggregate(
+        F.flatten("confusion_matrix"), F.lit(0).cast("bigint"), lambda a, n: a + n
+    )
+    return run.select(
+        "model_type", "algorithm", "target", F.size("features").alias("features"),
+        "train_size", "test_size", sound.alias("metrics_sound"),
+        F.coalesce(cells == F.col("test_size"), F.lit(True)).alias("matrix_complete"),
+    )
+
+
+def _trained_sql(source, key, test_size, model_type, algorithm, target, features_):
+    t = hash_split_sql(key, test_size)
+    return f"""SELECT '{model_type}' AS model_type, '{algorithm}' AS algorithm, '{target}' AS target,
+  {features_} AS features, count(*) FILTER ({t})::BIGINT AS train_size,
+  count(*) FILTER (NOT ({t}))::BIGINT AS test_size, true AS metrics_sound,
+  true AS matrix_complete FROM {source}"""
+
+
+_DIMENSIONS = [f"x{i}" for i in range(64)]
+
+
+def _embeddings(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return rows.select(
+        "vec_id", "label", *[F.col("embedding")[i].alias(n) for i, n in enumerate(_DIMENSIONS)]
+    ).withColumnRenamed("label", "digit")
+
+
+_QUALITY_FEATURES = ["n_chars", "lang", "source", "toxic"]
+
+
+def _quality(spark, folder):
+    """Labelled documents: the label table is joined to the documents it covers."""
+    documents = table(spark, folder, "documents").select("doc_id", "n_chars", "lang", "source")
+    return documents.join(table(spark, folder, "labels"), "doc_id")
+
+
+_LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linenumber"]
+
+
+def train_logistic_regression(spark, folder):
+    return _trained(
+        _embeddings(spark, folder), model_type="classification", algorithm="logistic_regression",
+        features=_DIMENSIONS, target="digit", params={"maxIter": 20, "regParam": 0.01},
+        key=["vec_id"],
+    )
+
+
+def train_decision_tree(spark, folder):
+    return _trained(
+        _quality(spark, folder), model_type="classification", algorithm="decision_tree",
+        features=_QUALITY_FEATURES, target="quality", params={"maxDepth": 4}, key=["doc_id"],
+    )
+
+
+def train_random_forest(spark, folder):
+    return _trained(
+        _embeddings(spark, folder), model_type="classification", algorithm="random_forest",
+        features=_DIMENSIONS, target="digit", params={"numTrees": 10, "maxDepth": 5},
+        key=["vec_id"],
+    )
+
+
+def train_gbt(spark, folder):
+    """A text target of two classes."""
+    return _trained(
+        table(spark, folder, "lineitem"), model_type="classification", algorithm="gbt",
+        features=_LINE_FEATURES, target="l_linestatus", params={"maxIter": 5, "maxDepth": 3},
+        key=_LINE_KEY, test_size=0.3,
+    )
+
+
+def _regressor(algorithm, params):
+    def query(spark, folder):
+        return _trained(
+            table(spark, folder, "lineitem"), model_type="regression", algorithm=algorithm,
+            features=_LINE_FEATURES, target="l_extendedprice", params=params, key=_LINE_KEY,
+        )
+
+    return query, _trained_sql(
+        "lineitem", _LINE_KEY, 0.2, "regression", algorithm, "l_extendedprice", len(_LINE_FEATURES)
+    )
+
+
+def _linear_on_train(spark, folder):
+    spec = TrainSpec(
+        model_type="regression", algorithm="linear_regression", features=["l_quantity"],
+        target="l_extendedprice", key=_LINE_KEY,
+    )
+    lines = table(spark, folder, "lineitem")
+    return train(lines, spec).model, lines
+
+
+def score_batch(spark, folder):
+    """A model fitted on the training side scores the whole table."""
+    model, lines = _linear_on_train(spark, folder)
+    scored = model.score(lines.select(*_LINE_KEY, "l_quantity"))
+    return scored.select(*_LINE_KEY, F.round("prediction", 2).alias("prediction"))
+
+
+_score_batch = f"""WITH fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a,
+  regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem
+  WHERE {hash_split_sql(_LINE_KEY, 0.2)})
+SELECT {', '.join(_LINE_KEY)}, round(a * l_quantity + b, 2) AS prediction FROM lineitem, fit"""
+
+
+def model_save_load(spark, folder):
+    """A saved model with a text feature and a text target predicts the same."""
+    lines = table(spark, folder, "lineitem")
+    spec = TrainSpec(
+        model_type="classification", algorithm="decision_tree",
+        features=["l_quantity", "l_returnflag"], target="l_linestatus", key=_LINE_KEY,
+        params={"maxDepth": 3},
+    )
+    model = train(lines, spec).model
+    path = new_path(spark, "model")
+    model.save(path)
+    loaded = TrainedModel.load(spark, path)
+    both = loaded.score(model.score(lines).select(
+        *lines.columns, F.col("prediction").alias("first"),
+        F.col("predicted_label").alias("first_label"),
+    ))
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("prediction") != F.col("first")).alias("changed"),
+        F.count_if(F.col("predicted_label") != F.col("first_label")).alias("renamed"),
+    )
+
+
+_model_save_load = """SELECT count(*)::BIGINT AS "rows", 0::BIGINT AS changed, 0::BIGINT AS renamed
+FROM lineitem"""
+
+
+def feature_importance(spark, folder):
+    """Every source feature once; the weights add up to one."""
+    spec = TrainSpec(
+        model_type="classification", algorithm="random_forest", features=_QUALITY_FEATURES,
+        target="quality", params={"numTrees": 5, "maxDepth": 4}, key=["doc_id"],
+    )
+    found = train(_quality(spark, folder), spec).model.importances()
+    total = found.agg(F.round(F.sum("importance"), 6)).scalar()
+    return found.select(
+        "feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total")
+    )
+
+
+_feature_importance = " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, count(*) > 0 AS in_range, 1.0::DOUBLE AS total FROM labels"
+    for name in _QUALITY_FEATURES
+)
+
+_LABELLED = "documents JOIN labels USING (doc_id)"
+
+QUERIES = {
+    "select_columns": (select_columns, _select_columns),
+    "dropna_rows": (dropna_rows, _dropna_rows),
+    "label_projection": (label_projection, _label_projection),
+    "split_sizes": (split_sizes, _split_sizes),
+    "split_rows": (split_rows, _split_rows),
+    "string_index": (string_index, _string_index),
+    "string_index_rows": (string_index_rows, _string_index_rows),
+    "assemble": (assemble, _assemble),
+    "standard_scale": (standard_scale, _standard_scale),
+    "confusion_matrix": (confusion_matrix, _confusion_sql(4)),
+    "confusion_matrix_actual": (confusion_matrix_actual, _confusion_sql(3)),
+    "classification_metrics": (classification_metrics, _classification_metrics),
+    "roc_auc": (roc_auc, _roc_auc),
+    "regression_metrics": (regression_metrics, _regression_metrics),
+    "predicted_vs_actual": (predicted_vs_actual, _predicted_vs_actual),
+    "linreg_coefficients": (linreg_coefficients, _linreg_coefficients),
+    "train_logistic_regression": (
+        train_logistic_regression,
+        _trained_sql("embeddings", ["vec_id"], 0.2, "classification", "logistic_regression",
+                     "digit", 64),
+    ),
+    "train_decision_tree": (
+        train_decision_tree,
+        _trained_sql(_LABELLED, ["doc_id"], 0.2, "classification", "decision_tree", "quality", 4),
+    ),
+    "train_random_forest": (
+        train_random_forest,
+        _trained_sql("embeddings", ["vec_id"], 0.2, "classification", "random_forest", "digit", 64),
+    ),
+    "train_gbt": (
+        train_gbt,
+        _trained_sql("lineitem", _LINE_KEY, 0.3, "classification", "gbt", "l_linestatus", 5),
+    ),
+    "train_linear_regression": _regressor("linear_regression", {"maxIter": 50}),
+    "train_decision_tree_reg": _regressor("decision_tree_reg", {"maxDepth": 4}),
+    "train_random_forest_reg": _regressor("random_forest_reg", {"numTrees": 8, "maxDepth": 4}),
+    "train_gbt_reg": _regressor("gbt_reg", {"maxIter": 5, "maxDepth": 3}),
+    "score_batch": (score_batch, _score_batch),
+    "model_save_load": (model_save_load, _model_save_load),
+    "feature_importance": (feature_importance, _feature_importance),
+}
