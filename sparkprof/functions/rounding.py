@@ -14,11 +14,31 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fixed(value: Column, digits: int, ties_to_even: bool = True) -> Column:
-    """The double with so many decimals, rounded by its exact binary value.
+    """The double with so many decimals as text, rounded by its exact binary value.
 
-    ``format_string`` rounds the shortest decimal text instead.  Here the
-    fraction is cut in two after 26 bits; both parts can be scaled without an
-    error, so what lies above or below a tie has the right sign.
+    ``format_string`` rounds the shortest decimal text instead, which differs
+    where that text lies on a tie; only such values take the longer way.
+    """
+    usual = F.format_string(f"%.{digits}f", value)
+    return F.when(_near_tie(value, digits), _exact(value, digits, ties_to_even)).otherwise(usual)
+
+
+def rounded(value: Column, digits: int = 4) -> Column:
+    """The nearest double with so many decimals, by the same rule."""
+    exact = _exact(value, digits, True).cast("double")
+    return F.when(_near_tie(value, digits), exact).otherwise(F.round(value, digits))
+
+
+def _near_tie(value: Column, digits: int) -> Column:
+    """True where the scaled fraction cannot be told from a half."""
+    scaled = F.abs(value) * float(10**digits)
+    close = F.abs(scaled - F.floor(scaled) - 0.5) <= scaled * 1e-15 + 1e-6
+    return close & (scaled < float("inf"))
+
+
+def _exact(value: Column, digits: int, ties_to_even: bool) -> Column:
+    """The fraction is cut in two after 26 bits; both parts can be scaled without
+    an error, so what lies above or below a tie has the right sign.
     """
     scale, cut = float(10**digits), float(2**26)
 
@@ -46,10 +66,5 @@ def fixed(value: Column, digits: int, ties_to_even: bool = True) -> Column:
     shown = F.abs(value)
     for step in (parts, scaled, rounded, text):
         shown = _let(shown, step)
-    signed = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), shown)
-    return F.when(F.isnan(value), F.lit("NaN")).otherwise(signed)
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), shown)
 
-
-def rounded(value: Column, digits: int = 4) -> Column:
-    """The nearest double with so many decimals; ``round`` decides by the decimal text."""
-    return fixed(value, digits).cast("double")

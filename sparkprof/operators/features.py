@@ -62,8 +62,9 @@ def in_train(key: list[str], test_size: float, seed: int = SEED) -> Column:
     """
     check_share(test_size)
     text = F.concat_ws("-", *[qcol(n).cast("string") for n in key], F.lit(str(seed)))
-    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return place < round((1.0 - test_size) * _HASH_RANGE)
+    # Hexadecimal digits of one length sort like the numbers they stand for.
+    bound = min(round((1.0 - test_size) * _HASH_RANGE), _HASH_RANGE - 1)
+    return F.md5(text) < f"{bound:08x}"
 
 
 def hash_split(

@@ -59,6 +59,8 @@ class TrainSpec:
     seed: int = SEED
     name: str | None = None
     dataset_id: str | None = None
+    # Tasks to spread the prepared rows over, for tables that lie in few files.
+    partitions: int | None = None
     driver_values: int = DRIVER_VALUES
 
 
@@ -184,6 +186,8 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
             DataFrame.unionAll,
             [side.withColumn("_train", F.lit(first)) for side, first in zip(sides, (True, False))],
         )
+    if spec.partitions:
+        rows = rows.repartition(spec.partitions)
     rows = rows.persist()
     try:
         return _train_on(rows, spec, algorithm)
