@@ -71,7 +71,7 @@ def _dataset() -> Column:
 def overview(runs: DataFrame) -> DataFrame:
     """(section, label, n): all runs, runs by type and runs by algorithm.
 
-    Runs are counted once per type and algorithm; the totals come from those counts.
+    Runs are counted once per type and algorithm; all parts come from those counts.
     """
     by_both = (
         runs.select(
@@ -81,23 +81,17 @@ def overview(runs: DataFrame) -> DataFrame:
         .groupBy("model_type", "algorithm")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sums = by_both.groupingSets(
-        [[], ["model_type"], ["algorithm"]], "model_type", "algorithm"
-    ).agg(F.grouping_id().alias("level"), F.sum("n").alias("n"))
-    # The bits of the level mark the columns that were summed over.
-    section = (
-        F.when(F.col("level") == 1, F.lit("by_type"))
-        .when(F.col("level") == 2, F.lit("by_algorithm"))
-        .otherwise(F.lit("total"))
+    section = lambda name: F.lit(name).alias("section")
+    total = by_both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
+        section("total"), F.lit("Total Models").alias("label"), "n"
     )
-    label = (
-        F.when(F.col("level") == 1, title_case(F.col("model_type")))
-        .when(F.col("level") == 2, F.col("algorithm"))
-        .otherwise(F.lit("Total Models"))
+    by_type = by_both.groupBy("model_type").agg(F.sum("n").alias("n")).select(
+        section("by_type"), title_case(F.col("model_type")).alias("label"), "n"
     )
-    return sums.select(
-        section.alias("section"), label.alias("label"), F.coalesce("n", F.lit(0)).alias("n")
+    by_algorithm = by_both.groupBy("algorithm").agg(F.sum("n").alias("n")).select(
+        section("by_algorithm"), F.col("algorithm").alias("label"), "n"
     )
+    return total.unionAll(by_type).unionAll(by_algorithm)
 
 
 def summary(runs: DataFrame) -> DataFrame:
