@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import classification as C
+from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,14 @@ CATALOG = (
               R.GBTRegressor, _BOOSTED, trees=True),
 )
 
+# Accepted beside the catalog.  Naive Bayes needs features that are not negative,
+# the support vector machine two classes; clustering takes no target.
+ADVERTISED = (
+    Algorithm("classification", "naive_bayes", "Naive Bayes", C.NaiveBayes, ()),
+    Algorithm("classification", "linear_svc", "Linear SVC", C.LinearSVC, ("maxIter", "regParam")),
+    Algorithm("clustering", "kmeans", "K-Means", K.KMeans, ("k", "maxIter")),
+)
+
 # Parameter types and the limits a value is moved into.
 PARAM_TYPES = {
     "maxIter": int,
@@ -54,6 +63,7 @@ PARAM_TYPES = {
     "numTrees": int,
     "subsamplingRate": float,
     "stepSize": float,
+    "k": int,
     "seed": int,
 }
 PARAM_LIMITS = {
@@ -66,10 +76,11 @@ PARAM_LIMITS = {
 
 
 def find(model_type: str, key: str) -> Algorithm:
-    types = sorted({a.model_type for a in CATALOG})
+    known = CATALOG + ADVERTISED
+    types = sorted({a.model_type for a in known})
     if model_type not in types:
         raise ValueError(f"model_type must be one of {', '.join(types)}")
-    of_type = {a.key: a for a in CATALOG if a.model_type == model_type}
+    of_type = {a.key: a for a in known if a.model_type == model_type}
     if key not in of_type:
         raise ValueError(f"algorithm for {model_type} must be one of {', '.join(of_type)}")
     return of_type[key]

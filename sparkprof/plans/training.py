@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
     IndexToString,
     SQLTransformer,
@@ -17,7 +19,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprof.columns import logical_type, qcol, quoted, require_columns, split_by_kind
@@ -51,7 +53,7 @@ class TrainSpec:
     model_type: str
     algorithm: str
     features: list[str]
-    target: str
+    target: str | None = None  # clustering has none
     params: dict = field(default_factory=dict)
     test_size: float = 0.2
     key: list[str] | None = None  # what identifies a row; all columns if not given
@@ -59,6 +61,8 @@ class TrainSpec:
     seed: int = SEED
     name: str | None = None
     dataset_id: str | None = None
+    # Index a numeric target like a text one, for classes that are not 0, 1, 2, ...
+    index_labels: bool = False
     # Tasks to spread the prepared rows over, for tables that lie in few files.
     partitions: int | None = None
     driver_values: int = DRIVER_VALUES
@@ -73,7 +77,7 @@ class TrainedModel:
     labels: StringIndexerModel | None = None
     indexes: dict[str, DataFrame] = field(default_factory=dict)
 
-    def score(self, df: DataFrame) -> DataFrame:
+    def score(self, df: DataFrame, keep_vectors: bool = False) -> DataFrame:
         """The table with its predictions; rows with missing features are left out.
 
         For a string target ``predicted_label`` holds the class name.
@@ -81,7 +85,9 @@ class TrainedModel:
         for name, values in self.indexes.items():
             df = apply_index(df, name, values, output=name)
         scored = self.pipeline.transform(df)
-        internal = [c for c in scored.columns if c in (RAW, SCALED) or c.startswith("_feature_")]
+        internal = [c for c in scored.columns if c == RAW or c.startswith("_feature_")]
+        if not keep_vectors:
+            internal.append(SCALED)
         scored = scored.drop(*internal)
         if self.labels is None:
             return scored
@@ -132,7 +138,7 @@ class TrainedModel:
 class TrainResult:
     model: TrainedModel
     run: DataFrame  # one row of the run registry
-    predictions: DataFrame  # label, prediction and, for two classes, score
+    predictions: DataFrame  # prediction with label and, for two classes, score
 
 
 def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
@@ -140,18 +146,24 @@ def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
     algorithm = find(spec.model_type, spec.algorithm)
     if not spec.features:
         raise ValueError("at least one feature is needed")
-    if not spec.target:
+    if not spec.target and spec.model_type != "clustering":
         raise ValueError("a target column is needed")
     check_share(spec.test_size)
     if spec.split not in ("hash", "random"):
         raise ValueError("split must be hash or random")
-    require_columns(df, [*spec.features, spec.target, *(spec.key or [])])
+    require_columns(df, [*_used(spec), *(spec.key or [])])
     for name in spec.features:
         kind = logical_type(df.schema[name].dataType)
         if kind not in ("integer", "numeric", "boolean", "string"):
             raise ValueError(f"feature {name!r} of type {kind} cannot be used")
         if name in RESERVED:
             raise ValueError(f"a feature may not be named {name}")
+    if spec.model_type != "clustering":
+        _check_target(df, spec)
+    return algorithm
+
+
+def _check_target(df: DataFrame, spec: TrainSpec) -> None:
     if spec.target in spec.features:
         raise ValueError("the target cannot be a feature")
     kind = logical_type(df.schema[spec.target].dataType)
@@ -159,7 +171,11 @@ def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
         raise ValueError(f"target {spec.target!r} must be numeric for regression")
     if kind not in ("integer", "numeric", "boolean", "string"):
         raise ValueError(f"target {spec.target!r} of type {kind} cannot be used")
-    return algorithm
+
+
+def _used(spec: TrainSpec) -> list[str]:
+    """The features and, unless rows are clustered, the target."""
+    return [*spec.features, *([spec.target] if spec.model_type != "clustering" else [])]
 
 
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
@@ -171,7 +187,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """
     algorithm = validate(df, spec)
     use_checkpoints(df.sparkSession)
-    used = [*spec.features, spec.target]
+    used = _used(spec)
     if spec.split == "hash":
         chosen = in_train(spec.key or df.columns, spec.test_size, spec.seed)
         rows = df.select(
@@ -202,6 +218,7 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
         F.count_if(kept).alias("kept"),
         F.count_if(kept & first).alias("train"),
         F.count_if(kept & ~first).alias("test"),
+        _class_count(rows, spec).alias("classes"),
         *[
             F.approx_count_distinct(qcol(n)).alias(f"values_{i}")
             for i, n in enumerate(categorical)
@@ -221,35 +238,59 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     for name, values in indexes.items():
         train_rows = apply_index(train_rows, name, values, output=name)
 
-    labels = None
-    if logical_type(rows.schema[spec.target].dataType) == "string":
-        indexer = StringIndexer(
-            inputCol="_target", outputCol="label", stringOrderType="frequencyDesc",
-            handleInvalid="skip",
-        )
-        named = lambda side: side.withColumn("_target", qcol(spec.target))
-        labels = indexer.fit(named(train_rows))
-        labeled = lambda side: labels.transform(named(side)).drop("_target")
-    else:
-        labeled = lambda side: with_label(side, spec.target)
-
+    labels, labeled = _labeler(train_rows, spec, sizes["classes"])
     params = typed_params(algorithm, spec.params)
     if algorithm.estimator().hasParam("seed"):
         params.setdefault("seed", spec.seed)
-    estimator = algorithm.estimator(featuresCol=SCALED, labelCol="label", **params)
+    if spec.model_type != "clustering":
+        params["labelCol"] = "label"
+    estimator = algorithm.estimator(featuresCol=SCALED, **params)
+    params.pop("labelCol", None)
     stages = feature_stages(train_rows, spec.features)
     pipeline = Pipeline(stages=[*stages, estimator]).fit(labeled(train_rows))
     model = TrainedModel(pipeline, list(spec.features), labels, indexes)
 
     # The label is made first: a scored row need not have a target.
-    predictions = _scores(model.score(labeled(test_rows)))
-    predictions = predictions.persist()
+    scored = model.score(labeled(test_rows), keep_vectors=spec.model_type == "clustering")
+    predictions = _scores(scored).persist()
     try:
         metrics, matrix = _metrics(spec.model_type, predictions)
         run = _run_row(rows.sparkSession, spec, model, params, metrics, matrix, sizes)
     finally:
         predictions.unpersist()
-    return TrainResult(model, run, predictions)
+    return TrainResult(model, run, predictions.drop(SCALED))
+
+
+def _by_name(rows: DataFrame, spec: TrainSpec) -> bool:
+    """True if the target is text, or to be treated like text."""
+    if spec.model_type != "classification":
+        return False
+    return spec.index_labels or logical_type(rows.schema[spec.target].dataType) == "string"
+
+
+def _class_count(rows: DataFrame, spec: TrainSpec) -> Column:
+    if _by_name(rows, spec):
+        return F.approx_count_distinct(qcol(spec.target))
+    return F.lit(0).cast("bigint")
+
+
+def _labeler(
+    train_rows: DataFrame, spec: TrainSpec, classes: int
+) -> tuple[StringIndexerModel | None, Callable[[DataFrame], DataFrame]]:
+    """The fitted class names, if any, and what adds the label to rows.
+
+    Rows whose class was not trained on are left out, which keeps two classes two.
+    """
+    if spec.model_type == "clustering":
+        return None, lambda side: side
+    if not _by_name(train_rows, spec):
+        return None, lambda side: with_label(side, spec.target)
+    if classes > DRIVER_VALUES:
+        raise ValueError(f"target {spec.target!r} has about {classes} classes")
+    named = lambda side: side.withColumn("_target", qcol(spec.target).cast("string"))
+    indexer = StringIndexer(inputCol="_target", outputCol="label", handleInvalid="skip")
+    labels = indexer.fit(named(train_rows))
+    return labels, lambda side: labels.transform(named(side)).drop("_target")
 
 
 def feature_stages(df: DataFrame, features: list[str]) -> list:
@@ -281,7 +322,7 @@ def _assembly_order(pipeline: PipelineModel, features: list[str]) -> list[str]:
 
 
 def _scores(scored: DataFrame) -> DataFrame:
-    columns = [F.col("label"), F.col("prediction")]
+    columns = [F.col(c) for c in ("label", "prediction", SCALED) if c in scored.columns]
     if "rawPrediction" in scored.columns:
         raw = vector_to_array("rawPrediction")
         columns.append(F.when(F.size(raw) == 2, F.get(raw, F.lit(1))).alias("score"))
@@ -292,6 +333,11 @@ def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, list | None
     if model_type == "regression":
         found = E.regression_metrics(predictions).first().asDict()
         return {k: v for k, v in found.items() if v is not None}, None
+    if model_type == "clustering":
+        clusters = predictions.agg(F.count_distinct("prediction")).first()[0]
+        if clusters < 2:
+            return {}, None
+        return {"silhouette": ClusteringEvaluator(featuresCol=SCALED).evaluate(predictions)}, None
     counts = E.confusion_counts(predictions).persist()
     try:
         found = E.classification_metrics(counts).first().asDict()

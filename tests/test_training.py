@@ -87,6 +87,27 @@ def test_saved_models_predict_the_same(spark, rows, tmp_path):
     assert pick(loaded) == pick(model)
 
 
+def test_numeric_classes_that_do_not_start_at_zero(rows):
+    shifted = rows.withColumn("class", F.when(F.col("flag"), 70).otherwise(30))
+    result = train(shifted, spec(target="class", index_labels=True))
+    assert len(result.run.first()["confusion_matrix"]) == 2
+    scored = result.model.score(shifted)
+    assert scored.filter(F.col("predicted_label") != F.col("class").cast("string")).count() == 0
+
+
+def test_advertised_classifiers(rows):
+    for algorithm in ("naive_bayes", "linear_svc"):
+        run = train(rows, spec(algorithm=algorithm, params={"maxIter": 20, "regParam": 0.01})).run.first()
+        assert run["metrics"]["accuracy"] > 0.7 and "roc_auc" in run["metrics"], algorithm
+
+
+def test_clusters(rows):
+    run = train(rows, spec(model_type="clustering", algorithm="kmeans", features=["a.b"], target=None,
+                           params={"k": 2, "maxIter": 20})).run.first()
+    assert run["target"] is None and 0.5 < run["metrics"]["silhouette"] <= 1
+    assert run["params"] == {"k": "2", "maxIter": "20", "seed": "42"}
+
+
 def test_random_split(rows):
     run = train(rows, spec(split="random", test_size=0.3)).run.first()
     assert run["train_size"] + run["test_size"] == 600 and 100 < run["test_size"] < 260
@@ -94,7 +115,7 @@ def test_random_split(rows):
 
 def test_refused_before_any_job(rows):
     for changed, error in (
-        ({"algorithm": "svm"}, ValueError), ({"model_type": "clustering"}, ValueError),
+        ({"algorithm": "svm"}, ValueError), ({"model_type": "ranking"}, ValueError),
         ({"features": []}, ValueError), ({"target": ""}, ValueError), ({"test_size": 1}, ValueError),
         ({"features": ["nope"]}, KeyError), ({"features": ["day"]}, ValueError),
         ({"target": "day"}, ValueError), ({"features": ["answer"]}, ValueError),
