@@ -86,7 +86,8 @@ def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) ->
     cuts = cuts.select(F.struct("*")).scalar()
     rows = numbers.selectExpr(*aggregates).withColumn("cuts", cuts)
     stats = rows.selectExpr(f"inline(array({', '.join(entries)}))")
-    return stats.withColumns({c: rounded(F.col(c), DECIMALS) for c in ROUNDED})
+    values = F.transform(F.array(*ROUNDED), lambda value: rounded(value, DECIMALS))
+    return stats.withColumns({c: values[i] for i, c in enumerate(ROUNDED)})
 
 
 def _finite(value: str) -> str:
@@ -152,7 +153,8 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
 def stats_table(numeric: DataFrame) -> DataFrame:
     """Numeric statistics as display text, in reading order."""
     shown = ("mean", "std", "min", "q1", "median", "q3", "max")
-    return numeric.select("column", "count", *[display_stat(F.col(c)).alias(c) for c in shown])
+    texts = F.transform(F.array(*[F.col(c).cast("double") for c in shown]), display_stat)
+    return numeric.select("column", "count", *[texts[i].alias(c) for i, c in enumerate(shown)])
 
 
 def categories_table(categorical: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkprof.columns import qcol, require_numeric
 from sparkprof.functions.missing import finite_or_null
 from sparkprof.functions.rounding import rounded
-from sparkprof.functions.text import range_label
+from sparkprof.functions.text import two_decimals
 
 MAX_BINS = 100
 DECIMALS = 4
@@ -55,11 +55,19 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
     lower = F.col("low") + F.col("bin") * F.col("width")
     upper = F.col("low") + (F.col("bin") + 1) * F.col("width")
+    shown = F.transform(
+        F.array(lower, upper),
+        lambda v: F.struct(two_decimals(v).alias("text"), rounded(v, DECIMALS).alias("value")),
+    )
     # At most MAX_BINS rows on either side.
-    return edges.join(F.broadcast(counts), "bin", "left").select(
-        "bin",
-        range_label(lower, upper).alias("label"),
-        F.coalesce("n", F.lit(0)).alias("count"),
-        rounded(lower, DECIMALS).alias("min"),
-        rounded(upper, DECIMALS).alias("max"),
+    return (
+        edges.join(F.broadcast(counts), "bin", "left")
+        .withColumn("shown", shown)
+        .select(
+            "bin",
+            F.concat_ws("-", "shown.text").alias("label"),
+            F.coalesce("n", F.lit(0)).alias("count"),
+            F.col("shown.value")[0].alias("min"),
+            F.col("shown.value")[1].alias("max"),
+        )
     )
