@@ -9,6 +9,8 @@ from sparkprof.columns import qcol, require_columns
 from sparkprof.operators.ordering import running_totals
 
 SAMPLE_ROWS = 100
+# A full matrix has the square of this many cells; the counts have no limit.
+MATRIX_CLASSES = 10_000
 
 
 def confusion_counts(
@@ -35,7 +37,10 @@ def confusion_matrix(counts: DataFrame, actual_only: bool = False) -> DataFrame:
     """
     seen = F.array("label") if actual_only else F.array("label", "prediction")
     classes = counts.select(F.explode(seen).alias("label")).distinct()
-    order = classes.agg(F.sort_array(F.collect_list("label"))).scalar()
+    order = classes.limit(MATRIX_CLASSES + 1).agg(F.sort_array(F.collect_list("label")).alias("c"))
+    too_many = F.raise_error(F.lit(f"a matrix holds up to {MATRIX_CLASSES} classes; use the counts"))
+    fitting = F.when(F.size("c") > MATRIX_CLASSES, too_many.cast("array<double>")).otherwise(F.col("c"))
+    order = order.select(fitting).scalar()
     by_class = counts.groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("prediction", "n"))).alias("found")
     )

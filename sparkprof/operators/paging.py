@@ -46,8 +46,12 @@ def page(
         return df.orderBy(qcol(key)).offset(offset).limit(limit)
     keys = numbered(df.select(qcol(key)), [qcol(key)], "_position")
     wanted = keys.filter(F.col("_position").between(offset, offset + limit - 1)).select(qcol(key))
+    # The keys lie next to each other: their bounds are known before the table
+    # is read again and let the scan leave out files and row groups.
+    first, last = (wanted.agg(end(qcol(key))).scalar() for end in (F.min, F.max))
+    near = df.filter(qcol(key).between(first, last))
     # At most MAX_ROWS keys.
-    return df.join(F.broadcast(wanted), key, "left_semi").orderBy(qcol(key))
+    return near.join(F.broadcast(wanted), key, "left_semi").orderBy(qcol(key))
 
 
 def page_after(df: DataFrame, key: str, after, limit: int = DEFAULT_ROWS) -> DataFrame:

@@ -18,6 +18,7 @@ _local_folder: str | None = None
 def scratch_folder(spark: SparkSession) -> str:
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):

@@ -192,6 +192,16 @@ def test_numbered_and_running_totals(spark):
     assert {r["v"]: r["before"] for r in totals} == expected
 
 
+def test_deep_pages_prune_the_second_scan(spark, tmp_path):
+    """The bounds of the page's keys are filters of the scan that fetches its rows."""
+    spark.range(1_000).withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "t"))
+    rows = paging.page(spark.read.parquet(str(tmp_path / "t")), "id", 10, 40, top_k_rows=0)
+    assert rows.count() == 10
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "x#" in line)
+    assert "id#" in scan and ">=" in scan and "Subquery" in scan
+
+
 def test_pages(spark):
     df = spark.range(1_000).select(F.col("id"), (F.col("id") % 7).alias("x")).repartition(4)
     ids = lambda rows: [r["id"] for r in rows.collect()]
@@ -199,6 +209,8 @@ def test_pages(spark):
     assert ids(paging.page(df, "id", 10, 40, top_k_rows=0)) == list(range(40, 50))
     assert ids(paging.page(df, "id", 10, 995)) == list(range(995, 1_000))
     assert ids(paging.page(df, "id", 10, 5_000, top_k_rows=0)) == []
+    text = df.select(F.format_string("k%05d", "id").alias("id"))
+    assert ids(paging.page(text, "id", 2, 998, top_k_rows=0)) == ["k00998", "k00999"]
     assert ids(paging.page_after(df, "id", 99, 3)) == [100, 101, 102]
     assert paging.preview(df, 3).count() == 3
     assert paging.with_total(paging.page(df, "id", 1), df).first()["total_rows"] == 1_000

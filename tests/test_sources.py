@@ -2,9 +2,10 @@ import json
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 
-from sparkprof.sources import admission, delimited, json_records, sinks, workbooks
+from sparkprof.sources import admission, delimited, json_records, local, sinks, workbooks
 
 NAN = float("nan")
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -58,6 +59,18 @@ def test_json_documents(spark, tmp_path):
     assert [r["name"] for r in empty.collect()] == ["none"]
 
 
+def test_tables_from_the_driver(spark):
+    frame = pd.DataFrame({"x": [1.0, None], "s": ["a", None], "n": [1, 2]})
+    assert [tuple(r) for r in local.from_pandas(spark, frame).collect()] == [(1.0, "a", 1), (None, None, 2)]
+    name, table = local.from_document(spark, {"name": "n", "data": [{"a": 1, "b": "x"}, {"a": 2, "c": 1.5}]})
+    assert name == "n" and table.columns == ["a", "b", "c"]
+    assert [tuple(r) for r in table.orderBy("a").collect()] == [(1, "x", None), (2, None, 1.5)]
+    assert local.from_document(spark, {"data": [{"a": 1}]})[0].startswith("dataset_")
+    for bad in ({}, {"data": []}, {"data": "x"}):
+        with pytest.raises(ValueError):
+            local.from_document(spark, bad)
+
+
 def test_json_without_records_is_an_error(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"rows": []}')
     with pytest.raises(ValueError):

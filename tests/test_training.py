@@ -194,6 +194,13 @@ def test_confusion_matrix_of_all_classes_or_actual_ones(spark):
     assert matrix(actual_only=True) == [[2, 1, 0], [0, 1, 0], [0, 1, 0]]
 
 
+def test_a_matrix_of_too_many_classes_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MATRIX_CLASSES", 3)
+    df = spark.createDataFrame(PAIRS, "label double, prediction double")
+    with pytest.raises(Exception, match="use the counts"):
+        evaluate.confusion_matrix(evaluate.confusion_counts(df)).collect()
+
+
 def test_auc_agrees_with_the_evaluator(spark):
     df = spark.range(2_000).select(
         F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0).alias("label"),
