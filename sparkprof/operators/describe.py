@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkprof.columns import (
     in_groups,
     is_floating,
+    literal,
     numeric_columns,
     qcol,
     quoted,
@@ -19,7 +20,7 @@ from sparkprof.columns import (
 )
 from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import display_stat, or_default
-from sparkprof.operators.quantiles import sketched_quantiles
+from sparkprof.operators.quantiles import exact_quantiles, sketched_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_SCAN = 100
@@ -36,18 +37,32 @@ def numeric_stats(
     All columns share one compiled aggregate and one of quantile sketches, each
     over a column-pruned scan.  NaN is left out like NULL and counted in
     ``nan_count``; a statistic that is not finite is NULL.  Quartiles are within
-    ``quantile_error`` of their rank; ``exact_quantiles`` gives them exactly.
-    ``min_text`` and ``max_text`` keep the digits a double would lose.
+    ``quantile_error`` of their rank; with 0 they are searched exactly, which
+    runs a few more scans at once.  ``min_text`` and ``max_text`` keep the digits
+    a double would lose.
     """
     columns = numeric_columns(df) if columns is None else columns
     for name in columns:
         require_numeric(df, name)
+    if not columns:
+        raise ValueError("the table has no numeric columns")
     parts = [
         _numeric_group(df, group, quantile_error) for group in in_groups(columns, COLUMNS_PER_SCAN)
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
+def _exact_cuts(df: DataFrame, columns: list[str]) -> str:
+    """The exact quartiles as a literal in the layout of the sketched ones."""
+    found = {(r["column"], r["probability"]): r["value"]
+             for r in exact_quantiles(df, columns, tuple(QUARTILES)).collect()}
+    number = lambda x: "NULL" if x is None else f"'{x!r}'"
+    cuts = [", ".join(number(found[(c, p)]) for p in QUARTILES) for c in columns]
+    return "struct(" + ", ".join(
+        f"CAST(array({c}) AS ARRAY<DOUBLE>) AS cuts_{i}" for i, c in enumerate(cuts)
+    ) + ")"
+
+
 def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) -> DataFrame:
     # Written as SQL text: a wide table makes many expressions, and text is
     # handed to the engine at once.
@@ -68,11 +83,12 @@ def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) ->
             f"min(v{i}) AS min_{i}",
             f"max(v{i}) AS max_{i}",
         ]
-        sketches.append(f"{sketched_quantiles(f'd{i}', QUARTILES, quantile_error)} AS cuts_{i}")
+        if quantile_error:
+            sketch = sketched_quantiles(f"d{i}", QUARTILES, quantile_error)
+            sketches.append(f"{sketch} AS cuts_{i}")
         cut = [_finite(f"cuts.cuts_{i}[{k}]") for k in range(3)]
-        label = name.replace("\\", "\\\\").replace("'", "\\'")
         entries.append(
-            f"struct('{label}' AS column, count_{i} AS count, nans_{i} AS nan_count, "
+            f"struct({literal(name)} AS column, count_{i} AS count, nans_{i} AS nan_count, "
             f"{_finite(f'mean_{i}')} AS mean, {_finite(f'std_{i}')} AS std, "
             f"{_finite(f'double(min_{i})')} AS min, "
             f"{cut[0]} AS q1, {cut[1]} AS median, {cut[2]} AS q3, "
@@ -82,8 +98,10 @@ def _numeric_group(df: DataFrame, columns: list[str], quantile_error: float) ->
     numbers = df.selectExpr(*values)
     # Sketches would keep the other aggregates from being compiled, so they are
     # an aggregate of their own: a scalar of the plan.
-    cuts = numbers.selectExpr(*sketches)
-    cuts = cuts.select(F.struct("*")).scalar()
+    if quantile_error:
+        cuts = numbers.selectExpr(*sketches).select(F.struct("*")).scalar()
+    else:
+        cuts = F.expr(_exact_cuts(df, columns))
     rows = numbers.selectExpr(*aggregates).withColumn("cuts", cuts)
     stats = rows.selectExpr(f"inline(array({', '.join(entries)}))")
     values = F.transform(F.array(*ROUNDED), lambda value: rounded(value, DECIMALS))

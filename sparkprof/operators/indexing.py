@@ -11,6 +11,7 @@ from sparkprof.operators.ordering import numbered
 # The most frequent values that are sent to every task; the others are joined
 # by a shuffle, where each can hold at most 1 / HOT_VALUES of the rows.
 HOT_VALUES = 50_000
+HOT_BYTES = 64 * 1024 * 1024
 
 
 def index_values(df: DataFrame, column: str) -> DataFrame:
@@ -39,13 +40,18 @@ def apply_index(
     """Adds the index of each row's value as a double.
 
     Values the index does not know (and NULL) get the next free index.  The
-    index is ordered by frequency, so its first ``hot_values`` rows are the hot
-    keys: they are matched without moving the data, and only rows with rarer
-    values are shuffled.
+    index is ordered by frequency, so its first ``hot_values`` rows (fewer if the
+    values are so long that they could exceed ``HOT_BYTES``) are the hot keys:
+    they are matched without moving the data, and only rows with rarer values
+    are shuffled.
     """
     output = output or f"{column}_indexed"
     require_columns(df, [column])
-    size = values.count()
+    known = values.agg(
+        F.count(F.lit(1)).alias("size"), F.max(F.octet_length("value")).alias("longest")
+    ).first()
+    size = known["size"]
+    hot_values = min(hot_values, HOT_BYTES // max(1, known["longest"] or 0))
     lookup = values.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
     matches = qcol(column) == F.col("_value")
     hot = lookup.filter(F.col("_index") < hot_values)

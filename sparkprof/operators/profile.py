@@ -5,10 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparkprof.columns import in_groups, is_floating, logical_type, qcol
-from sparkprof.functions.missing import is_missing
+from sparkprof.columns import in_groups, is_floating, literal, logical_type, quoted
 
 COLUMNS_PER_SCAN = 200
 
@@ -20,45 +18,31 @@ def profile(df: DataFrame) -> DataFrame:
     ``nan_count`` what is in both.  All columns share one aggregate; tables wider
     than ``COLUMNS_PER_SCAN`` take one column-pruned scan per group of columns.
     """
-    fields = {f.name: (place, f) for place, f in enumerate(df.schema)}
-    parts = [
-        _profile_group(df, [fields[n] for n in names], len(fields))
-        for names in in_groups(df.columns, COLUMNS_PER_SCAN)
-    ]
+    parts = [_profile_group(df, names) for names in in_groups(df.columns, COLUMNS_PER_SCAN)]
     return reduce(DataFrame.unionAll, parts)
 
 
-def _profile_group(df: DataFrame, places, column_count: int) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    entries = []
-    for place, field in places:
-        column = qcol(field.name)
-        nan = F.isnan(column) if is_floating(field.dataType) else F.lit(False)
-        aggregates += [
-            F.count_if(is_missing(column, field.dataType)).alias(f"missing_{place}"),
-            F.count_if(nan).alias(f"nan_{place}"),
-            F.count(column).alias(f"present_{place}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(place).alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(logical_type(field.dataType)).alias("type"),
-                F.lit(field.dataType.simpleString()).alias("spark_type"),
-                F.lit(field.nullable).alias("nullable"),
-                F.col(f"missing_{place}").alias("null_count"),
-                F.col(f"nan_{place}").alias("nan_count"),
-                F.col(f"present_{place}").alias("non_null_count"),
-                F.col("rows").alias("row_count"),
-                F.lit(column_count).alias("column_count"),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
-
-
 def column_info(df: DataFrame, name: str) -> DataFrame:
     """The profile of one column; only that column is read."""
     if name not in df.columns:
         raise KeyError(f"columns not in the table: {name}")
-    place = df.columns.index(name)
-    return _profile_group(df, [(place, df.schema[name])], len(df.columns))
+    return _profile_group(df, [name])
+
+
+def _profile_group(df: DataFrame, names: list[str]) -> DataFrame:
+    # SQL text: a wide table makes many expressions.
+    places = {name: place for place, name in enumerate(df.columns)}
+    aggregates, entries = ["count(*) AS row_count"], []
+    for name in names:
+        field, column, i = df.schema[name], quoted(name), places[name]
+        nan = f"count_if(isnan({column}))" if is_floating(field.dataType) else "0L"
+        aggregates += [f"{nan} AS nan_{i}", f"count({column}) AS present_{i}"]
+        entries.append(
+            f"struct({i} AS position, {literal(name)} AS column, "
+            f"{literal(logical_type(field.dataType))} AS type, "
+            f"{literal(field.dataType.simpleString())} AS spark_type, "
+            f"{str(field.nullable).lower()} AS nullable, "
+            f"row_count - present_{i} + nan_{i} AS null_count, nan_{i} AS nan_count, "
+            f"present_{i} AS non_null_count, row_count, {len(places)} AS column_count)"
+        )
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")

@@ -20,6 +20,7 @@ SAMPLE_ROWS = 100
 COMPARED_ID, DETAILED_ID = 8, 12
 FORMATS = ("excel", "json")
 TRUE_WORDS = ("true", "1", "yes")
+MAX_METRICS = 1_000
 KEY_METRICS = {
     "classification": {"accuracy": "Accuracy", "f1": "F1 Score"},
     "regression": {"rmse": "RMSE", "r2": "R²"},
@@ -170,7 +171,10 @@ def metrics_comparison(runs: DataFrame) -> DataFrame:
 def metric_names(runs: DataFrame) -> list[str]:
     """All metric names of the runs, sorted: a handful, found by a map-side distinct."""
     names = runs.select(F.explode(F.map_keys("metrics")).alias("name")).distinct()
-    return sorted(r["name"] for r in names.collect())
+    found = sorted(r["name"] for r in names.limit(MAX_METRICS + 1).collect())
+    if len(found) > MAX_METRICS:
+        raise ValueError(f"more than {MAX_METRICS} metric names; name the ones to compare")
+    return found
 
 
 def type_comparison(
@@ -233,7 +237,8 @@ def comparison_views(runs: DataFrame) -> dict[str, DataFrame]:
     if runs.isEmpty():
         raise LookupError("there are no runs to report on")
     views = {"overview": overview(runs), "metrics_comparison": metrics_comparison(runs)}
-    present = {r["model_type"] for r in runs.select("model_type").distinct().collect()}
+    known = runs.filter(F.col("model_type").isin(*KEY_METRICS)).select("model_type").distinct()
+    present = {r["model_type"] for r in known.collect()}
     for model_type in KEY_METRICS:
         if model_type in present:
             views[f"{model_type}_models"] = type_comparison(runs, model_type)

@@ -72,6 +72,13 @@ def test_numeric_stats_edge_cases(spark):
     assert found["dec"]["mean"] == 1.25
 
 
+def test_exact_quartiles_in_the_statistics(spark):
+    df = spark.createDataFrame([(1.0, None), (2.5, None), (NAN, None), (9.0, None)], "x double, e double")
+    found = by_column(describe.numeric_stats(df, quantile_error=0))
+    assert [found["x"][c] for c in ("q1", "median", "q3")] == [1.0, 2.5, 9.0]
+    assert found["e"]["median"] is None
+
+
 def test_infinite_statistics_are_null(spark):
     df = spark.createDataFrame([(1.0,), (INF,)], "x double")
     row = describe.numeric_stats(df).first()

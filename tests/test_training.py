@@ -171,6 +171,15 @@ def test_apply_index_with_hot_rare_unknown_and_null(spark):
         assert indexing.apply_index(asked, "v", values, hot_values=hot).count() == 56
 
 
+def test_long_values_are_not_broadcast_in_bulk(spark, monkeypatch):
+    """The byte bound leaves one hot value; the result stays the same."""
+    df = spark.createDataFrame([("a" * 60,)] * 9 + [("b" * 90,)] * 2 + [("c",)], "v string")
+    monkeypatch.setattr(indexing, "HOT_BYTES", 100)
+    values = indexing.index_values(df, "v")
+    found = {(r["v"][0], r["v_indexed"]) for r in indexing.apply_index(df, "v", values).collect()}
+    assert found == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
+
+
 PAIRS = [(0.0, 0.0), (1.0, 1.0), (1.0, 2.0), (0.0, 1.0), (0.0, 0.0), (3.0, 1.0)]
 
 
