@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from checks.inputs import PREDICTIONS_SQL, hash_split_sql, predictions, table
 from sparkprof.operators import evaluate, features, indexing
-from sparkprof.plans.training import SCALED, TrainedModel, TrainSpec, feature_stages, train
+from sparkprof.plans import registry
+from sparkprof.plans.training import (
+    SCALED,
+    TrainSpec,
+    feature_stages,
+    load_registered,
+    register_run,
+    train,
+)
 from sparkprof.scratch import new_path
 
 _LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -363,17 +371,17 @@ SELECT {', '.join(_LINE_KEY)}, round(a * l_quantity + b, 2) AS prediction FROM l
 
 
 def model_save_load(spark, folder):
-    """A saved model with a text feature and a text target predicts the same."""
+    """A model with a text feature and target, stored and found again by its run."""
     lines = table(spark, folder, "lineitem")
     spec = TrainSpec(
         model_type="classification", algorithm="decision_tree",
         features=["l_quantity", "l_returnflag"], target="l_linestatus", key=_LINE_KEY,
         params={"maxDepth": 3},
     )
-    model = train(lines, spec).model
-    path = new_path(spark, "model")
-    model.save(path)
-    loaded = TrainedModel.load(spark, path)
+    result, runs = train(lines, spec), new_path(spark, "runs")
+    identifier = register_run(result, new_path(spark, "models"), runs)
+    current = registry.current(registry.open_registry(spark, runs, registry.RUN_SCHEMA))
+    model, loaded = result.model, load_registered(current, identifier)
     both = loaded.score(model.score(lines).select(
         *lines.columns, F.col("prediction").alias("first"),
         F.col("predicted_label").alias("first_label"),

@@ -25,6 +25,10 @@ from sparkprof.operators.quantiles import exact_quantiles, sketched_quantiles
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_SCAN = 100
 DECIMALS = 4
+STATS_SCHEMA = (
+    "column string, count bigint, nan_count bigint, mean double, std double, min double, "
+    "q1 double, median double, q3 double, max double, min_text string, max_text string"
+)
 ROUNDED = ("mean", "std", "q1", "median", "q3")
 SHORT_TEXT = 64
 
@@ -45,7 +49,7 @@ def numeric_stats(
     for name in columns:
         require_numeric(df, name)
     if not columns:
-        raise ValueError("the table has no numeric columns")
+        return df.sparkSession.createDataFrame([], STATS_SCHEMA)
     parts = [
         _numeric_group(df, group, quantile_error) for group in in_groups(columns, COLUMNS_PER_SCAN)
     ]
@@ -116,6 +120,8 @@ def _long_form(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """(column, value) for every string column of every row, NULL included."""
     columns = string_columns(df) if columns is None else columns
     require_columns(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     strings = df.select([qcol(n).cast("string").alias(f"c{i}") for i, n in enumerate(columns)])
     names = F.create_map(*[F.lit(x) for i, n in enumerate(columns) for x in (f"c{i}", n)])
     return strings.unpivot([], [f"c{i}" for i in range(len(columns))], "place", "value").select(
@@ -161,7 +167,8 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
         keyed.filter("digest IS NOT NULL")
         .join(winners, ["column", "digest"])
         .groupBy("column")
-        .agg(F.first("value").alias("text"))
+        # One digest per column is one text; a set is combined without a sort.
+        .agg(F.collect_set("value")[0].alias("text"))
     )
     return best.join(texts, "column", "left").select(
         "column", "count", "unique", F.coalesce("text", "beginning").alias("top"), "freq"

@@ -18,11 +18,12 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position") -> Data
     their partition; the partition sizes (one row each) then give the offsets.
     """
     sorted_ = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
-    placed = write_once(sorted_, "sorted").withColumn(
-        "_part", F.shiftright("_place", _PARTITION_SHIFT)
-    )
-    offsets = _offsets(placed, {"_before": F.count(F.lit(1))})
+    written = write_once(sorted_, "sorted")
+    placed = written.withColumn("_part", F.shiftright("_place", _PARTITION_SHIFT))
     inside = F.col("_place") - F.shiftleft(F.col("_part"), _PARTITION_SHIFT)
+    if _in_one_part(written):
+        return placed.select(*df.columns, inside.alias(name))
+    offsets = _offsets(placed, {"_before": F.count(F.lit(1))})
     return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_before") + inside).alias(name)
     )
@@ -35,13 +36,22 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -
     """
     ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
     placed = write_once(ranged, "sorted")
-    offsets = _offsets(placed, {f"_{new}": F.sum(c) for new, c in totals.items()})
     earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = [
-        (F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(f"_{new}")).alias(new)
-        for new, c in totals.items()
-    ]
-    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, *sums)
+    inside = {new: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for new, c in totals.items()}
+    if _in_one_part(placed):
+        return placed.select(*df.columns, *[sum_.alias(new) for new, sum_ in inside.items()])
+    offsets = _offsets(placed, {f"_{new}": F.sum(c) for new, c in totals.items()})
+    return placed.join(F.broadcast(offsets), "_part").select(
+        *df.columns, *[(sum_ + F.col(f"_{new}")).alias(new) for new, sum_ in inside.items()]
+    )
+
+
+def _in_one_part(written: DataFrame) -> bool:
+    """True if all rows were sorted in one task, so that nothing comes before them.
+
+    Every task that had rows wrote a file of its own.
+    """
+    return len(written.inputFiles()) <= 1
 
 
 def _offsets(placed: DataFrame, totals: dict[str, Column]) -> DataFrame:

@@ -180,5 +180,11 @@ def register_dataset(
     return identifier
 
 
+def read_dataset(current_rows: DataFrame, identifier: str) -> DataFrame:
+    """The stored rows of a registered table."""
+    path = get(current_rows, identifier).first()["path"]
+    return current_rows.sparkSession.read.parquet(path)
+
+
 def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)

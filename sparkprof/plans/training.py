@@ -34,7 +34,7 @@ from sparkprof.operators.features import (
 )
 from sparkprof.operators.indexing import apply_index, index_values
 from sparkprof.plans.algorithms import Algorithm, find, typed_params
-from sparkprof.plans.registry import RUN_SCHEMA
+from sparkprof.plans.registry import RUN_SCHEMA, append, changes, get
 from sparkprof.scratch import use_checkpoints
 
 # Columns the pipeline adds, so no feature may have these names.
@@ -99,14 +99,19 @@ class TrainedModel:
     def importances(self) -> DataFrame:
         """(feature, importance) of a tree model, most important first."""
         spark = SparkSession.getActiveSession()
-        schema = "feature string, importance double"
+        table = spark.createDataFrame(self.weights(), "feature string, importance double")
+        return table.orderBy(F.desc("importance"), "feature")
+
+    def weights(self) -> list[tuple[str, float]]:
+        """(source name, importance) of each feature; empty unless the model has trees."""
         fitted = self.pipeline.stages[-1]
         if not hasattr(fitted, "featureImportances"):
-            return spark.createDataFrame([], schema)
-        weights = fitted.featureImportances.toArray().tolist()
-        ordered = _assembly_order(self.pipeline, self.features)
-        table = spark.createDataFrame(list(zip(ordered, weights)), schema)
-        return table.orderBy(F.desc("importance"), "feature")
+            return []
+        # The assembler's inputs are our names, which end in the feature's place.
+        assembler = next(s for s in self.pipeline.stages if isinstance(s, VectorAssembler))
+        places = [int(c.split("_")[2]) for c in assembler.getInputCols()]
+        found = fitted.featureImportances.toArray().tolist()
+        return [(self.features[place], weight) for place, weight in zip(places, found)]
 
     def save(self, path: str) -> None:
         self.pipeline.write().save(f"{path}/pipeline")
@@ -254,7 +259,8 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     scored = model.score(labeled(test_rows), keep_vectors=spec.model_type == "clustering")
     predictions = _scores(scored).persist()
     try:
-        metrics, matrix = _metrics(spec.model_type, predictions)
+        classes = getattr(pipeline.stages[-1], "numClasses", None)
+        metrics, matrix = _metrics(spec.model_type, predictions, classes)
         run = _run_row(rows.sparkSession, spec, model, params, metrics, matrix, sizes)
     finally:
         predictions.unpersist()
@@ -315,12 +321,6 @@ def feature_stages(df: DataFrame, features: list[str]) -> list:
     return stages
 
 
-def _assembly_order(pipeline: PipelineModel, features: list[str]) -> list[str]:
-    """The source name behind each slot of the feature vector."""
-    assembler = next(s for s in pipeline.stages if isinstance(s, VectorAssembler))
-    return [features[int(c.split("_")[2])] for c in assembler.getInputCols()]
-
-
 def _scores(scored: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in ("label", "prediction", SCALED) if c in scored.columns]
     if "rawPrediction" in scored.columns:
@@ -329,7 +329,9 @@ def _scores(scored: DataFrame) -> DataFrame:
     return scored.select(columns)
 
 
-def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, list | None]:
+def _metrics(
+    model_type: str, predictions: DataFrame, classes: int | None
+) -> tuple[dict, list | None]:
     if model_type == "regression":
         found = E.regression_metrics(predictions).first().asDict()
         return {k: v for k, v in found.items() if v is not None}, None
@@ -338,15 +340,15 @@ def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, list | None
         if clusters < 2:
             return {}, None
         return {"silhouette": ClusteringEvaluator(featuresCol=SCALED).evaluate(predictions)}, None
-    counts = E.confusion_counts(predictions).persist()
+    counts = E.confusion_counts(predictions)
+    few = classes is not None and classes <= MATRIX_CLASSES
+    if few:  # no more rows than the matrix has cells
+        counts = counts.coalesce(1)
+    counts = counts.persist()
     try:
         found = E.classification_metrics(counts).first().asDict()
-        classes = counts.agg(
-            F.count_distinct("label").alias("actual"),
-            F.count_distinct("prediction").alias("predicted"),
-        ).first()
         matrix = None
-        if max(classes) <= MATRIX_CLASSES:
+        if few:
             rows = E.confusion_matrix(counts).orderBy("position").collect()
             matrix = [list(r["counts"]) for r in rows]
         if matrix is not None and len(matrix) == 2 and "score" in predictions.columns:
@@ -357,8 +359,23 @@ def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, list | None
     return {k: v for k, v in found.items() if v is not None}, matrix
 
 
+def register_run(result: TrainResult, folder: str, registry_path: str) -> str:
+    """Saves the model below ``folder``, appends the run and returns its id."""
+    identifier = result.run.first()["id"]
+    path = f"{folder.rstrip('/')}/{identifier}"
+    result.model.save(path)
+    append(changes(result.run.withColumn("model_path", F.lit(path))), registry_path)
+    return identifier
+
+
+def load_registered(current_runs: DataFrame, identifier: str) -> TrainedModel:
+    """The model of a registered run."""
+    path = get(current_runs, identifier).first()["model_path"]
+    return TrainedModel.load(current_runs.sparkSession, path)
+
+
 def _run_row(spark, spec: TrainSpec, model, params, metrics, matrix, sizes) -> DataFrame:
-    importance = {r["feature"]: r["importance"] for r in model.importances().collect()}
+    importance = dict(model.weights())
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     row = {
         "id": str(uuid.uuid4()),

@@ -123,6 +123,12 @@ def test_sketched_quartiles_on_skewed_values(spark):
     assert all(r["rank_error"] < 0.01 for r in quantiles.rank_error(df, "x", estimates).collect())
 
 
+def test_tables_without_such_columns(spark):
+    assert describe.numeric_stats(spark.createDataFrame([("a",)], "s string")).count() == 0
+    assert describe.categorical_stats(spark.range(3).toDF("n")).count() == 0
+    assert describe.value_counts(spark.range(3).toDF("n")).count() == 0
+
+
 def test_null_can_be_the_mode(spark):
     df = spark.createDataFrame([("a",), (None,), (None,)], "s string")
     row = describe.categorical_stats(df).first()
@@ -185,7 +191,17 @@ def test_histogram_arguments(spark):
             histogram(df, column, bins)
 
 
-def test_numbered_and_running_totals(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_numbered_and_running_totals(spark, coalesce):
+    """In one partition and in several, whose offsets must be added."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        check_numbered_and_running_totals(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_numbered_and_running_totals(spark):
     rng = np.random.default_rng(1)
     values = rng.permutation(5_000).tolist()
     df = spark.createDataFrame([(v, v % 7) for v in values], "v bigint, w bigint").repartition(5)

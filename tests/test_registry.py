@@ -82,7 +82,7 @@ def test_register_and_read_back(spark, tmp_path):
     listed = {r["filename"]: r for r in R.dataset_list(entries).collect()}
     assert (listed["one.csv"]["row_count"], listed["two.csv"]["row_count"]) == (2, 1)
     assert listed["one.csv"]["id"] == first
-    assert spark.read.parquet(listed["one.csv"]["path"]).count() == 2
+    assert R.read_dataset(entries, first).count() == 2
     columns = R.dataset_columns(entries).filter(F.col("id") == first).collect()
     assert [(r["name"], r["null_count"]) for r in columns] == [("n", 0), ("s", 1)]
 
