@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprof.columns import qcol, require_numeric
+from sparkprof.columns import in_groups, qcol, require_numeric
 from sparkprof.functions.missing import nan_to_null
 
 SKETCH_ERROR = 0.0005
 # Values of one interval that are brought together, once their number is known.
 KEPT = 10_000
+COLUMNS_PER_SCAN = 20
 
 
 def sketched_quantiles(value: str, probabilities: list[float], error: float) -> str:
@@ -55,14 +56,21 @@ def exact_quantiles(
     """
     for name in columns:
         require_numeric(df, name)
+    searches = []
+    for group in in_groups(columns, COLUMNS_PER_SCAN):
+        searches += _search(df, group, probabilities)
+    rows = [(s.column, float(s.probability), s.value) for s in searches]
+    return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
+
+
+def _search(df: DataFrame, columns: list[str], probabilities) -> list[_Search]:
     alias = {name: f"v{i}" for i, name in enumerate(columns)}
     # NaN needs no mask where it is compared: it is above every number.
     numbers = df.select([qcol(n).cast("double").alias(v) for n, v in alias.items()])
     searches = _first_intervals(numbers, alias, probabilities)
     while remaining := [s for s in searches if s.value is None and s.rank > 0]:
         _narrow(numbers, alias, remaining)
-    rows = [(s.column, float(s.probability), s.value) for s in searches]
-    return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
+    return searches
 
 
 def _first_intervals(numbers, alias, probabilities) -> list[_Search]:

@@ -35,7 +35,7 @@ from sparkprof.operators.features import (
 from sparkprof.operators.indexing import apply_index, index_values
 from sparkprof.plans.algorithms import Algorithm, find, typed_params
 from sparkprof.plans.registry import RUN_SCHEMA, append, changes, get
-from sparkprof.scratch import use_checkpoints
+from sparkprof.scratch import use_checkpoints, write_once
 
 # Columns the pipeline adds, so no feature may have these names.
 RESERVED = ("label", "prediction", "rawPrediction", "probability")
@@ -65,6 +65,10 @@ class TrainSpec:
     index_labels: bool = False
     # Tasks to spread the prepared rows over, for tables that lie in few files.
     partitions: int | None = None
+    # How the prepared rows are kept for the passes of the fit: in the executors'
+    # memory and disks, or as a table in the shared scratch folder, which lost
+    # executors cannot take away.
+    keep: str = "cache"  # or "table"
     driver_values: int = DRIVER_VALUES
 
 
@@ -156,6 +160,8 @@ def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
     check_share(spec.test_size)
     if spec.split not in ("hash", "random"):
         raise ValueError("split must be hash or random")
+    if spec.keep not in ("cache", "table"):
+        raise ValueError("keep must be cache or table")
     require_columns(df, [*_used(spec), *(spec.key or [])])
     for name in spec.features:
         kind = logical_type(df.schema[name].dataType)
@@ -186,7 +192,7 @@ def _used(spec: TrainSpec) -> list[str]:
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """Prepares, splits, fits and evaluates; returns the model and its run record.
 
-    Only the needed columns are kept, cached once for the passes of the fit.
+    Only the needed columns are kept, once for all passes of the fit.
     The default split is by a hash of the row's key, so that a partition
     recomputed after a lost executor holds the same training rows.
     """
@@ -209,6 +215,8 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
         )
     if spec.partitions:
         rows = rows.repartition(spec.partitions)
+    if spec.keep == "table":
+        return _train_on(write_once(rows, "prepared"), spec, algorithm)
     rows = rows.persist()
     try:
         return _train_on(rows, spec, algorithm)

@@ -94,6 +94,7 @@ def test_stats_need_numbers(spark):
 def test_exact_quantiles_in_many_rounds(spark, monkeypatch, seed):
     """Small limits force narrowing; a third of the rows share one value."""
     monkeypatch.setattr(quantiles, "KEPT", 5)
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_SCAN", 2)
     monkeypatch.setattr(quantiles, "SKETCH_ERROR", 0.04)
     rng = random.Random(seed)
     n = 6_001

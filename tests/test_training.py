@@ -108,6 +108,11 @@ def test_clusters(rows):
     assert run["params"] == {"k": "2", "maxIter": "20", "seed": "42"}
 
 
+def test_rows_kept_as_a_table(rows):
+    cached, written = (train(rows, spec(keep=k)).run.first() for k in ("cache", "table"))
+    assert written["metrics"] == cached["metrics"] and written["train_size"] == cached["train_size"]
+
+
 def test_random_split(rows):
     run = train(rows, spec(split="random", test_size=0.3)).run.first()
     assert run["train_size"] + run["test_size"] == 600 and 100 < run["test_size"] < 260
@@ -119,7 +124,7 @@ def test_refused_before_any_job(rows):
         ({"features": []}, ValueError), ({"target": ""}, ValueError), ({"test_size": 1}, ValueError),
         ({"features": ["nope"]}, KeyError), ({"features": ["day"]}, ValueError),
         ({"target": "day"}, ValueError), ({"features": ["answer"]}, ValueError),
-        ({"model_type": "regression", "algorithm": "gbt_reg"}, ValueError), ({"split": "x"}, ValueError),
+        ({"model_type": "regression", "algorithm": "gbt_reg"}, ValueError), ({"split": "x"}, ValueError), ({"keep": "x"}, ValueError),
     ):
         with pytest.raises(error):
             validate(rows, spec(**changed))
