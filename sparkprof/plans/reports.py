@@ -7,9 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprof.columns import quoted
 from sparkprof.functions.rounding import rounded
-from sparkprof.functions.text import NOT_AVAILABLE, UNKNOWN, or_default, short_id, title_case
+from sparkprof.functions.text import UNKNOWN, or_default, short_id, title_case
 from sparkprof.operators.paging import preview
 from sparkprof.plans.registry import get
 from sparkprof.sources.sinks import write_views

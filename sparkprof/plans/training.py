@@ -148,6 +148,7 @@ class TrainResult:
     model: TrainedModel
     run: DataFrame  # one row of the run registry
     predictions: DataFrame  # prediction with label and, for two classes, score
+    dropped: int = 0  # rows left out for a missing feature or target
 
 
 def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
@@ -229,6 +230,7 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     kept, first = F.col("_complete"), F.col("_train")
     sizes = rows.agg(
         F.count_if(kept).alias("kept"),
+        F.count_if(~kept).alias("dropped"),
         F.count_if(kept & first).alias("train"),
         F.count_if(kept & ~first).alias("test"),
         _class_count(rows, spec).alias("classes"),
@@ -250,6 +252,8 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     }
     for name, values in indexes.items():
         train_rows = apply_index(train_rows, name, values, output=name)
+    if indexes:  # every stage of the fit reads these rows
+        train_rows = write_once(train_rows, "indexed")
 
     labels, labeled = _labeler(train_rows, spec, sizes["classes"])
     params = typed_params(algorithm, spec.params)
@@ -272,7 +276,7 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
         run = _run_row(rows.sparkSession, spec, model, params, metrics, matrix, sizes)
     finally:
         predictions.unpersist()
-    return TrainResult(model, run, predictions.drop(SCALED))
+    return TrainResult(model, run, predictions.drop(SCALED), sizes["dropped"])
 
 
 def _by_name(rows: DataFrame, spec: TrainSpec) -> bool:

@@ -55,7 +55,9 @@ def test_text_target_of_two_classes_has_an_auc(rows):
 
 
 def test_boolean_target_and_rows_with_holes(rows):
-    run = train(rows, spec(target="flag", features=["a.b", "holes"])).run.first()
+    result = train(rows, spec(target="flag", features=["a.b", "holes"]))
+    run = result.run.first()
+    assert result.dropped == 12
     assert run["train_size"] + run["test_size"] == 588
     assert run["metrics"]["roc_auc"] == 1.0
 
