@@ -104,16 +104,20 @@ def _narrow(numbers: DataFrame, alias: dict[str, str], searches: list[_Search])
     counts = []
     for i, s in enumerate(searches):
         v, low, high = alias[s.column], _sql(s.low), _sql(s.high)
-        counts += [
-            f"count_if({v} < {low}) AS below_{i}",
-            f"count_if({v} <= {high}) AS upto_{i}",
-            f"count_if({v} = {low}) AS low_{i}",
-            f"count_if({v} = {high}) AS high_{i}",
-        ]
+        counts += [f"count_if({v} < {low}) AS below_{i}", f"count_if({v} <= {high}) AS upto_{i}"]
+        if s.low < s.high:
+            counts += [
+                f"count_if({v} = {low}) AS low_{i}",
+                f"count_if({v} = {high}) AS high_{i}",
+            ]
     row = numbers.selectExpr(*counts).first()
     between = []  # (search, values strictly inside, rank among them)
     for i, s in enumerate(searches):
-        below, upto, at_low, at_high = (row[f"{k}_{i}"] for k in ("below", "upto", "low", "high"))
+        below, upto = row[f"below_{i}"], row[f"upto_{i}"]
+        if s.low < s.high:
+            at_low, at_high = row[f"low_{i}"], row[f"high_{i}"]
+        else:
+            at_low = at_high = upto - below
         if s.rank <= below:
             s.low, s.high = -math.inf, _next(s.low, -math.inf)
         elif s.rank > upto:
