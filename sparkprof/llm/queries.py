@@ -5,20 +5,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sparkprof.llm import language, quality
 from sparkprof.llm.simhash import near_duplicates
 
+# From this score on a document counts as good.
+GOOD = 0.7
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(id: str, parts: int) -> Column:
+    """The fold of an id: the checksum of its digits modulo ``parts``; null ids are in none."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % parts, F.lit(-1))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned outside the held-out fold."""
+    documents, held_out = _table(spark, folder, "documents"), remainder("doc_id", 4) == 2
+    model = quality.fit(documents, _table(spark, folder, "labels").filter(~held_out))
+    scored = documents.select("doc_id", held_out.alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned outside the held-out fold."""
+    documents, held_out = _table(spark, folder, "documents"), remainder("doc_id", 3) == 1
+    model = language.fit(documents.filter(~held_out))
+    found = documents.select(
+        "doc_id", held_out.alias("held_out"), model.predict(F.col("text")).alias("found")
+    )
+    return found.select("doc_id", "held_out", "found.*")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints and near-duplicate groups of all documents."""
     return near_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op3_quality": (op3_quality, None),
+    "op4_language": (op4_language, None),
     "op8_simhash": (op8_simhash, None),
 }
