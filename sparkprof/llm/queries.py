@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import language, quality
+from sparkprof.llm import decontaminate, language, mixing, quality
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -24,6 +24,16 @@ def remainder(id: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mix takes of each document."""
+    drawn = mixing.draws(_table(spark, folder, "documents"))
+    return drawn.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_draws")).alias("taken"),
+        F.col("mix_draws.mix_shard").alias("shards"),
+    )
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents, learned outside the held-out fold."""
     documents, held_out = _table(spark, folder, "documents"), remainder("doc_id", 4) == 2
@@ -47,8 +57,17 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.contaminated(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
 QUERIES = {
+    "op1_mixing": (op1_mixing, None),
     "op3_quality": (op3_quality, None),
     "op4_language": (op4_language, None),
     "op8_simhash": (op8_simhash, None),
+    "op9_decontaminate": (op9_decontaminate, None),
 }
