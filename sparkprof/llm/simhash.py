@@ -296,3 +296,24 @@ def local_roots(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if (new == root).all():
             return root
         root = new
+
+
+def deduplicated(
+    documents: DataFrame, words: int = 5, distance: int = 6, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows that share an id are one document.  A row without an id stays only if no other
+    document of its group has one.
+    """
+    found = near_duplicates(documents, words, distance, id, text)
+    # Smaller than what stays; texts move only if it is too large to be sent to all.
+    gone = found.filter(F.col(id) != F.col("component_id")).select(id).distinct()
+    kept = documents.join(gone, id, "left_anti")
+    if found.filter(F.col(id).isNull()).isEmpty():
+        return kept
+    alone = found.filter(F.col(id).isNull() & F.col("component_id").isNull())
+    alone = alone.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
+    unnamed = kept.filter(F.col(id).isNull()).withColumn("_fp", fingerprint(F.col(text), words))
+    unnamed = unnamed.join(alone, F.col("_fp") == F.col("fp"), "left_semi").drop("_fp")
+    return kept.filter(F.col(id).isNotNull()).unionByName(unnamed)
