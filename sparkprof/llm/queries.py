@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import chat, decontaminate, language, mixing, quality
+from sparkprof.llm import chat, decontaminate, language, mixing, quality, topk
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -98,6 +98,30 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best neighbours of every hundredth vector among all."""
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_OP7_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints and near-duplicate groups of all documents."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -115,6 +139,7 @@ QUERIES = {
     "op2_chat": (op2_chat, _OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_language": (op4_language, None),
+    "op7_topk": (op7_topk, _OP7_SQL),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, None),
 }
