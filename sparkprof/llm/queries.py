@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import chat, decontaminate, language, mixing, quality, topk
+from sparkprof.llm import chat, decontaminate, language, mixing, pages, quality, topk
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -134,6 +134,11 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.main_text(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_mixing": (op1_mixing, None),
     "op2_chat": (op2_chat, _OP2_SQL),
@@ -142,4 +147,5 @@ QUERIES = {
     "op7_topk": (op7_topk, _OP7_SQL),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, None),
+    "op10_pages": (op10_pages, None),
 }
