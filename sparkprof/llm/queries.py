@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import chat, decontaminate, language, mixing, pages, quality, topk
+from sparkprof.llm import chat, decontaminate, language, licenses, mixing, pages, quality, topk
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -98,6 +98,69 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents, laid out as files: every hundredth states one for its folder."""
+    documents = _table(spark, folder, "documents")
+    path = F.expr(
+        "concat_ws('/', coalesce(source, 'unknown'), doc_id div 10000, doc_id div 100,"
+        " if(doc_id % 100 = 0, 'LICENSE', concat(doc_id, '.txt')))"
+    )
+    return licenses.scan(documents.select("doc_id", "text", path.alias("path")))
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({number}, '{license}', '{word}')"
+    for number, (license, text) in enumerate(licenses.TEMPLATES)
+    for word in sorted(set(licenses.template_words(text)))
+)
+_OP6_SQL = rf"""
+WITH files AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100,
+    CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END) AS path,
+    concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100) AS dir
+  FROM documents
+), lines AS (
+  SELECT row_number() OVER () AS line, doc_id, path, words FROM (
+    SELECT doc_id, path, list_distinct(list_filter(
+      regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS words
+    FROM (SELECT doc_id, path, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
+  ) WHERE len(words) > 0
+), templates(template, license, word) AS (VALUES {_TEMPLATE_ROWS}),
+total AS (SELECT count(*) AS n FROM lines),
+seen AS (SELECT word, count(*) AS lines FROM (SELECT unnest(words) AS word FROM lines) GROUP BY word),
+weighed AS (
+  SELECT template, license, word,
+    ln(((SELECT n FROM total) + 1) / CAST(coalesce(lines, 0) + 1 AS DOUBLE)) + 1 AS idf
+  FROM templates LEFT JOIN seen USING (word)
+), norms AS (
+  SELECT template, license, sqrt(sum(idf * idf)) AS norm FROM weighed GROUP BY ALL
+), parts AS (
+  SELECT line, doc_id, path, n, word, idf
+  FROM (SELECT line, doc_id, path, len(words) AS n, unnest(words) AS word FROM lines)
+  JOIN (SELECT DISTINCT word, idf FROM weighed) USING (word)
+), lengths AS (
+  SELECT line, sqrt(sum(idf * idf)
+    + (any_value(n) - count(*)) * power(ln((SELECT n FROM total) + 1) + 1, 2)) AS length
+  FROM parts GROUP BY line
+), shown AS (
+  SELECT doc_id, path, license, round(product / norm / length, {licenses.DIGITS}) AS cosine
+  FROM (SELECT line, doc_id, path, template, sum(idf * idf) AS product
+        FROM parts JOIN (SELECT template, word FROM templates) USING (word) GROUP BY ALL)
+  JOIN norms USING (template) JOIN lengths USING (line)
+), best AS (
+  SELECT * FROM shown WHERE cosine >= {licenses.COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, license) = 1
+), stated AS (
+  SELECT dir, license, cosine FROM best JOIN files USING (doc_id, path) WHERE doc_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1
+)
+SELECT doc_id, path, coalesce(b.license, s.license) AS license, coalesce(b.cosine, s.cosine) AS cosine,
+  CASE WHEN b.license IS NOT NULL THEN 'own' WHEN s.license IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN b.license IS NULL AND s.license IS NOT NULL THEN dir END AS license_dir
+FROM files LEFT JOIN best b USING (doc_id, path) LEFT JOIN stated s USING (dir)
+"""
+
+
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best neighbours of every hundredth vector among all."""
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -144,6 +207,7 @@ QUERIES = {
     "op2_chat": (op2_chat, _OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_language": (op4_language, None),
+    "op6_licenses": (op6_licenses, _OP6_SQL),
     "op7_topk": (op7_topk, _OP7_SQL),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, None),
