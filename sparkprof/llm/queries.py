@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import chat, decontaminate, language, licenses, mixing, pages, quality, topk
+from sparkprof.llm import backoff, chat, decontaminate, language, licenses, mixing, pages, quality, topk
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -98,6 +98,37 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
+def op5_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return backoff.score(_table(spark, folder, "documents"))
+
+
+_OP5_SQL = rf"""
+WITH listed AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ 	-]+'), lambda w: w <> '') AS words
+  FROM documents
+), placed AS (
+  SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM listed
+), following AS (
+  SELECT *, lag(w) OVER (PARTITION BY row ORDER BY place) AS v FROM placed
+), singles AS (SELECT w, count(*) AS n FROM placed GROUP BY w),
+pairs AS (SELECT v, w, count(*) AS n FROM following WHERE v IS NOT NULL GROUP BY v, w),
+total AS (SELECT greatest(count(*) - 1, 1)::DOUBLE AS others FROM placed),
+scored AS (
+  SELECT f.row, CASE
+      WHEN p.n > 1 THEN (p.n - 1) / greatest(a.n - 1, 1)::DOUBLE
+      WHEN f.v IS NULL THEN greatest(b.n - 1, 1) / (SELECT others FROM total)
+      ELSE {backoff.BACKOFF}::DOUBLE * (greatest(b.n - 1, 1) / (SELECT others FROM total)) END AS chance
+  FROM following f JOIN singles b ON b.w = f.w
+    LEFT JOIN singles a ON a.w = f.v LEFT JOIN pairs p ON p.v = f.v AND p.w = f.w
+), summed AS (SELECT row, sum(log10(chance)) AS score FROM scored GROUP BY row)
+SELECT doc_id, len(words) AS n_words, round(coalesce(score, 0.0), {backoff.DIGITS}) AS score
+FROM listed LEFT JOIN summed USING (row)
+"""
+
+
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of all documents, laid out as files: every hundredth states one for its folder."""
     documents = _table(spark, folder, "documents")
@@ -207,6 +238,7 @@ QUERIES = {
     "op2_chat": (op2_chat, _OP2_SQL),
     "op3_quality": (op3_quality, None),
     "op4_language": (op4_language, None),
+    "op5_backoff": (op5_backoff, _OP5_SQL),
     "op6_licenses": (op6_licenses, _OP6_SQL),
     "op7_topk": (op7_topk, _OP7_SQL),
     "op8_simhash": (op8_simhash, None),
