@@ -158,9 +158,15 @@ def fit(
     """
     rows = documents.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("id is not null and lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count()
+    # One row for each language.
+    sizes = rows.groupBy("lang").count().collect()
     place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(_RANGE))
-    chosen = rows.join(sizes, "lang").filter(place * F.col("count") < F.lit(rows_per_language * _RANGE))
+    shares = [
+        F.lit(x) for size in sizes
+        for x in (size["lang"], min(_RANGE, rows_per_language * _RANGE // size["count"]))
+    ]
+    share = F.create_map(*shares)[F.col("lang")] if shares else F.lit(0)
+    chosen = rows.filter(place < share)
     chosen = chosen.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.*")
     counts = chosen.mapInPandas(_counted, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
