@@ -20,6 +20,8 @@ LEVEL_BITS = 10
 FINE_BITS = 40
 # Documents of a source among which the last ones are chosen one by one.
 LEAF_ROWS = 1024
+# A plan of up to this many sources is sent to every task.
+BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,13 +99,11 @@ def _sizes(text: str, source: str, id: str, seed: int) -> Column:
     ).alias("s")
 
 
-def _rank(block: str, factor: str, shift: str, blocks: str) -> str:
-    """Place of a block in a pass: an odd factor permutes a power of two of blocks."""
-    return f"({block} * {factor} + {shift}) & ({blocks} - 1)"
-
-
 def _drawn(key: Column, plan: Column) -> Column:
-    """The draws of a document whose hash is ``key``."""
+    """The draws of a document whose hash is ``key``.
+
+    An odd factor and a shift permute the blocks of a pass, a power of two of them.
+    """
     block = key.bitwiseAND(plan["blocks"] - 1)
     fine = F.shiftrightunsigned(key, 64 - FINE_BITS)
 
@@ -180,7 +180,11 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], shards: int, seed: int)
                   dealt[:-1, i].tolist(), extra.get(s.name, [])))
         for i, s in enumerate(sources)
     ]
-    return spark.createDataFrame(rows, _PLAN)
+    return _small(spark.createDataFrame(rows, _PLAN), len(rows))
+
+
+def _small(plan: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(plan) if rows <= BROADCAST_SOURCES else plan
 
 
 _PLAN = (
@@ -197,22 +201,12 @@ def _last_pass(
     The order is narrowed by LEVEL_BITS at a time to the range in which the target is
     reached, until it holds few documents; among them those that fit are taken in turn.
     """
-    spark, at = sized.sparkSession, {s.name: i for i, s in enumerate(sources)}
+    at = {s.name: i for i, s in enumerate(sources)}
     open_ = [s for s in sources if s.width]
     level = FINE_BITS
     extra: dict[str, list[int]] = {}
     while open_:
-        rows = [
-            (s.name, s.rest, s.blocks, int(factors[at[s.name], s.passes]), int(shifts[at[s.name], s.passes]),
-             s.cut, s.cut + s.width)
-            for s in open_
-        ]
-        now = spark.createDataFrame(
-            rows, "mix_source string, rest double, blocks bigint, f bigint, s bigint, lo bigint, hi bigint"
-        )
-        rank = F.expr(_rank("(key & (blocks - 1))", "f", "s", "blocks"))
-        order = F.shiftleft(rank, FINE_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - FINE_BITS))
-        inside = sized.join(now, "mix_source").withColumn("place", order).filter("place >= lo and place < hi")
+        inside = _inside(sized, open_, factors, shifts, at)
         bins = inside.groupBy("mix_source", "rest", F.shiftright("place", level).alias("bin")).agg(
             F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
         )
@@ -238,10 +232,10 @@ def _last_pass(
     return extra
 
 
-def _fitting(
+def _inside(
     sized: DataFrame, sources: list[Source], factors: np.ndarray, shifts: np.ndarray, at: dict[str, int]
-) -> dict[str, list[int]]:
-    """Of the documents in the last range of each source, those that fit, in their order."""
+) -> DataFrame:
+    """The documents in the range of their source, with their ``place`` in the last pass."""
     rows = [
         (s.name, s.rest, s.blocks, int(factors[at[s.name], s.passes]), int(shifts[at[s.name], s.passes]),
          s.cut, s.cut + s.width)
@@ -250,9 +244,17 @@ def _fitting(
     now = sized.sparkSession.createDataFrame(
         rows, "mix_source string, rest double, blocks bigint, f bigint, s bigint, lo bigint, hi bigint"
     )
-    rank = F.expr(_rank("(key & (blocks - 1))", "f", "s", "blocks"))
-    order = F.shiftleft(rank, FINE_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - FINE_BITS))
-    inside = sized.join(now, "mix_source").withColumn("place", order).filter("place >= lo and place < hi")
+    rank = F.expr("((key & (blocks - 1)) * f + s) & (blocks - 1)")
+    place = F.shiftleft(rank, FINE_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - FINE_BITS))
+    inside = sized.join(_small(now, len(rows)), "mix_source").withColumn("place", place)
+    return inside.filter("place >= lo and place < hi")
+
+
+def _fitting(
+    sized: DataFrame, sources: list[Source], factors: np.ndarray, shifts: np.ndarray, at: dict[str, int]
+) -> dict[str, list[int]]:
+    """Of the documents in the last range of each source, those that fit, in their order."""
+    inside = _inside(sized, sources, factors, shifts, at)
     # Equal rows are taken together.
     keys = inside.groupBy("mix_source", "key", "place", "rest").agg(F.sum("size").alias("size"))
 
