@@ -14,14 +14,17 @@ _QUARTILES = (0.25, 0.5, 0.75)
 
 
 def numeric_stats(spark, folder):
-    stats = describe.numeric_stats(table(spark, folder, "lineitem"))
-    return stats.select("column", "count", "nan_count", "mean", "std", "min", "max")
+    """All statistics, with the quartiles searched exactly."""
+    return describe.numeric_stats(table(spark, folder, "lineitem"), quantile_error=0)
 
 
+_CUTS = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 _numeric_stats = union_sql(
     f"""SELECT '{c}' AS "column", count({c})::BIGINT AS "count", 0::BIGINT AS nan_count,
   printf('%.4f', avg({c}))::DOUBLE AS mean, printf('%.4f', stddev_samp({c}))::DOUBLE AS std,
-  min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem"""
+  {', '.join(f"printf('%.4f', quantile_disc({c}, {p})::DOUBLE)::DOUBLE AS {n}" for n, p in _CUTS)},
+  min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, min({c})::VARCHAR AS min_text,
+  max({c})::VARCHAR AS max_text FROM lineitem"""
     for c in _NUMERIC
 )
 
@@ -33,21 +36,18 @@ def numeric_stats_missing(spark, folder):
         F.expr("CASE WHEN l_linenumber = 1 THEN double('NaN') ELSE l_tax END").alias("with_nans"),
         F.lit(None).cast("double").alias("empty"),
     )
-    stats = describe.numeric_stats(rows)
-    return stats.select("column", "count", "nan_count", "mean", "std", "min", "max")
+    return describe.numeric_stats(rows, quantile_error=0)
 
 
-_numeric_stats_missing = """
-SELECT 'with_nulls' AS "column", count(v)::BIGINT AS "count", 0::BIGINT AS nan_count,
-  printf('%.4f', avg(v))::DOUBLE AS mean, printf('%.4f', stddev_samp(v))::DOUBLE AS std, min(v) AS min, max(v) AS max
-FROM (SELECT nullif(l_discount, 0.0) AS v FROM lineitem)
-UNION ALL
-SELECT 'with_nans', count(l_tax) FILTER (l_linenumber <> 1), count(*) FILTER (l_linenumber = 1),
-  printf('%.4f', avg(l_tax) FILTER (l_linenumber <> 1))::DOUBLE,
-  printf('%.4f', stddev_samp(l_tax) FILTER (l_linenumber <> 1))::DOUBLE,
-  min(l_tax) FILTER (l_linenumber <> 1), max(l_tax) FILTER (l_linenumber <> 1) FROM lineitem
-UNION ALL
-SELECT 'empty', 0, 0, NULL, NULL, NULL, NULL FROM (SELECT count(*) FROM lineitem)"""
+_numeric_stats_missing = f"""WITH long AS (
+  SELECT 'with_nulls' AS "column", nullif(l_discount, 0.0) AS v, false AS nan FROM lineitem
+  UNION ALL SELECT 'with_nans', CASE WHEN l_linenumber <> 1 THEN l_tax END, l_linenumber = 1 FROM lineitem
+  UNION ALL SELECT 'empty', NULL, false FROM lineitem)
+SELECT "column", count(v)::BIGINT AS "count", count(*) FILTER (nan)::BIGINT AS nan_count,
+  printf('%.4f', avg(v))::DOUBLE AS mean, printf('%.4f', stddev_samp(v))::DOUBLE AS std,
+  {', '.join(f"printf('%.4f', quantile_disc(v, {p}))::DOUBLE AS {n}" for n, p in _CUTS)},
+  min(v) AS min, max(v) AS max, min(v)::VARCHAR AS min_text, max(v)::VARCHAR AS max_text
+FROM long GROUP BY "column\""""
 
 
 def stats_table(spark, folder):
@@ -68,7 +68,8 @@ _stats_table = union_sql(
 
 
 def quartiles(spark, folder):
-    return quantiles.exact_quantiles(table(spark, folder, "lineitem"), _NUMERIC, _QUARTILES)
+    found = quantiles.exact_quantiles(table(spark, folder, "lineitem"), _NUMERIC, _QUARTILES)
+    return found.drop("value_text")
 
 
 _quartiles = union_sql(
@@ -79,6 +80,25 @@ _quartiles = union_sql(
 )
 
 
+def quartiles_bigint(spark, folder):
+    """Whole numbers that a double cannot tell apart."""
+    rows = table(spark, folder, "lineitem").select(
+        (F.lit(2**60) + F.col("l_orderkey")).alias("large"),
+        (F.lit(-(2**55)) - F.col("l_partkey")).alias("low"), "l_orderkey",
+    )
+    found = quantiles.exact_quantiles(rows, rows.columns, _QUARTILES)
+    return found.select("column", "probability", "value_text")
+
+
+_quartiles_bigint = union_sql(
+    f"""SELECT '{name}' AS "column", {p}::DOUBLE AS probability,
+  quantile_disc({c}, {p})::VARCHAR AS value_text FROM lineitem"""
+    for name, c in (("large", f"({2**60} + l_orderkey)"), ("low", f"(-{2**55} - l_partkey)"),
+                    ("l_orderkey", "l_orderkey"))
+    for p in _QUARTILES
+)
+
+
 def quartiles_approx(spark, folder):
     """The quartiles of the one-pass statistics are within a hundredth of their rank."""
     rows = table(spark, folder, "lineitem").select("l_extendedprice")
@@ -112,13 +132,31 @@ _categorical_stats = f"""WITH groups AS ({union_sql(
   FROM documents GROUP BY ALL'''
     for name, expression in _DOCUMENT_STRINGS.items()
 )}), ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC,
-  value IS NULL, substr(value, 1, 64), CASE WHEN length(value) > 64 THEN sha256(value) END
-  NULLS FIRST) AS place FROM groups)
+  value NULLS LAST) AS place FROM groups)
 SELECT "column", sum(n)::BIGINT AS "count", count(*)::BIGINT AS "unique",
   max(CASE WHEN place = 1 THEN value END) AS top, max(n)::BIGINT AS freq
 FROM ranked GROUP BY "column\""""
 
 
+_LONG_TIES = "repeat('x', 64) || l_linenumber"
+
+
+def categorical_stats_ties(spark, folder):
+    """Long texts of one beginning, equally frequent; and a table without rows."""
+    lines = table(spark, folder, "lineitem").select("l_linenumber", "l_returnflag")
+    ties = lines.distinct().select(F.expr(_LONG_TIES).alias("text"))
+    none = lines.limit(0).select(F.expr(_LONG_TIES).alias("none"))
+    return describe.categorical_stats(ties).unionAll(describe.categorical_stats(none))
+
+
+_categorical_stats_ties = f"""WITH groups AS (SELECT {_LONG_TIES} AS value, count(*) AS n
+  FROM (SELECT DISTINCT l_linenumber, l_returnflag FROM lineitem) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, value NULLS LAST) AS place FROM groups)
+SELECT 'text' AS "column", sum(n)::BIGINT AS "count", count(*)::BIGINT AS "unique",
+  max(CASE WHEN place = 1 THEN value END) AS top, max(n)::BIGINT AS freq FROM ranked
+UNION ALL SELECT 'none', count(*), 0, NULL, 0 FROM lineitem WHERE false"""
+
+
 def categorical_stats_short(spark, folder):
     """Short strings only: one scan and no texts to read back."""
     rows = table(spark, folder, "lineitem").select(
@@ -217,12 +255,11 @@ _column_types = union_sql(
 
 
 def column_info(spark, folder):
-    found = profile.column_info(table(spark, folder, "events"), "value")
-    return found.drop("nullable")
+    return profile.column_info(table(spark, folder, "events"), "value")
 
 
 _column_info = """SELECT 4 AS "position", 'value' AS "column", 'numeric' AS type,
-  'double' AS spark_type, count(*) FILTER (value IS NULL)::BIGINT AS null_count,
+  'double' AS spark_type, true AS nullable, count(*) FILTER (value IS NULL)::BIGINT AS null_count,
   0::BIGINT AS nan_count, count(value)::BIGINT AS non_null_count,
   count(*)::BIGINT AS row_count, 6 AS column_count FROM events"""
 
@@ -253,46 +290,80 @@ def histogram_with_gaps(spark, folder):
 
 
 def histogram_constant(spark, folder):
-    rows = table(spark, folder, "lineitem").select(F.lit(5.0).alias("five"))
+    rows = table(spark, folder, "lineitem").select((F.col("l_quantity") * 0 + 5).alias("five"))
     return histogram.histogram(rows, "five", 10)
 
 
+_ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority"""
+
+
+def _shown(rows):
+    """Moments as text: the engines' own types differ."""
+    return rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 def preview_head(spark, folder):
-    orders = table(spark, folder, "orders").drop("o_orderdate")
-    return paging.preview(orders, 100, ["o_orderkey"])
+    return _shown(paging.preview(table(spark, folder, "orders"), 100, ["o_orderkey"]))
 
 
-_preview_head = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-FROM orders ORDER BY o_orderkey LIMIT 100"""
+_preview_head = f"{_ORDERS} FROM orders ORDER BY o_orderkey LIMIT 100"
 
 
 def preview_page(spark, folder):
-    orders = table(spark, folder, "orders").drop("o_orderdate")
-    return paging.with_total(paging.page(orders, "o_orderkey", 100, 1_000), orders)
+    orders = table(spark, folder, "orders")
+    return _shown(paging.with_total(paging.page(orders, "o_orderkey", 100, 1_000), orders))
 
 
-_preview_page = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
-  (SELECT count(*) FROM orders)::BIGINT AS total_rows
+_preview_page = f"""{_ORDERS}, (SELECT count(*) FROM orders)::BIGINT AS total_rows
 FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 1000"""
 
 
 def preview_deep_page(spark, folder):
-    """The same page, found by numbering the keys across the cluster."""
-    orders = table(spark, folder, "orders").drop("o_orderdate")
-    return paging.page(orders, "o_orderkey", 100, 1_000, top_k_rows=0)
+    """The last page, which is not full."""
+    orders = table(spark, folder, "orders")
+    return _shown(paging.page(orders, "o_orderkey", 1_000, 1_450))
 
 
-_preview_deep_page = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 1000"""
+_preview_deep_page = f"{_ORDERS} FROM orders ORDER BY o_orderkey LIMIT 1000 OFFSET 1450"
 
 
 def preview_after(spark, folder):
-    orders = table(spark, folder, "orders").drop("o_orderdate")
-    return paging.page_after(orders, "o_orderkey", 1_234, 50)
+    return _shown(paging.page_after(table(spark, folder, "orders"), "o_orderkey", 1_234, 50))
+
+
+_preview_after = f"{_ORDERS} FROM orders WHERE o_orderkey > 1234 ORDER BY o_orderkey LIMIT 50"
+
+
+def _holed_keys(spark, folder):
+    """A key that is NULL for one priority and repeated for the others."""
+    return table(spark, folder, "orders").select(
+        F.expr("nullif(o_orderpriority, '3-MEDIUM')").alias("key"), "o_orderkey"
+    )
+
+
+def _page_sql(limit, offset):
+    return f"""SELECT nullif(o_orderpriority, '3-MEDIUM') AS key, o_orderkey FROM orders
+ORDER BY key NULLS FIRST, o_orderkey LIMIT {limit} OFFSET {offset}"""
+
+
+def page_null_and_repeated_keys(spark, folder):
+    """From NULL keys on into repeated ones."""
+    return paging.page(_holed_keys(spark, folder), "key", 500, 50)
+
+
+def page_deep_null_keys(spark, folder):
+    """Far from the NULL keys, within repeated ones."""
+    return paging.page(_holed_keys(spark, folder), "key", 100, 1_100)
+
+
+def display_cells(spark, folder):
+    """The first rows as they are shown."""
+    return paging.display_rows(table(spark, folder, "nation"), 10, ["n_nationkey"])
 
 
-_preview_after = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-FROM orders WHERE o_orderkey > 1234 ORDER BY o_orderkey LIMIT 50"""
+_display_cells = """SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey
+FROM nation ORDER BY nation.n_nationkey LIMIT 10"""
 
 
 QUERIES = {
@@ -300,8 +371,10 @@ QUERIES = {
     "numeric_stats_missing": (numeric_stats_missing, _numeric_stats_missing),
     "stats_table": (stats_table, _stats_table),
     "quartiles": (quartiles, _quartiles),
+    "quartiles_bigint": (quartiles_bigint, _quartiles_bigint),
     "quartiles_approx": (quartiles_approx, _quartiles_approx),
     "categorical_stats": (categorical_stats, _categorical_stats),
+    "categorical_stats_ties": (categorical_stats_ties, _categorical_stats_ties),
     "categorical_stats_short": (categorical_stats_short, _categorical_stats_short),
     "value_counts": (value_counts, _value_counts),
     "profile_nulls": (profile_nulls, _profile_nulls),
@@ -311,9 +384,12 @@ QUERIES = {
     "histogram": (histogram_price, _histogram_sql("lineitem", "l_extendedprice", 20)),
     "histogram_on_bounds": (histogram_on_bounds, _histogram_sql("lineitem", "l_quantity", 49)),
     "histogram_with_gaps": (histogram_with_gaps, _histogram_sql("events", "value", 100)),
-    "histogram_constant": (histogram_constant, _histogram_sql("lineitem", "5.0::DOUBLE", 10)),
+    "histogram_constant": (histogram_constant, _histogram_sql("lineitem", "(l_quantity * 0 + 5)", 10)),
     "preview_head": (preview_head, _preview_head),
     "preview_page": (preview_page, _preview_page),
     "preview_deep_page": (preview_deep_page, _preview_deep_page),
     "preview_after": (preview_after, _preview_after),
+    "page_null_and_repeated_keys": (page_null_and_repeated_keys, _page_sql(500, 50)),
+    "page_deep_null_keys": (page_deep_null_keys, _page_sql(100, 1_100)),
+    "display_rows": (display_cells, _display_cells),
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.inputs import (
@@ -31,19 +35,21 @@ def registry_register(spark, folder):
     current = R.current(R.open_registry(spark, entries, R.DATASET_SCHEMA))
     described = current.select("id", "filename", "row_count", "column_count", F.inline("columns"))
     stored = spark.read.parquet(current.first()["path"])
-    return described.drop("spark_type", "nullable").withColumn(
+    return described.withColumn(
         "stored_rows", stored.agg(F.count(F.lit(1))).scalar()
     )
 
 
 _registry_register = union_sql(
     f"""SELECT 'orders-1' AS id, 'orders.parquet' AS filename, count(*)::BIGINT AS row_count,
-  6 AS column_count, '{c}' AS name, '{kind}' AS type,
+  6 AS column_count, '{c}' AS name, '{kind}' AS type, '{stored}' AS spark_type, true AS nullable,
   (count(*) - count({c}))::BIGINT AS null_count, count({c})::BIGINT AS non_null_count,
   count(*)::BIGINT AS stored_rows FROM orders"""
-    for c, kind in {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string",
-                    "o_totalprice": "numeric", "o_orderdate": "datetime",
-                    "o_orderpriority": "string"}.items()
+    for c, kind, stored in (
+        ("o_orderkey", "integer", "bigint"), ("o_custkey", "integer", "bigint"),
+        ("o_orderstatus", "string", "string"), ("o_totalprice", "numeric", "double"),
+        ("o_orderdate", "datetime", "timestamp_ntz"), ("o_orderpriority", "string", "string"),
+    )
 )
 
 
@@ -63,6 +69,18 @@ SELECT id, name, test_size::BIGINT AS test_size,
 FROM ranked WHERE place = 1 AND op = 'put'"""
 
 
+def registry_deleted(spark, folder):
+    """The runs of one algorithm are deleted by their ids."""
+    rows = R.changes(runs(spark, folder), at=datetime(2024, 1, 1))
+    ids = rows.filter("algorithm = 'gbt'").select("id")
+    gone = R.deleted(ids, rows, at=datetime(2024, 1, 2))
+    return R.current(rows.unionByName(gone)).select("id", "name", "train_size", "test_size")
+
+
+_registry_deleted = f"""WITH {RUNS_SQL} SELECT id, name, train_size, test_size FROM runs
+WHERE algorithm <> 'gbt'"""
+
+
 def registry_updated(spark, folder):
     """A changed field of some runs; ids that are not registered change nothing."""
     rows = runs(spark, folder)
@@ -265,38 +283,85 @@ _report_confusion_matrices = f"WITH {RUNS_SQL}\n" + union_sql(
 )
 
 
+def _cell(metric, of_type):
+    """A metric as the report writes it; one of another type stays empty."""
+    return f"""CASE WHEN model_type = '{of_type}' THEN
+    coalesce(printf('%.4f', {metric})::DOUBLE::VARCHAR, 'N/A') END"""
+
+
 def report_metrics_comparison(spark, folder):
-    """Numbers are compared as numbers: the engines write them differently."""
     found = reports.metrics_comparison(runs(spark, folder))
-    cells = ("Accuracy", "F1 Score", "RMSE", "R²", "Silhouette")
-    return found.select(
-        "Model ID", "Type", "Algorithm", "Created",
-        *[F.col(c).try_cast("double").alias(c) for c in cells],
-        F.coalesce(F.col("F1 Score") == "N/A", F.lit(False)).alias("f1_missing"),
-        F.coalesce(F.col("R²") == "N/A", F.lit(False)).alias("r2_missing"),
-    )
+    return found.select("Model ID", "Type", "Algorithm", "Created", "Accuracy", "F1 Score", "RMSE", "R²", "Silhouette")
 
 
 _report_metrics_comparison = f"""WITH {RUNS_SQL} SELECT id[:8] || '...' AS "Model ID",
   model_type AS "Type", algorithm AS "Algorithm", strftime(created_at, '%Y-%m-%d') AS "Created",
-  printf('%.4f', accuracy)::DOUBLE AS "Accuracy", printf('%.4f', f1)::DOUBLE AS "F1 Score",
-  printf('%.4f', rmse)::DOUBLE AS "RMSE", printf('%.4f', r2)::DOUBLE AS "R²",
-  printf('%.4f', silhouette)::DOUBLE AS "Silhouette",
-  model_type = 'classification' AND f1 IS NULL AS f1_missing,
-  model_type = 'regression' AND r2 IS NULL AS r2_missing FROM runs"""
+  {_cell('accuracy', 'classification')} AS "Accuracy", {_cell('f1', 'classification')} AS "F1 Score",
+  {_cell('rmse', 'regression')} AS "RMSE", {_cell('r2', 'regression')} AS "R²",
+  {_cell('silhouette', 'clustering')} AS "Silhouette" FROM runs"""
 
 
 def report_type_comparison(spark, folder):
-    found = reports.type_comparison(runs(spark, folder), "regression")
-    return found.select(
-        "Model ID", "Algorithm", F.col("Rmse").try_cast("double").alias("Rmse"),
-        F.col("R2").try_cast("double").alias("R2"), (F.col("R2") == "N/A").alias("r2_missing"),
-    )
+    return reports.type_comparison(runs(spark, folder), "regression")
 
 
 _report_type_comparison = f"""WITH {RUNS_SQL} SELECT id[:12] || '...' AS "Model ID",
-  algorithm AS "Algorithm", printf('%.4f', rmse)::DOUBLE AS "Rmse", printf('%.4f', r2)::DOUBLE AS "R2",
-  r2 IS NULL AS r2_missing FROM runs WHERE model_type = 'regression'"""
+  algorithm AS "Algorithm", printf('%.4f', rmse)::DOUBLE::VARCHAR AS "Rmse",
+  coalesce(printf('%.4f', r2)::DOUBLE::VARCHAR, 'N/A') AS "R2" FROM runs WHERE model_type = 'regression'"""
+
+
+def report_csv_views(spark, folder):
+    """The report over all runs, written as sheets; every cell of every sheet read back."""
+    written = reports.write_report(runs(spark, folder), datasets(spark, folder), new_path(spark, "report"))
+    parts = []
+    for view, path in written.items():
+        sheet = spark.read.options(header=True, quote='"', escape='"').csv(path)
+        cells = F.concat_ws("|", *[F.coalesce(f"`{c}`", F.lit("")) for c in sheet.columns])
+        parts.append(sheet.select(F.lit(view).alias("view"), cells.alias("cells")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _sheet(view, columns, sql):
+    cells = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns)
+    return f"SELECT '{view}' AS \"view\", concat_ws('|', {cells}) AS cells FROM ({sql})"
+
+
+def _type_sheet(model_type, metrics):
+    cells = ", ".join(f"coalesce(printf('%.4f', {m})::DOUBLE::VARCHAR, 'N/A') AS {m}_cell" for m in metrics)
+    sql = f"""WITH {RUNS_SQL} SELECT id[:12] || '...' AS short, algorithm, {cells} FROM runs
+  WHERE model_type = '{model_type}'"""
+    return _sheet(f"{model_type}_models", ["short", "algorithm", *[f"{m}_cell" for m in metrics]], sql)
+
+
+_report_csv_views = union_sql([
+    _sheet("overview", ["section", "label", "n"], _report_overview),
+    _sheet("metrics_comparison", ['"Model ID"', '"Type"', '"Algorithm"', '"Created"', '"Accuracy"',
+                                  '"F1 Score"', '"RMSE"', '"R²"', '"Silhouette"'],
+           _report_metrics_comparison),
+    _type_sheet("classification", ["accuracy", "f1"]),
+    _type_sheet("regression", ["r2", "rmse"]),
+    _type_sheet("clustering", ["silhouette"]),
+])
+
+
+def report_json_models(spark, folder):
+    """The report over all runs, written as JSON; its models read back."""
+    written = reports.write_report(
+        runs(spark, folder), datasets(spark, folder), new_path(spark, "report"), format="json"
+    )
+    rows = spark.read.schema(
+        "report_type string, id string, type string, algorithm string, created_at string, "
+        "metrics map<string,double>, dataset struct<id:string,filename:string>"
+    ).json(written["models"])
+    return rows.select(
+        "report_type", "id", "type", "algorithm", F.substring("created_at", 1, 10).alias("created"),
+        F.size(F.map_filter("metrics", lambda _, v: v.isNotNull())).alias("metrics"),
+        F.col("dataset.id").alias("dataset_id"), "dataset.filename",
+    )
+
+
+_report_json_models = f"""SELECT 'all_models' AS report_type, found.*
+FROM ({_report_all_models}) AS found"""
 
 
 def report_sample_data(spark, folder):
@@ -324,6 +389,7 @@ _dataset_profile_list = union_sql(
 QUERIES = {
     "registry_register": (registry_register, _registry_register),
     "registry_current": (registry_current, _registry_current),
+    "registry_deleted": (registry_deleted, _registry_deleted),
     "registry_updated": (registry_updated, _registry_updated),
     "registry_lookup": (registry_lookup, _registry_lookup),
     "registry_missing": (registry_missing, _registry_missing),
@@ -340,5 +406,7 @@ QUERIES = {
     "report_confusion_matrices": (report_confusion_matrices, _report_confusion_matrices),
     "report_metrics_comparison": (report_metrics_comparison, _report_metrics_comparison),
     "report_type_comparison": (report_type_comparison, _report_type_comparison),
+    "report_csv_views": (report_csv_views, _report_csv_views),
+    "report_json_models": (report_json_models, _report_json_models),
     "report_sample_data": (report_sample_data, _report_sample_data),
 }

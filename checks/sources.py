@@ -14,7 +14,7 @@ def csv_roundtrip(spark, folder):
     """Texts with quotes, separators and line breaks, types inferred."""
     path = new_path(spark, "csv")
     delimited.write_csv(table(spark, folder, "documents"), path)
-    rows = delimited.read_csv(spark, path)
+    rows = delimited.read_csv(spark, path, quoted_newlines=True)
     return rows.select(
         F.col("doc_id").cast("bigint"), "text", "lang", "source", F.col("n_chars").cast("bigint")
     )
@@ -26,13 +26,14 @@ _csv_roundtrip = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 def csv_splittable(spark, folder):
     """A declared schema and no quoted line breaks: files are split, none is read twice."""
     path = new_path(spark, "csv")
-    orders = table(spark, folder, "orders").drop("o_orderdate")
+    orders = table(spark, folder, "orders")
     delimited.write_csv(orders, path)
-    return delimited.read_csv(spark, path, schema=orders.schema, quoted_newlines=False)
+    rows = delimited.read_csv(spark, path, schema=orders.schema)
+    return rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
-_csv_splittable = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-FROM orders"""
+_csv_splittable = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
 
 
 def _documents(rows: DataFrame, path: str) -> None:
@@ -57,14 +58,15 @@ def _documents(rows: DataFrame, path: str) -> None:
 def json_records_in(spark, folder):
     path = new_path(spark, "json")
     events = table(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", "value",
+        "event_id", F.col("ts").cast("string").alias("ts"), "user_id", "event_type", "value",
         F.expr("nullif(props, '{\"k\": 1}')").alias("props"),
     )
     _documents(events, path)
     return json_records.read_json_records(spark, path)
 
 
-_json_records_in = """SELECT 'events' AS dataset_name, event_id, user_id, event_type, value,
+_json_records_in = """SELECT 'events' AS dataset_name, event_id,
+  regexp_replace(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '[.]?0*$', '') AS ts, user_id, event_type, value,
   nullif(props, '{"k": 1}') AS props FROM events"""
 
 
@@ -72,14 +74,15 @@ def json_records_out(spark, folder):
     """Written as JSON lines, NaN as null, and read back with a schema."""
     path = new_path(spark, "lines")
     events = table(spark, folder, "events").select(
-        "event_id", "event_type",
+        "event_id", "ts", "user_id", "event_type", "props",
         F.expr("if(user_id % 5 = 0, double('NaN'), value)").alias("value"),
     )
     json_records.write_json_records(events, path)
-    return json_records.read_json_lines(spark, path, events.schema)
+    rows = json_records.read_json_lines(spark, path, events.schema)
+    return rows.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-_json_records_out = """SELECT event_id, event_type,
+_json_records_out = """SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, props,
   CASE WHEN user_id % 5 <> 0 THEN value END AS value FROM events"""
 
 _NAMES = """concat(source, CASE doc_id % 5 WHEN 0 THEN '/a.csv' WHEN 1 THEN '/b.XLSX'
@@ -101,6 +104,22 @@ SELECT doc_id, path, length, k AND length <= 104857600 AS accepted,
   CASE WHEN NOT k THEN 'extension' WHEN length > 104857600 THEN 'size' END AS reason FROM known"""
 
 
+def listed_files(spark, folder):
+    """Real files, found and admitted: a folder of one CSV file for each nation."""
+    path = new_path(spark, "files")
+    customers = table(spark, folder, "customer").repartition("c_nationkey")
+    customers.write.partitionBy("c_nationkey").option("header", True).csv(path)
+    found = admission.admit(admission.list_files(spark, path))
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)/[^/]*$", 1).cast("int")
+    return found.groupBy(nation.alias("nation"), "accepted", "reason").agg(
+        F.count(F.lit(1)).alias("files"), (F.min("length") > 0).alias("filled")
+    )
+
+
+_listed_files = """SELECT c_nationkey AS nation, true AS accepted, NULL::VARCHAR AS reason,
+  1::BIGINT AS files, true AS filled FROM customer GROUP BY c_nationkey"""
+
+
 def _workbooks(rows: DataFrame) -> DataFrame:
     """(path, content): one workbook per batch of rows, text inline."""
     names = rows.columns
@@ -161,5 +180,6 @@ QUERIES = {
     "json_records": (json_records_in, _json_records_in),
     "json_records_out": (json_records_out, _json_records_out),
     "file_admission": (file_admission, _file_admission),
+    "listed_files": (listed_files, _listed_files),
     "xlsx_ingest": (xlsx_ingest, _xlsx_ingest),
 }

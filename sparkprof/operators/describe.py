@@ -21,6 +21,7 @@ from sparkprof.columns import (
 from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import display_stat, or_default
 from sparkprof.operators.quantiles import exact_quantiles, sketched_quantiles
+from sparkprof.scratch import write_once
 
 QUARTILES = [0.25, 0.5, 0.75]
 COLUMNS_PER_SCAN = 100
@@ -141,37 +142,38 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, distinct values (NULL counts as one) and the most frequent value.
 
-    Values are grouped by their first characters and, if longer, a SHA-256 of
-    the whole text, so long texts are never shuffled; the text of a long winner
-    is read back by its digest.  Ties go to the smaller beginning, then digest,
-    NULL last.  When no winner is long the second scan is dropped at run time.
+    Ties go to the smaller value, NULL last; a column of an empty table has counts of 0.
+    Values are grouped by their first characters and, if longer, a SHA-256 of the
+    whole text, so that long texts are not shuffled.  The groups are written once; a
+    second scan reads the long texts that may win and takes the smallest.
     """
+    columns = string_columns(df) if columns is None else columns
     rows = _long_form(df, columns)
     beginning = F.substring("value", 1, SHORT_TEXT).alias("beginning")
     digest = F.when(F.length("value") > SHORT_TEXT, F.sha2("value", 256)).alias("digest")
     keyed = rows.select("column", "value", beginning, digest)
     groups = keyed.groupBy("column", "beginning", "digest").agg(F.count(F.lit(1)).alias("n"))
-    first = F.struct(-F.col("n"), F.col("beginning").isNull(), "beginning", "digest")
-    best = groups.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.max("n").alias("freq"),
-        F.min(first).alias("first"),
+    groups = write_once(groups, "groups")
+    counts = groups.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq")
     )
-    best = best.select(
-        "column", "count", "unique", "freq", "first.beginning", F.col("first.digest")
+    # One row per column on the right.
+    tied = groups.join(counts.select("column", F.col("freq").alias("n")), ["column", "n"])
+    first = tied.groupBy("column").agg(F.min("beginning").alias("beginning"))
+    # A text that is its own beginning comes before all longer ones.
+    winners = tied.join(first, ["column", "beginning"]).groupBy("column", "beginning").agg(
+        F.bool_or(F.col("digest").isNull()).alias("short")
     )
-    # One winner per column, so this side has as many rows as there are columns.
-    winners = F.broadcast(best.filter("digest IS NOT NULL").select("column", "digest"))
-    texts = (
-        keyed.filter("digest IS NOT NULL")
-        .join(winners, ["column", "digest"])
-        .groupBy("column")
-        # One digest per column is one text; a set is combined without a sort.
-        .agg(F.collect_set("value")[0].alias("text"))
+    long = tied.join(winners.filter("not short"), ["column", "beginning"]).select("column", "digest")
+    texts = keyed.filter("digest IS NOT NULL").join(long, ["column", "digest"])
+    texts = texts.groupBy("column").agg(F.min("value").alias("text"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    best = named.join(counts, "column", "left").join(
+        winners.filter("short").select("column", "beginning"), "column", "left"
     )
     return best.join(texts, "column", "left").select(
-        "column", "count", "unique", F.coalesce("text", "beginning").alias("top"), "freq"
+        "column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"),
+        F.coalesce("text", "beginning").alias("top"), F.coalesce("freq", F.lit(0)).alias("freq"),
     )
 
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol, require_columns
 from sparkprof.operators.ordering import running_totals
+from sparkprof.scratch import temporary
 
 SAMPLE_ROWS = 100
-# A full matrix has the square of this many cells; the counts have no limit.
-MATRIX_CLASSES = 10_000
 
 
 def confusion_counts(
@@ -37,24 +36,24 @@ def confusion_matrix(counts: DataFrame, actual_only: bool = False) -> DataFrame:
     """
     seen = F.array("label") if actual_only else F.array("label", "prediction")
     classes = counts.select(F.explode(seen).alias("label")).distinct()
-    order = classes.limit(MATRIX_CLASSES + 1).agg(F.sort_array(F.collect_list("label")).alias("c"))
-    too_many = F.raise_error(F.lit(f"a matrix holds up to {MATRIX_CLASSES} classes; use the counts"))
-    fitting = F.when(F.size("c") > MATRIX_CLASSES, too_many.cast("array<double>")).otherwise(F.col("c"))
-    order = order.select(fitting).scalar()
-    by_class = counts.groupBy("label").agg(
-        F.map_from_entries(F.collect_list(F.struct("prediction", "n"))).alias("found")
-    )
-    zero = F.lit(0).cast("bigint")
-    # The order is a scalar of the plan; a row of the matrix is one map lookup per class.
+    order = classes.agg(F.sort_array(F.collect_list("label")).alias("c")).select("c").scalar()
+    placed = classes.select("label", (F.array_position(order, F.col("label")) - 1).alias("position"))
+    # The cells that are not zero, in the order of their places.
+    cells = counts.join(
+        placed.select(F.col("label").alias("prediction"), F.col("position").alias("place")), "prediction"
+    ).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("cells"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
+    ends = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("cells", lambda c: c["place"]))
+    filled = F.flatten(F.zip_with(
+        "cells", F.slice(ends, 1, F.size("cells")),
+        lambda c, end: F.concat(zeros(c["place"] - end - 1), F.array(c["n"])),
+    ))
     return (
-        classes.join(by_class, "label", "left")
-        .withColumn("order", order)
+        placed.join(cells, "label", "left")
+        .withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<place:bigint,n:bigint>>")))
         .select(
-            (F.array_position("order", F.col("label")) - 1).alias("position"),
-            "label",
-            F.transform(
-                "order", lambda c: F.coalesce(F.try_element_at("found", c), zero)
-            ).alias("counts"),
+            "position", "label",
+            F.concat(filled, zeros(F.size(order) - 1 - F.element_at(ends, -1))).alias("counts"),
         )
     )
 
@@ -99,7 +98,8 @@ def roc_auc(predictions: DataFrame, score: str, label: str = "label") -> DataFra
 
     Rows are first counted per score; the running count of negatives over the
     ordered scores is distributed, so distinct scores may be as many as rows.
-    One class missing gives NULL.
+    One class missing gives NULL.  The number is found at once, and the table of
+    ordered scores is deleted then.
     """
     require_columns(predictions, [score, label])
     positive = qcol(label) > 0.5
@@ -111,10 +111,13 @@ def roc_auc(predictions: DataFrame, score: str, label: str = "label") -> DataFra
             F.count_if(~F.col("positive")).alias("negatives"),
         )
     )
-    ordered = running_totals(by_score, [F.col("score")], {"negatives_below": "negatives"})
+    spark = predictions.sparkSession
     wins = F.col("positives") * (F.col("negatives_below") + F.col("negatives") / 2.0)
     pairs = F.sum("positives").cast("double") * F.sum("negatives").cast("double")
-    return ordered.agg((F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    with temporary(spark):
+        ordered = running_totals(by_score, [F.col("score")], {"negatives_below": "negatives"})
+        area = ordered.agg((F.sum(wins) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc")).first()
+    return spark.createDataFrame([(area["roc_auc"],)], "roc_auc double")
 
 
 def regression_metrics(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol, require_columns
 from sparkprof.operators.ordering import numbered
 
-# The most frequent values that are sent to every task; the others are joined
-# by a shuffle, where each can hold at most 1 / HOT_VALUES of the rows.
-HOT_VALUES = 50_000
-HOT_BYTES = 64 * 1024 * 1024
+# Values that at least one in so many rows has are matched in place; the others are
+# joined by a shuffle, where none of them is hot.
+HOT_SHARE = 50_000
+# Longer values are matched by their digest, so what is sent to every task is bounded.
+SHORT_TEXT = 64
 
 
 def index_values(df: DataFrame, column: str) -> DataFrame:
@@ -35,38 +36,36 @@ def apply_index(
     column: str,
     values: DataFrame,
     output: str | None = None,
-    hot_values: int = HOT_VALUES,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """Adds the index of each row's value as a double.
 
-    Values the index does not know (and NULL) get the next free index.  The
-    index is ordered by frequency, so its first ``hot_values`` rows (fewer if the
-    values are so long that they could exceed ``HOT_BYTES``) are the hot keys:
-    they are matched without moving the data, and only rows with rarer values
-    are shuffled.
+    Values the index does not know (and NULL) get the next free index.  The rows are read
+    once: a first join matches the hot values without moving the data, a second one the
+    rest by a shuffle, in which matched rows and NULLs are spread by their place.
     """
     output = output or f"{column}_indexed"
     require_columns(df, [column])
-    known = values.agg(
-        F.count(F.lit(1)).alias("size"), F.max(F.octet_length("value")).alias("longest")
-    ).first()
-    size = known["size"]
-    hot_values = min(hot_values, HOT_BYTES // max(1, known["longest"] or 0))
-    lookup = values.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
-    matches = qcol(column) == F.col("_value")
-    hot = lookup.filter(F.col("_index") < hot_values)
-    index = F.coalesce(F.col("_index"), F.lit(size)).cast("double").alias(output)
-    kept = [qcol(n) for n in df.columns if n != output]
-    if size <= hot_values:
-        return df.join(F.broadcast(hot), matches, "left").select(*kept, index)
-    frequent = df.join(F.broadcast(hot), matches).select(*kept, index)
-    cold = lookup.filter(F.col("_index") >= hot_values)
-    # NULL has no partner: it takes the fallback without entering the shuffle.
-    nulls = df.filter(qcol(column).isNull()).select(*kept, F.lit(float(size)).alias(output))
-    rare = (
-        df.filter(qcol(column).isNotNull())
-        .join(F.broadcast(hot), matches, "left_anti")
-        .join(cold, matches, "left")
-        .select(*kept, index)
+    lookup = values.select(_matched(F.col("value")).alias("_key"), F.col("index").alias("_index"), "n")
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    size = values.agg(F.count(F.lit(1))).scalar()
+    frequent = F.col("n") * hot_share >= total
+    # At most hot_share rows of some hundred bytes.
+    hot = lookup.filter(frequent).select("_key", F.col("_index").alias("_hot"))
+    cold = lookup.filter(~frequent).select(
+        F.lit(True).alias("_left"), F.col("_key").alias("_rest"), F.col("_index").alias("_cold")
     )
-    return frequent.unionAll(rare).unionAll(nulls)
+    rows = df.withColumn("_key", _matched(qcol(column).cast("string"))).join(F.broadcast(hot), "_key", "left")
+    left = F.col("_hot").isNull() & F.col("_key").isNotNull()
+    spread = F.monotonically_increasing_id().cast("string")
+    rows = rows.withColumn("_left", left)
+    rows = rows.withColumn("_rest", F.when(F.col("_left"), F.col("_key")).otherwise(spread))
+    index = F.coalesce("_hot", "_cold", size).cast("double").alias(output)
+    kept = [qcol(n) for n in df.columns if n != output]
+    return rows.join(cold, ["_left", "_rest"], "left").select(*kept, index)
+
+
+def _matched(value: Column) -> Column:
+    """What stands for a value in a join: itself or, if long, a longer mark with its digest."""
+    digest = F.concat(F.lit("#"), F.sha2(value, 256))
+    return F.when(F.length(value) > SHORT_TEXT, digest).otherwise(value)

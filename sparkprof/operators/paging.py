@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprof.columns import qcol, require_columns
 from sparkprof.functions.text import display_cell
 from sparkprof.operators.ordering import numbered
+from sparkprof.scratch import temporary
 
 # Fixed values.
 MAX_ROWS = 10_000
 DEFAULT_ROWS = 100
 DISPLAY_ROWS = 10
 
-# Pages that end before this row are found by a bounded top-k.
-TOP_K_ROWS = 100_000
-
 
 def preview(df: DataFrame, limit: int = DEFAULT_ROWS, order: list[str] | None = None) -> DataFrame:
     """The first rows, in the given order if there is one."""
@@ -27,31 +26,52 @@ def preview(df: DataFrame, limit: int = DEFAULT_ROWS, order: list[str] | None =
     return df.orderBy(*[qcol(n) for n in order]).limit(limit)
 
 
-def page(
-    df: DataFrame,
-    key: str,
-    limit: int = DEFAULT_ROWS,
-    offset: int = 0,
-    top_k_rows: int = TOP_K_ROWS,
-) -> DataFrame:
-    """Rows ``[offset, offset + limit)`` in the order of a unique key.
+def page(df: DataFrame, key: str, limit: int = DEFAULT_ROWS, offset: int = 0) -> DataFrame:
+    """Rows ``[offset, offset + limit)`` in the order of a key, NULL first.
 
-    Deep pages number the keys alone, across the cluster, and fetch the rows of
-    the page by key.  To walk through a table use ``page_after``, which does not
-    have to count the rows it skips.
+    Rows of equal keys follow the order of the other columns that can be ordered.
+    The first page is a top-k.  Any other numbers the keys alone, across the cluster,
+    and reads only the rows between its first and its last key; what that range holds
+    before the page is skipped there.  To walk through a table use ``page_after``, which
+    does not have to count the rows it skips.
     """
     _check(limit, offset)
     require_columns(df, [key])
-    if offset + limit <= top_k_rows:
-        return df.orderBy(qcol(key)).offset(offset).limit(limit)
-    keys = numbered(df.select(qcol(key)), [qcol(key)], "_position")
-    wanted = keys.filter(F.col("_position").between(offset, offset + limit - 1)).select(qcol(key))
-    # The keys lie next to each other: their bounds are known before the table
-    # is read again and let the scan leave out files and row groups.
-    first, last = (wanted.agg(end(qcol(key))).scalar() for end in (F.min, F.max))
-    near = df.filter(qcol(key).between(first, last))
-    # At most MAX_ROWS keys.
-    return near.join(F.broadcast(wanted), key, "left_semi").orderBy(qcol(key))
+    order = [qcol(key), *[qcol(f.name) for f in df.schema if f.name != key and _ordered(f.dataType)]]
+    if offset == 0:
+        return df.orderBy(*order).limit(limit)
+    with temporary(df.sparkSession):
+        keys = numbered(df.select(qcol(key).alias("key")), [F.col("key")], "position")
+        page_ = F.col("position").between(offset, offset + limit - 1)
+        ends = F.struct("position", "key")
+        # Two rows of a key and its position; an empty page has none.
+        ends = keys.filter(page_).agg(F.min(ends).alias("first"), F.max(ends).alias("last")).first()
+        before = _first_place(keys, ends["first"])
+    if ends["first"] is None:
+        return df.limit(0)
+    first, last = (F.lit(ends[e]["key"]).cast(df.schema[key].dataType) for e in ("first", "last"))
+    near = _from(qcol(key), first, ends["first"]["key"]) & _upto(qcol(key), last, ends["last"]["key"])
+    return df.filter(near).orderBy(*order).offset(ends["first"]["position"] - before).limit(limit)
+
+
+def _first_place(keys: DataFrame, at) -> int | None:
+    """The position of the first row with the key of a row."""
+    if at is None:
+        return None
+    same = F.col("key").eqNullSafe(F.lit(at["key"]).cast(keys.schema["key"].dataType))
+    return keys.filter(same).agg(F.min("position")).first()[0]
+
+
+def _from(key: Column, first: Column, value) -> Column:
+    return F.lit(True) if value is None else key >= first
+
+
+def _upto(key: Column, last: Column, value) -> Column:
+    return key.isNull() if value is None else key.isNull() | (key <= last)
+
+
+def _ordered(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
 def page_after(df: DataFrame, key: str, after, limit: int = DEFAULT_ROWS) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Context, Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprof.columns import in_groups, qcol, require_numeric
 from sparkprof.functions.missing import nan_to_null
 
 SKETCH_ERROR = 0.0005
+LARGEST_SKETCH = 65_535
 # Values of one interval that are brought together, once their number is known.
 KEPT = 10_000
 COLUMNS_PER_SCAN = 20
+_CONTEXT = Context(prec=400)
 
 
 def sketched_quantiles(value: str, probabilities: list[float], error: float) -> str:
@@ -24,7 +28,9 @@ def sketched_quantiles(value: str, probabilities: list[float], error: float) ->
     A KLL sketch of fixed size per column; no values give NULL.
     """
     # Published bound: rank error 2.296 / k^0.9021 at 99% confidence.
-    size = min(65_535, max(8, math.ceil((2.296 / error) ** (1 / 0.9021))))
+    size = max(8, math.ceil((2.296 / error) ** (1 / 0.9021)))
+    if size > LARGEST_SKETCH:
+        raise ValueError(f"no sketch keeps a rank error of {error}; use exact quantiles")
     asked = ", ".join(f"{p!r}D" for p in probabilities)
     found = f"kll_sketch_get_quantile_double(kll_sketch_agg_double({value}, {size}), array({asked}))"
     return f"CASE WHEN count({value}) > 0 THEN {found} END"
@@ -45,7 +51,7 @@ class _Search:
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: tuple[float, ...] = (0.25, 0.5, 0.75)
 ) -> DataFrame:
-    """The value at rank ceil(p * n) of each column: (column, probability, value).
+    """The value at rank ceil(p * n) of each column: (column, probability, value, value_text).
 
     A first scan sketches an interval around each rank.  Each further scan
     counts the values below, inside and at the ends of the intervals; then the
@@ -53,14 +59,46 @@ def exact_quantiles(
     it a five-hundredth, if not.  The counts decide, so a poor sketch costs a
     scan and no more.  No table is sorted or shuffled, and the driver sees a
     fixed number of scalars: three scans up to some million values, seven for 10^12.
+    ``value_text`` has the digits of the column's own type, found by a further search where
+    a double cannot hold them.
     """
     for name in columns:
         require_numeric(df, name)
     searches = []
     for group in in_groups(columns, COLUMNS_PER_SCAN):
         searches += _search(df, group, probabilities)
-    rows = [(s.column, float(s.probability), s.value) for s in searches]
-    return df.sparkSession.createDataFrame(rows, "column string, probability double, value double")
+    rows = [(s.column, float(s.probability), s.value, _digits(df, s)) for s in searches]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, probability double, value double, value_text string"
+    )
+
+
+def _digits(df: DataFrame, found: _Search) -> str | None:
+    """The value in the column's own type, whose digits a double may have lost."""
+    kind = df.schema[found.column].dataType
+    if found.value is None:
+        return None
+    if isinstance(kind, T.LongType) and abs(found.value) < 2**53:
+        return str(int(found.value))
+    if not isinstance(kind, (T.LongType, T.DecimalType)):
+        return str(int(found.value)) if isinstance(kind, T.IntegralType) else repr(found.value)
+    # What is left beside the double is a smaller number; its place is that among the
+    # values that share the double.
+    column = qcol(found.column)
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    digits = Decimal(found.value).quantize(Decimal(1).scaleb(-scale), context=_CONTEXT)
+    rest = column.cast(f"decimal(38,{scale})") - F.lit(str(digits)).cast(f"decimal(38,{scale})")
+    same = column.cast("double") == F.lit(found.value)
+    # NaN needs no mask: these types have none.
+    places = df.agg(
+        F.count_if(column.cast("double") < F.lit(found.value)).alias("below"), F.count_if(same).alias("n")
+    ).first()
+    near = df.filter(same).select(rest.cast(f"decimal(38,{scale})").alias("rest"))
+    if near.agg(F.max(F.abs("rest"))).first()[0] == 0:
+        return str(digits)
+    place = (found.rank - places["below"] - 0.5) / places["n"]
+    inner = _search(near, ["rest"], (place,))[0]
+    return str(digits + Decimal(_digits(near, inner)))
 
 
 def _search(df: DataFrame, columns: list[str], probabilities) -> list[_Search]:

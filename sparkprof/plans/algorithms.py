@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml import classification as C
@@ -89,7 +90,7 @@ def find(model_type: str, key: str) -> Algorithm:
 def typed_params(algorithm: Algorithm, given: dict) -> dict:
     """The parameters the estimator accepts, converted and moved into their limits.
 
-    Unknown names and values that do not convert are left out.
+    Unknown names and values that do not convert are left out; the latter with a warning.
     """
     accepted = {p.name for p in algorithm.estimator().params}
     result = {}
@@ -99,6 +100,7 @@ def typed_params(algorithm: Algorithm, given: dict) -> dict:
         try:
             value = convert(given[name])
         except (TypeError, ValueError):
+            warnings.warn(f"{name}={given[name]!r} is not a {convert.__name__} and is left out", stacklevel=2)
             continue
         low, high = PARAM_LIMITS.get(name, (value, value))
         result[name] = max(low, min(value, high))

@@ -48,30 +48,44 @@ def open_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def current(registry: DataFrame, key: str = "id") -> DataFrame:
     """The latest row of every id that was not deleted or cleared since.
 
-    The rows of an id are reduced before the shuffle, however many there are.
-    At the same moment a delete wins over a put.
+    The moments of an id are reduced to one number before the shuffle, a hash aggregate
+    however many changes there are; the rows of that moment are then read by a join.  At
+    the same moment a delete wins over a put, and of several puts the one whose fields
+    have the larger hash.
     """
     fields = [c for c in registry.columns if c not in (key, *CHANGE)]
     cleared = registry.filter(F.col("op") == CLEAR).agg(F.max("updated_at")).scalar()
     since = F.coalesce(F.col("updated_at") > cleared, F.lit(True))
-    live = registry.filter((F.col("op") != CLEAR) & since)
-    when_ = F.struct("updated_at", (F.col("op") == DELETE).alias("deleted"))
-    latest = live.groupBy(key).agg(
-        F.max_by(F.struct("op", "updated_at", *fields), when_).alias("last")
-    )
-    kept = latest.filter(F.col("last.op") == PUT)
-    return kept.select(key, *[F.col("last").getField(f).alias(f) for f in [*fields, "updated_at"]])
+    gone = (F.col("op") == DELETE).cast("bigint")
+    micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
+    live = registry.filter((F.col("op") != CLEAR) & since).withColumn("_moment", micros * 2 + gone)
+    last = live.groupBy(key).agg(F.max("_moment").alias("_moment"))
+    puts = live.filter(F.col("op") == PUT)
+    # A put of the last moment is there only if no delete is: their moments differ by one.
+    found = puts.join(last, [key, "_moment"]).withColumn("_mark", _mark(registry, fields))
+    marks = found.groupBy(key, "_moment").agg(F.max("_mark").alias("_mark"))
+    found = found.join(marks, [key, "_moment", "_mark"]).dropDuplicates([key])
+    return found.select(key, *fields, "updated_at")
+
+
+def _mark(registry: DataFrame, fields: list[str]):
+    """A number that tells different puts of one moment apart."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f))) for f in fields]) if fields else F.lit(0)
 
 
 def updated(current_rows: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
-    """The current rows named in ``changed`` with its non-NULL values put in.
+    """The current rows named in ``changed`` with its columns put in, NULL included.
 
-    Ids that are not in the registry give nothing, as an update of them would.
+    Ids that are not in the registry give nothing, as an update of them would.  Of several
+    changes of an id the one whose fields have the larger hash is taken.
     """
     new = [c for c in changed.columns if c != key]
     kept = [c for c in current_rows.columns if c not in (key, *CHANGE)]
-    pairs = current_rows.alias("c").join(changed.alias("n"), key)
-    value = lambda f: F.coalesce(f"n.{f}", f"c.{f}") if f in new else F.col(f"c.{f}")
+    marked = changed.withColumn("_mark", _mark(changed, new))
+    last = marked.groupBy(key).agg(F.max("_mark").alias("_mark"))
+    once = marked.join(last, [key, "_mark"]).dropDuplicates([key])
+    pairs = current_rows.alias("c").join(once.alias("n"), key)
+    value = lambda f: F.col(f"n.{f}") if f in new else F.col(f"c.{f}")
     return pairs.select(key, *[value(f).alias(f) for f in kept])
 
 

@@ -19,7 +19,6 @@ SAMPLE_ROWS = 100
 COMPARED_ID, DETAILED_ID = 8, 12
 FORMATS = ("excel", "json")
 TRUE_WORDS = ("true", "1", "yes")
-MAX_METRICS = 1_000
 KEY_METRICS = {
     "classification": {"accuracy": "Accuracy", "f1": "F1 Score"},
     "regression": {"rmse": "RMSE", "r2": "R²"},
@@ -168,12 +167,15 @@ def metrics_comparison(runs: DataFrame) -> DataFrame:
 
 
 def metric_names(runs: DataFrame) -> list[str]:
-    """All metric names of the runs, sorted: a handful, found by a map-side distinct."""
+    """All metric names of the runs, sorted; each becomes a column, found by a map-side distinct."""
     names = runs.select(F.explode(F.map_keys("metrics")).alias("name")).distinct()
-    found = sorted(r["name"] for r in names.limit(MAX_METRICS + 1).collect())
-    if len(found) > MAX_METRICS:
-        raise ValueError(f"more than {MAX_METRICS} metric names; name the ones to compare")
-    return found
+    return sorted(r["name"] for r in names.collect())
+
+
+def _titles(names: list[str]) -> list[str]:
+    """Names as titles; those that would share a title stay as they are."""
+    titles = [name.replace("_", " ").title() for name in names]
+    return [n if titles.count(t) > 1 else t for n, t in zip(names, titles)]
 
 
 def type_comparison(
@@ -185,13 +187,12 @@ def type_comparison(
     """
     of_type = runs.filter(F.col("model_type") == model_type)
     names = metric_names(of_type) if names is None else sorted(names)
-    titles = [name.replace("_", " ").title() for name in names]
     return of_type.select(
         short_id(F.col("id"), DETAILED_ID).alias("Model ID"),
         F.col("algorithm").alias("Algorithm"),
         *[
             or_default(rounded(F.try_element_at("metrics", F.lit(n)), DECIMALS)).alias(t)
-            for n, t in zip(names, titles)
+            for n, t in zip(names, _titles(names))
         ],
     )
 

@@ -11,11 +11,8 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
-    IndexToString,
     SQLTransformer,
     StandardScaler,
-    StringIndexer,
-    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -41,12 +38,6 @@ from sparkprof.scratch import use_checkpoints, write_once
 RESERVED = ("label", "prediction", "rawPrediction", "probability")
 RAW, SCALED = "_assembled", "_features"
 
-# A string feature with more values than this is indexed across the cluster
-# instead of by an estimator that keeps all its values on the driver.
-DRIVER_VALUES = 100_000
-# Matrices up to this many classes are kept in the run's row.
-MATRIX_CLASSES = 1_000
-
 
 @dataclass(frozen=True)
 class TrainSpec:
@@ -56,7 +47,7 @@ class TrainSpec:
     target: str | None = None  # clustering has none
     params: dict = field(default_factory=dict)
     test_size: float = 0.2
-    key: list[str] | None = None  # what identifies a row; all columns if not given
+    key: list[str] | None = None  # what identifies a row; features and target if not given
     split: str = "hash"  # or "random"
     seed: int = SEED
     name: str | None = None
@@ -69,7 +60,6 @@ class TrainSpec:
     # memory and disks, or as a table in the shared scratch folder, which lost
     # executors cannot take away.
     keep: str = "cache"  # or "table"
-    driver_values: int = DRIVER_VALUES
 
 
 @dataclass
@@ -78,7 +68,7 @@ class TrainedModel:
 
     pipeline: PipelineModel
     features: list[str]
-    labels: StringIndexerModel | None = None
+    labels: DataFrame | None = None  # value and index of each class of a text target
     indexes: dict[str, DataFrame] = field(default_factory=dict)
 
     def score(self, df: DataFrame, keep_vectors: bool = False) -> DataFrame:
@@ -95,10 +85,11 @@ class TrainedModel:
         scored = scored.drop(*internal)
         if self.labels is None:
             return scored
-        names = IndexToString(
-            inputCol="prediction", outputCol="predicted_label", labels=self.labels.labels
+        names = self.labels.select(
+            F.col("index").cast("double").alias("prediction"), F.col("value").alias("predicted_label")
         )
-        return names.transform(scored)
+        # No hint: Spark broadcasts the names by their measured size.
+        return scored.join(names, "prediction", "left")
 
     def importances(self) -> DataFrame:
         """(feature, importance) of a tree model, most important first."""
@@ -120,7 +111,7 @@ class TrainedModel:
     def save(self, path: str) -> None:
         self.pipeline.write().save(f"{path}/pipeline")
         if self.labels is not None:
-            self.labels.write().save(f"{path}/labels")
+            self.labels.write.parquet(f"{path}/labels")
         spark = SparkSession.getActiveSession()
         names = [(n, i) for i, n in enumerate(self.indexes)]
         parts = spark.createDataFrame(
@@ -138,7 +129,7 @@ class TrainedModel:
         return cls(
             PipelineModel.load(f"{path}/pipeline"),
             list(parts["features"]),
-            StringIndexerModel.load(f"{path}/labels") if parts["has_labels"] else None,
+            spark.read.parquet(f"{path}/labels") if parts["has_labels"] else None,
             {n: spark.read.parquet(f"{path}/index_{i}") for i, n in enumerate(parts["indexed"])},
         )
 
@@ -201,7 +192,7 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     use_checkpoints(df.sparkSession)
     used = _used(spec)
     if spec.split == "hash":
-        chosen = in_train(spec.key or df.columns, spec.test_size, spec.seed)
+        chosen = in_train(spec.key or used, spec.test_size, spec.seed)
         rows = df.select(
             *[qcol(n) for n in used],
             complete(df, used).alias("_complete"),
@@ -233,11 +224,6 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
         F.count_if(~kept).alias("dropped"),
         F.count_if(kept & first).alias("train"),
         F.count_if(kept & ~first).alias("test"),
-        _class_count(rows, spec).alias("classes"),
-        *[
-            F.approx_count_distinct(qcol(n)).alias(f"values_{i}")
-            for i, n in enumerate(categorical)
-        ],
     ).first()
     if sizes["kept"] == 0:
         raise ValueError("no rows are left without missing values")
@@ -245,17 +231,16 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
         raise ValueError(f"the split leaves {sizes['train']} and {sizes['test']} rows")
     train_rows, test_rows = rows.filter(kept & first), rows.filter(kept & ~first)
 
-    indexes = {
-        n: index_values(train_rows, n)
-        for i, n in enumerate(categorical)
-        if sizes[f"values_{i}"] > spec.driver_values
-    }
+    # Values are numbered and matched across the cluster, however many there are.
+    indexes = {n: index_values(train_rows, n) for n in categorical}
     for name, values in indexes.items():
         train_rows = apply_index(train_rows, name, values, output=name)
-    if indexes:  # every stage of the fit reads these rows
+    labels, labeled = _labeler(train_rows, spec)
+    train_rows = labeled(train_rows)
+    if indexes or labels is not None:  # every stage of the fit reads these rows
         train_rows = write_once(train_rows, "indexed")
+        train_rows = train_rows if labels is None else _named(train_rows, labels)
 
-    labels, labeled = _labeler(train_rows, spec, sizes["classes"])
     params = typed_params(algorithm, spec.params)
     if algorithm.estimator().hasParam("seed"):
         params.setdefault("seed", spec.seed)
@@ -263,16 +248,15 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
         params["labelCol"] = "label"
     estimator = algorithm.estimator(featuresCol=SCALED, **params)
     params.pop("labelCol", None)
-    stages = feature_stages(train_rows, spec.features)
-    pipeline = Pipeline(stages=[*stages, estimator]).fit(labeled(train_rows))
+    stages = feature_stages(rows, spec.features)
+    pipeline = Pipeline(stages=[*stages, estimator]).fit(train_rows)
     model = TrainedModel(pipeline, list(spec.features), labels, indexes)
 
     # The label is made first: a scored row need not have a target.
     scored = model.score(labeled(test_rows), keep_vectors=spec.model_type == "clustering")
     predictions = _scores(scored).persist()
     try:
-        classes = getattr(pipeline.stages[-1], "numClasses", None)
-        metrics, matrix = _metrics(spec.model_type, predictions, classes)
+        metrics, matrix = _metrics(spec.model_type, predictions)
         run = _run_row(rows.sparkSession, spec, model, params, metrics, matrix, sizes)
     finally:
         predictions.unpersist()
@@ -286,16 +270,10 @@ def _by_name(rows: DataFrame, spec: TrainSpec) -> bool:
     return spec.index_labels or logical_type(rows.schema[spec.target].dataType) == "string"
 
 
-def _class_count(rows: DataFrame, spec: TrainSpec) -> Column:
-    if _by_name(rows, spec):
-        return F.approx_count_distinct(qcol(spec.target))
-    return F.lit(0).cast("bigint")
-
-
 def _labeler(
-    train_rows: DataFrame, spec: TrainSpec, classes: int
-) -> tuple[StringIndexerModel | None, Callable[[DataFrame], DataFrame]]:
-    """The fitted class names, if any, and what adds the label to rows.
+    train_rows: DataFrame, spec: TrainSpec
+) -> tuple[DataFrame | None, Callable[[DataFrame], DataFrame]]:
+    """The class names with their numbers, if any, and what adds the label to rows.
 
     Rows whose class was not trained on are left out, which keeps two classes two.
     """
@@ -303,34 +281,41 @@ def _labeler(
         return None, lambda side: side
     if not _by_name(train_rows, spec):
         return None, lambda side: with_label(side, spec.target)
-    if classes > DRIVER_VALUES:
-        raise ValueError(f"target {spec.target!r} has about {classes} classes")
     named = lambda side: side.withColumn("_target", qcol(spec.target).cast("string"))
-    indexer = StringIndexer(inputCol="_target", outputCol="label", handleInvalid="skip")
-    labels = indexer.fit(named(train_rows))
-    return labels, lambda side: labels.transform(named(side)).drop("_target")
+    labels = index_values(named(train_rows), "_target")
+    size = labels.agg(F.count(F.lit(1))).scalar()
+
+    def labeled(side: DataFrame) -> DataFrame:
+        marked = apply_index(named(side), "_target", labels, output="label")
+        return marked.filter(F.col("label") < size).drop("_target")
+
+    return labels, labeled
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Says how many classes the label has, so that estimators need not guess."""
+    about = {"ml_attr": {"type": "nominal", "num_vals": labels.count()}}
+    return rows.withMetadata("label", about)
 
 
 def feature_stages(df: DataFrame, features: list[str]) -> list:
-    """Index the strings, assemble (numbers first), scale to unit deviation.
+    """Assemble (numbers first, then the indexes of texts), scale to unit deviation.
 
-    Features get names of our own, so that any column name can be used and the
-    fitted pipeline runs on a table that has the source columns.
+    ``df`` tells the kinds of the features; the rows that are transformed hold the index
+    of a text (``apply_index``) under its name.  Features get names of our own, so that
+    any column name can be used.
     """
     numeric, categorical = split_by_kind(df, features)
     place = {name: i for i, name in enumerate(features)}
-    taken = [f"CAST({quoted(n)} AS DOUBLE) AS _feature_{place[n]}" for n in numeric]
-    taken += [f"{quoted(n)} AS _feature_{place[n]}" for n in categorical]
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(taken)} FROM __THIS__")]
-    if categorical:
-        inputs = [f"_feature_{place[n]}" for n in categorical]
-        indexed = [f"{name}_indexed" for name in inputs]
-        stages.append(StringIndexer(inputCols=inputs, outputCols=indexed, handleInvalid="keep"))
-    columns = [f"_feature_{place[n]}" for n in numeric]
-    columns += [f"_feature_{place[n]}_indexed" for n in categorical]
-    stages.append(VectorAssembler(inputCols=columns, outputCol=RAW, handleInvalid="skip"))
-    stages.append(StandardScaler(inputCol=RAW, outputCol=SCALED, withStd=True, withMean=False))
-    return stages
+    ordered = [*numeric, *categorical]
+    taken = [f"CAST({quoted(n)} AS DOUBLE) AS _feature_{place[n]}" for n in ordered]
+    return [
+        SQLTransformer(statement=f"SELECT *, {', '.join(taken)} FROM __THIS__"),
+        VectorAssembler(
+            inputCols=[f"_feature_{place[n]}" for n in ordered], outputCol=RAW, handleInvalid="skip"
+        ),
+        StandardScaler(inputCol=RAW, outputCol=SCALED, withStd=True, withMean=False),
+    ]
 
 
 def _scores(scored: DataFrame) -> DataFrame:
@@ -341,9 +326,8 @@ def _scores(scored: DataFrame) -> DataFrame:
     return scored.select(columns)
 
 
-def _metrics(
-    model_type: str, predictions: DataFrame, classes: int | None
-) -> tuple[dict, list | None]:
+def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, DataFrame | None]:
+    """The metrics and, for classes, the rows of the confusion matrix."""
     if model_type == "regression":
         found = E.regression_metrics(predictions).first().asDict()
         return {k: v for k, v in found.items() if v is not None}, None
@@ -352,23 +336,14 @@ def _metrics(
         if clusters < 2:
             return {}, None
         return {"silhouette": ClusteringEvaluator(featuresCol=SCALED).evaluate(predictions)}, None
-    counts = E.confusion_counts(predictions)
-    few = classes is not None and classes <= MATRIX_CLASSES
-    if few:  # no more rows than the matrix has cells
-        counts = counts.coalesce(1)
-    counts = counts.persist()
-    try:
-        found = E.classification_metrics(counts).first().asDict()
-        matrix = None
-        if few:
-            rows = E.confusion_matrix(counts).orderBy("position").collect()
-            matrix = [list(r["counts"]) for r in rows]
-        if matrix is not None and len(matrix) == 2 and "score" in predictions.columns:
-            scored = predictions.filter("score IS NOT NULL")
-            found["roc_auc"] = E.roc_auc(scored, "score").first()["roc_auc"]
-    finally:
-        counts.unpersist()
-    return {k: v for k, v in found.items() if v is not None}, matrix
+    # As many rows as there are pairs of classes that occur.
+    counts = write_once(E.confusion_counts(predictions), "confusion")
+    found = E.classification_metrics(counts).first().asDict()
+    # One score is one row of two numbers: the model has two classes.
+    if "score" in predictions.columns:
+        area = E.roc_auc(predictions.filter("score IS NOT NULL"), "score").first()["roc_auc"]
+        found["roc_auc"] = area
+    return {k: v for k, v in found.items() if v is not None}, E.confusion_matrix(counts)
 
 
 def register_run(result: TrainResult, folder: str, registry_path: str) -> str:
@@ -398,7 +373,7 @@ def _run_row(spark, spec: TrainSpec, model, params, metrics, matrix, sizes) -> D
         "target": spec.target,
         "params": {k: str(v) for k, v in params.items()},
         "metrics": {k: float(v) for k, v in metrics.items()},
-        "confusion_matrix": matrix,
+        "confusion_matrix": None,
         "feature_importance": importance or None,
         "dataset_id": spec.dataset_id,
         "train_size": sizes["train"],
@@ -406,4 +381,9 @@ def _run_row(spark, spec: TrainSpec, model, params, metrics, matrix, sizes) -> D
         "created_at": now,
         "model_path": None,
     }
-    return spark.createDataFrame([row], RUN_SCHEMA)
+    run = spark.createDataFrame([row], RUN_SCHEMA)
+    if matrix is None:
+        return run
+    placed = F.sort_array(F.collect_list(F.struct("position", "counts")))
+    whole = matrix.agg(F.transform(placed, lambda r: r["counts"]).alias("m")).scalar()
+    return run.withColumn("confusion_matrix", whole)

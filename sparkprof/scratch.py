@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+# The paths handed out in each open scope.
+_scopes: list[list[str]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -21,7 +25,8 @@ def scratch_folder(spark: SparkSession) -> str:
     folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="sparkprof-")
@@ -30,7 +35,23 @@ def scratch_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, kind: str) -> str:
     """A path nobody else writes to."""
-    return f"{scratch_folder(spark).rstrip('/')}/sparkprof/{kind}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark).rstrip('/')}/sparkprof/{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is written within it, for results that are complete when it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for written in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def write_once(df: DataFrame, kind: str) -> DataFrame:

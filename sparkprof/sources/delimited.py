@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from sparkprof.sources.json_records import MOMENTS
+
 # The dialect that is read and written.
 DIALECT = {"header": True, "encoding": "UTF-8", "sep": ",", "quote": '"', "escape": '"'}
 
@@ -13,14 +15,14 @@ def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | str | None = None,
-    quoted_newlines: bool = True,
+    quoted_newlines: bool = False,
     sampling_ratio: float = 1.0,
 ) -> DataFrame:
     """A table from one or many CSV files.
 
     Without a schema the types are inferred, which reads the files once more.
-    Quoted line breaks make every file one task; for large files that hold none,
-    ``quoted_newlines=False`` lets Spark split them.
+    Spark splits large files.  Only with ``quoted_newlines=True`` may a quoted field hold
+    line breaks; every file is then read by one task.
     """
     reader = spark.read.options(**DIALECT, multiLine=quoted_newlines)
     if schema is not None:
@@ -31,5 +33,5 @@ def read_csv(
 def write_csv(df: DataFrame, path: str) -> None:
     """Writes what ``read_csv`` reads back unchanged, surrounding blanks included."""
     df.write.options(
-        **DIALECT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        **DIALECT, **MOMENTS, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)

@@ -10,9 +10,13 @@ from sparkprof.columns import qcol
 from sparkprof.functions.missing import normalize_nulls, sanitized
 
 # Fixed values.
-DEFAULT_ROWS = 1000
 NAME_PREFIX = "dataset_"
 NAME_DIGITS = 8
+# Moments are written to the microsecond.
+MOMENTS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def read_documents(
@@ -78,7 +82,7 @@ def json_records(df: DataFrame, limit: int | None = None, name: str = "record")
 def json_record(df: DataFrame) -> Column:
     """The whole row as a JSON object."""
     fields = [sanitized(qcol(f.name), f.dataType).alias(f.name) for f in df.schema]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", **MOMENTS})
 
 
 def write_json_records(df: DataFrame, path: str, limit: int | None = None) -> None:

@@ -61,7 +61,22 @@ def test_changes_in_order(spark, tmp_path):
 def test_update_of_unknown_ids_adds_nothing(spark, runs):
     changed = spark.createDataFrame([("nobody", 1), ("run-two-1234567890", None)], "id string, test_size bigint")
     found = R.updated(runs, changed).collect()
-    assert [(r["id"], r["test_size"]) for r in found] == [("run-two-1234567890", 3)]
+    assert [(r["id"], r["test_size"]) for r in found] == [("run-two-1234567890", None)]
+
+
+def test_several_changes_of_an_id_give_one_row(spark, runs):
+    rows = [("run-two-1234567890", 1), ("run-two-1234567890", 2), ("run-two-1234567890", 2)]
+    found = R.updated(runs, spark.createDataFrame(rows, "id string, test_size bigint")).collect()
+    assert len(found) == 1 and found[0]["test_size"] in (1, 2)
+
+
+def test_puts_of_one_moment_give_one_row(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id string, n int")
+    puts = R.changes(rows, at=datetime(2024, 1, 1))
+    found = [R.current(puts.repartition(k)).orderBy("id").collect() for k in (1, 3)]
+    assert found[0] == found[1] and [r["id"] for r in found[0]] == ["a", "b"]
+    plan = R.current(puts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[id#" not in plan.split("functions=[max(")[0]
 
 
 def test_lookups(spark, runs, datasets):

@@ -16,13 +16,13 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 def test_csv_dialect(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('id,text,score\n1,"a ""b"", c\nd",1.5\n2,,\n3," x ",-2\n', encoding="utf-8")
-    rows = delimited.read_csv(spark, str(path)).orderBy("id")
+    rows = delimited.read_csv(spark, str(path), quoted_newlines=True).orderBy("id")
     assert [f.dataType.simpleString() for f in rows.schema] == ["int", "string", "double"]
     assert [tuple(r) for r in rows.collect()] == [
         (1, 'a "b", c\nd', 1.5), (2, None, None), (3, " x ", -2.0)]
     back = str(tmp_path / "out")
     delimited.write_csv(rows, back)
-    again = delimited.read_csv(spark, back, schema=rows.schema).orderBy("id")
+    again = delimited.read_csv(spark, back, schema=rows.schema, quoted_newlines=True).orderBy("id")
     assert again.collect() == rows.collect()
 
 
@@ -31,8 +31,8 @@ def test_csv_splits_without_quoted_newlines(spark, tmp_path):
     path.write_text("id\n" + "\n".join(map(str, range(50_000))))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
-        whole = delimited.read_csv(spark, str(path), "id int")
-        split = delimited.read_csv(spark, str(path), "id int", quoted_newlines=False)
+        whole = delimited.read_csv(spark, str(path), "id int", quoted_newlines=True)
+        split = delimited.read_csv(spark, str(path), "id int")
         assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 1
         assert whole.count() == split.count() == 50_000
     finally:

@@ -9,7 +9,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprof.operators import evaluate, features, indexing
+from sparkprof import scratch
+from sparkprof.operators import evaluate, features, indexing, paging
 from sparkprof.plans import algorithms
 from sparkprof.plans.training import TrainedModel, TrainSpec, train, validate
 
@@ -71,18 +72,35 @@ def test_regression(rows):
     assert result.model.importances().count() == 0
 
 
-def test_many_values_are_indexed_across_the_cluster(rows):
-    few = train(rows, spec(driver_values=2))
-    many = train(rows, spec())
-    assert list(few.model.indexes) == ["c_indexed"]
-    a, b = few.run.first(), many.run.first()
-    assert a["metrics"] == b["metrics"] and a["confusion_matrix"] == b["confusion_matrix"]
-    unseen = rows.withColumn("c_indexed", F.lit("never seen")).limit(5)
-    assert few.model.score(unseen).count() == many.model.score(unseen).count() == 5
+def test_text_features_are_indexed_across_the_cluster(rows):
+    """Inputs keep one order, numbers first, whatever the number of values."""
+    many = rows.withColumn("c_indexed", F.concat("c_indexed", (F.col("id") % 150).cast("string")))
+    for table in (rows, many):
+        model = train(table, spec(algorithm="random_forest", params={"numTrees": 3})).model
+        assert list(model.indexes) == ["c_indexed"]
+        assert model.pipeline.stages[1].getInputCols() == ["_feature_0", "_feature_2", "_feature_1"]
+        unseen = table.withColumn("c_indexed", F.lit("never seen")).limit(5)
+        assert model.score(unseen).count() == 5
+
+
+def test_the_split_reads_only_what_is_used(rows):
+    """Without a key the rows are told apart by features and target."""
+    with_more = rows.withColumn("more", F.rand())
+    sizes = [train(t, spec(key=None)).run.first()["train_size"] for t in (rows, with_more)]
+    assert sizes[0] == sizes[1]
+
+
+def test_many_classes(spark):
+    """More classes than trees take without being told."""
+    df = spark.range(3_000).select("id", (F.col("id") % 150).cast("double").alias("x"),
+                                   F.concat(F.lit("c"), F.col("id") % 150).alias("y"))
+    run = train(df, spec(features=["x"], target="y", params={"maxDepth": 2}, key=["id"])).run.first()
+    assert len(run["confusion_matrix"]) == 150
+    assert sum(map(sum, run["confusion_matrix"])) == run["test_size"]
 
 
 def test_saved_models_predict_the_same(spark, rows, tmp_path):
-    model = train(rows, spec(driver_values=2)).model
+    model = train(rows, spec()).model
     model.save(str(tmp_path / "m"))
     loaded = TrainedModel.load(spark, str(tmp_path / "m"))
     pick = lambda m: sorted(tuple(r) for r in m.score(rows).select("id", "predicted_label").collect())
@@ -141,8 +159,9 @@ def test_parameters():
     forest = algorithms.find("classification", "random_forest")
     given = {"numTrees": "500", "maxDepth": 0, "subsamplingRate": 0.5, "minInstancesPerNode": "x",
              "k": 3, "regParam": 1, "seed": 7}
-    assert algorithms.typed_params(forest, given) == {
-        "numTrees": 200, "maxDepth": 1, "subsamplingRate": 0.5, "seed": 7}
+    with pytest.warns(UserWarning, match="minInstancesPerNode"):
+        assert algorithms.typed_params(forest, given) == {
+            "numTrees": 200, "maxDepth": 1, "subsamplingRate": 0.5, "seed": 7}
     linear = algorithms.find("regression", "linear_regression")
     assert algorithms.typed_params(linear, {"elasticNetParam": 3, "regParam": -1, "maxIter": 10**6}) == {
         "maxIter": 1000, "regParam": 0.0, "elasticNetParam": 1.0}
@@ -172,19 +191,34 @@ def test_apply_index_with_hot_rare_unknown_and_null(spark):
     df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3 + [("c",)], "v string")
     values = indexing.index_values(df, "v")
     asked = df.unionAll(spark.createDataFrame([("new",), (None,)], "v string"))
-    for hot in (1, 2, 50):
-        found = {(r["v"], r["v_indexed"]) for r in indexing.apply_index(asked, "v", values, hot_values=hot).collect()}
-        assert found == {("a", 0.0), ("b", 1.0), ("c", 2.0), ("new", 3.0), (None, 3.0)}
-        assert indexing.apply_index(asked, "v", values, hot_values=hot).count() == 56
+    for share in (1, 2, 20, 50_000):
+        found = indexing.apply_index(asked, "v", values, hot_share=share)
+        pairs = {(r["v"], r["v_indexed"]) for r in found.collect()}
+        assert pairs == {("a", 0.0), ("b", 1.0), ("c", 2.0), ("new", 3.0), (None, 3.0)}
+        assert found.count() == 56
 
 
-def test_long_values_are_not_broadcast_in_bulk(spark, monkeypatch):
-    """The byte bound leaves one hot value; the result stays the same."""
-    df = spark.createDataFrame([("a" * 60,)] * 9 + [("b" * 90,)] * 2 + [("c",)], "v string")
-    monkeypatch.setattr(indexing, "HOT_BYTES", 100)
+def test_long_values_are_matched_by_their_digest(spark):
+    long = "a" * 300
+    df = spark.createDataFrame([(long,)] * 9 + [(long + "b",)] * 2 + [("c",)], "v string")
     values = indexing.index_values(df, "v")
-    found = {(r["v"][0], r["v_indexed"]) for r in indexing.apply_index(df, "v", values).collect()}
-    assert found == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
+    for share in (2, 50_000):
+        found = {(r["v"][-1], r["v_indexed"]) for r in indexing.apply_index(df, "v", values, hot_share=share).collect()}
+        assert found == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
+
+
+def test_indexing_reads_its_rows_once(spark, tmp_path):
+    rows = spark.range(90).selectExpr(*[f"cast(id % {k} as string) AS c{k}" for k in (2, 3, 7)])
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    indexed = table
+    for name in table.columns:
+        indexed = indexing.apply_index(indexed, name, indexing.index_values(table, name))
+    plan = indexed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("c2#") and plan.count(str(tmp_path.name)) <= 1
+    leaves = indexed._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("\n")
+    assert sum("c2#" in leaf and "c7#" in leaf for leaf in leaves.split("\n")) == 1
+    assert indexed.count() == 90
 
 
 PAIRS = [(0.0, 0.0), (1.0, 1.0), (1.0, 2.0), (0.0, 1.0), (0.0, 0.0), (3.0, 1.0)]
@@ -210,11 +244,14 @@ def test_confusion_matrix_of_all_classes_or_actual_ones(spark):
     assert matrix(actual_only=True) == [[2, 1, 0], [0, 1, 0], [0, 1, 0]]
 
 
-def test_a_matrix_of_too_many_classes_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MATRIX_CLASSES", 3)
-    df = spark.createDataFrame(PAIRS, "label double, prediction double")
-    with pytest.raises(Exception, match="use the counts"):
-        evaluate.confusion_matrix(evaluate.confusion_counts(df)).collect()
+def test_nothing_is_left_in_scratch(spark, tmp_path, monkeypatch):
+    """What is written on the way to a number is deleted with it."""
+    monkeypatch.setattr(scratch, "scratch_folder", lambda _: str(tmp_path))
+    df = spark.range(50).select((F.col("id") % 2).alias("label"), (F.col("id") % 7).alias("score"))
+    evaluate.roc_auc(df, "score").collect()
+    paging.page(df, "score", 5, 20).collect()
+    assert (tmp_path / "sparkprof").exists()
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
 
 
 def test_auc_agrees_with_the_evaluator(spark):
