@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprof.scratch import write_once
-
 # Weight of the shorter context.
 BACKOFF = 0.4
-# Words of a block of documents (a longer document is a block), n-grams of a count table.
+# Words of a block of documents and n-grams of a count table, on average.
 BLOCK_WORDS = 2_000_000
 TABLE_GRAMS = 2_000_000
 # Decimals of a score.
 DIGITS = 4
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = "block string, kind string, part long, grams long, ids array<long>, data binary, counts binary"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def score(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,33 +29,38 @@ def score(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     (c(w) - 1) / (N - 1), where a word that occurs nowhere else counts as one.  The first
     word has no context and no backoff weight.  Scores have DIGITS decimals.
 
-    Documents are packed into blocks of distinct n-grams with counts, so an n-gram that
-    fills the corpus is a row for each block.  Blocks send them to count tables
-    partitioned by hash; each table adds up and answers every block that asked; a block's
-    answers are joined to its documents, word by word, and summed.
+    Documents are dealt to blocks by hash.  A block sends each of its distinct n-grams
+    once, with its count, to one of the count tables that the hashes are cut into, so an
+    n-gram that fills the corpus is a row for each block.  A table adds up and answers
+    every block that asked; the answers are joined to the block's documents, word by
+    word, and summed.
 
     Null and empty texts have no words and score 0.  Null ids and repeated rows stay.
     Other columns are not read.  An empty table gives an empty table.
     """
     rows = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    blocks = write_once(rows.mapInPandas(_blocks, _BLOCK), "blocks")
-    asked = blocks.filter("kind <> 'documents'")
-    grams, words = asked.agg(
-        F.coalesce(F.sum("grams"), F.lit(0)),
-        F.coalesce(F.sum(F.when(F.col("kind") == "total", F.col("part"))), F.lit(0)),
-    ).first()
-    tables = max(1, -(-grams // TABLE_GRAMS))
-    asked = asked.filter("kind = 'grams'").select("block", "data", "counts")
-    parts = asked.mapInPandas(_cut(tables), "block string, part int, data binary, counts binary")
-    answers = parts.groupBy("part").applyInPandas(_answers, "block string, part int, counts binary")
-
-    def scored(key, held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return _scores(held, answers, int(words), tables)
-
-    held = blocks.filter("kind <> 'total'").select("block", "kind", "ids", "data")
-    out = held.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        scored, "id long, n_words long, score double"
-    )
+    counted = F.sum(F.regexp_count("text", F.lit(_WORD)))
+    words = int(rows.agg(F.coalesce(counted, F.lit(0))).first()[0])
+    blocks, tables = max(1, -(-words // BLOCK_WORDS)), max(1, -(-2 * words // TABLE_GRAMS))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")
+    # This shuffle is used twice: for the questions, and where the answers arrive.
+    dealt = rows.select(block, "id", "text").repartition(max(blocks, tables), "block").groupBy("block")
+
+    def asked(key, held):
+        grams, _, counts = _distinct(held["text"])[:3]
+        ends = [0, *np.searchsorted(grams, _bounds(tables)), len(grams)]
+        return pd.DataFrame([
+            (key[0], part, _steps(grams[a:b]), _thin(counts[a:b]))
+            for part, (a, b) in enumerate(zip(ends, ends[1:])) if a < b
+        ], columns=["block", "part", "data", "counts"])
+
+    questions = dealt.applyInPandas(asked, "block long, part int, data binary, counts binary")
+    answers = questions.groupBy("part").applyInPandas(_answers, "block long, part int, counts binary")
+
+    def scored(key, held, answers):
+        return _scores(held, answers, words)
+
+    out = dealt.cogroup(answers.groupBy("block")).applyInPandas(scored, "id long, n_words long, score double")
     return out.select(F.col("id").alias(id), "n_words", "score")
 
 
@@ -76,40 +76,17 @@ def _grams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate((words, (pairs * _PAIR)[~first[1:]]))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids: list[int | None] = []
-    texts: list[np.ndarray] = []
-    held = 0
-    for rows in batches:
-        for id, text in zip(rows["id"], rows["text"]):
-            words = word_hashes(text)
-            if ids and held + len(words) > BLOCK_WORDS:
-                yield _block(ids, texts)
-                ids, texts, held = [], [], 0
-            ids.append(None if pd.isna(id) else int(id))
-            texts.append(words)
-            held += len(words)
-    if ids:
-        yield _block(ids, texts)
-
-
-def _block(ids: list[int | None], texts: list[np.ndarray]) -> pd.DataFrame:
-    """The documents as numbers of their n-grams, and the distinct n-grams with counts."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    first = np.zeros(lengths.sum() + 1, dtype=bool)
+def _distinct(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, the number of each word's and pair's, their counts; the lengths
+    of the texts, and which words begin one."""
+    hashed = [word_hashes(t) for t in texts]
+    lengths = np.array([len(h) for h in hashed], dtype=np.int64)
+    words = np.concatenate([np.empty(0, dtype=np.uint64), *hashed])
+    first = np.zeros(len(words) + 1, dtype=bool)
     first[np.cumsum(lengths) - lengths] = True
-    grams, place, counts = np.unique(
-        _grams(np.concatenate(texts), first[:-1]) if lengths.sum() else np.empty(0, dtype=np.uint64),
-        return_inverse=True, return_counts=True,
-    )
-    name = uuid.uuid4().hex
-    rows = [
-        (name, "documents", 0, 0, ids, lengths.tobytes(), None),
-        (name, "places", 0, 0, None, _thin(place), None),
-        (name, "grams", 0, len(grams), None, _steps(grams), _thin(counts)),
-        (name, "total", int(lengths.sum()), 0, None, None, None),
-    ]
-    return pd.DataFrame(rows, columns=["block", "kind", "part", "grams", "ids", "data", "counts"])
+    first = first[: len(words)]
+    grams = _grams(words, first) if len(words) else words
+    return *np.unique(grams, return_inverse=True, return_counts=True), lengths, first
 
 
 def _thin(values: np.ndarray) -> bytes:
@@ -139,20 +116,6 @@ def _bounds(tables: int) -> np.ndarray:
     return np.array([(i << 64) // tables for i in range(1, tables)], dtype=np.uint64)
 
 
-def _cut(tables: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for block, data, counts in zip(rows["block"], rows["data"], rows["counts"]):
-                grams, counts = _whole(data), _thick(counts)
-                ends = [0, *np.searchsorted(grams, _bounds(tables)), len(grams)]
-                yield pd.DataFrame([
-                    (block, part, _steps(grams[a:b]), _thin(counts[a:b]))
-                    for part, (a, b) in enumerate(zip(ends, ends[1:])) if a < b
-                ], columns=["block", "part", "data", "counts"])
-
-    return cut
-
-
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """The counts in all blocks of the n-grams that each block has in one table."""
     grams = [_whole(d) for d in rows["data"]]
@@ -164,29 +127,21 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "part": rows["part"], "counts": answers})
 
 
-def _scores(held: pd.DataFrame, answers: pd.DataFrame, words: int, tables: int) -> pd.DataFrame:
-    kinds = held.set_index("kind")
-    ids = kinds.at["documents", "ids"]
-    lengths = np.frombuffer(kinds.at["documents", "data"], dtype=np.int64)
-    size = int(lengths.sum())
+def _scores(held: pd.DataFrame, answers: pd.DataFrame, words: int) -> pd.DataFrame:
+    _, place, _, lengths, first = _distinct(held["text"])
     total = np.zeros(len(lengths))
-    if size:
-        place = _thick(kinds.at["places", "data"]).astype(np.int64)
+    if len(first):
         counts = np.concatenate([_thick(c) for c in answers.sort_values("part")["counts"]])
         others = counts[place].astype(np.int64) - 1
-        single = others[:size]
-        starts = np.cumsum(lengths) - lengths
-        first = np.zeros(size + 1, dtype=bool)
-        first[starts] = True
-        after = np.flatnonzero(~first[:size])
-        pair = others[size:]
+        single, pair = others[: len(first)], others[len(first) :]
+        after = np.flatnonzero(~first)
         alone = np.maximum(single, 1) / max(words - 1, 1)
         chance = alone.copy()
-        seen = pair > 0
-        chance[after] = np.where(seen, pair / np.maximum(single[after - 1], 1), BACKOFF * alone[after])
+        chance[after] = np.where(
+            pair > 0, pair / np.maximum(single[after - 1], 1), BACKOFF * alone[after]
+        )
         owner = np.repeat(np.arange(len(lengths)), lengths)
         total = np.bincount(owner, weights=np.log10(chance), minlength=len(lengths))
     return pd.DataFrame({
-        "id": pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"),
-        "n_words": lengths, "score": np.round(total, DIGITS) + 0.0,
+        "id": held["id"].astype("Int64"), "n_words": lengths, "score": np.round(total, DIGITS) + 0.0,
     })
