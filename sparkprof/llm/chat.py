@@ -41,7 +41,7 @@ def format_conversations(
         "id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns")
     )
     plain = whole.withColumn("formatted", _rendered("turns", lambda part: part))
-    tried = plain.withColumn("escaped", ~_turns(parse(F.col("formatted"))).eqNullSafe(F.col("turns")))
+    tried = plain.withColumn("escaped", ~_turns(_parts(F.col("formatted"))).eqNullSafe(F.col("turns")))
     escaped = F.when(F.col("escaped"), _rendered("turns", escape)).otherwise(F.col("formatted"))
     read = tried.withColumn("formatted", escaped).withColumn("read", parse(F.col("formatted")))
     same = _turns(F.col("read")).eqNullSafe(F.col("turns"))
@@ -70,26 +70,31 @@ def parse(formatted: Column) -> Column:
     A turn ends at the first END; its role ends at the first HEAD.  Start and length say
     where its text, as it stands, lies in the formatted text.
     """
+    parts = _parts(formatted)
+    starts = F.aggregate(
+        parts, F.array(F.lit(0)),
+        lambda seen, p: F.concat(seen, F.array(F.element_at(seen, -1) + p["size"] + len(END))),
+    )
+    return F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda p, start: F.struct(
+        p["role"], p["text"], (start + p["skip"]).alias("start"), p["length"],
+    ))
+
+
+def _parts(formatted: Column) -> Column:
+    """Turns with their size in the formatted text and what of it comes before the text."""
     pieces = F.split(formatted, r"\Q" + END + r"\E")
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def turn(piece: Column) -> Column:
         at = F.instr(piece, HEAD)
+        text = F.substring(piece, at + len(HEAD), F.length(piece))
         return F.struct(
-            F.substring(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1).alias("role"),
-            F.substring(piece, at + len(HEAD), F.length(piece)).alias("text"),
-            F.length(piece).alias("size"), (at + len(HEAD) - 1).alias("skip"),
+            unescape(F.substring(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)).alias("role"),
+            unescape(text).alias("text"), F.length(piece).alias("size"),
+            (at + len(HEAD) - 1).alias("skip"), F.length(text).alias("length"),
         )
 
-    parts = F.transform(pieces, turn)
-    starts = F.aggregate(
-        parts, F.array(F.lit(0)),
-        lambda seen, p: F.concat(seen, F.array(F.element_at(seen, -1) + p["size"] + len(END))),
-    )
-    return F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda p, start: F.struct(
-        unescape(p["role"]).alias("role"), unescape(p["text"]).alias("text"),
-        (start + p["skip"]).alias("start"), F.length(p["text"]).alias("length"),
-    ))
+    return F.transform(pieces, turn)
 
 
 def _turns(parsed: Column) -> Column:
