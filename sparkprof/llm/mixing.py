@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkprof.columns import qcol
 from sparkprof.scratch import write_once
 
 # Most often that a document is taken.
@@ -48,10 +49,9 @@ def mix(documents: DataFrame, text: str = "text", source: str = "source", id: st
     Adds ``mix_copy`` (0, 1, 2), ``mix_shard`` and ``mix_place``; rows of a shard lie in
     one partition in the order of their place.  See ``draws`` for what is taken.
     """
-    columns = [c for c in documents.columns if not c.startswith("mix_")]
-    drawn = draws(documents.select(*columns), text, source, id, **options)
+    drawn = draws(documents, text, source, id, **options)
     return (
-        drawn.select(*columns, F.inline("mix_draws"))
+        drawn.select(*_kept(documents), F.inline("mix_draws"))
         .repartition("mix_shard")
         .sortWithinPartitions("mix_shard", "mix_place")
     )
@@ -76,8 +76,9 @@ def draws(
 
     All choices come from hashes of id and size and from the seed: reruns agree, and equal
     rows are taken alike.  The driver holds a row for each source.  An empty table gives an
-    empty table; other columns pass through.
+    empty table; other columns pass through, but for those named ``mix_...``.
     """
+    documents = documents.select(*_kept(documents))
     sized = documents.select(_sizes(text, source, id, seed))
     sized = write_once(sized.select("s.*"), "sizes")
     plan = _plan(sized, weights, shards, seed)
@@ -85,12 +86,16 @@ def draws(
     rows = rows.withColumn("mix_k", F.col("mix_s.mix_source"))
     joined = rows.join(plan.withColumnRenamed("mix_source", "mix_k"), "mix_k")
     return joined.select(
-        *documents.columns, F.col("mix_s.size").alias("mix_size"),
+        *_kept(documents), F.col("mix_s.size").alias("mix_size"),
         F.col("mix_p.size").alias("mix_source_size"), F.col("mix_p.target").alias("mix_target"),
         _drawn(F.col("mix_s.key"), F.col("mix_p")).alias("mix_draws"),
     )
 
 
+def _kept(documents: DataFrame) -> list[Column]:
+    return [qcol(c) for c in documents.columns if not c.startswith("mix_")]
+
+
 def _sizes(text: str, source: str, id: str, seed: int) -> Column:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     return F.struct(

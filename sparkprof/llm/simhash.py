@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkprof.columns import qcol
 from sparkprof.llm.graph import components
 from sparkprof.scratch import write_once
 
@@ -314,6 +315,14 @@ def deduplicated(
         return kept
     alone = found.filter(F.col(id).isNull() & F.col("component_id").isNull())
     alone = alone.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
-    unnamed = kept.filter(F.col(id).isNull()).withColumn("_fp", fingerprint(F.col(text), words))
-    unnamed = unnamed.join(alone, F.col("_fp") == F.col("fp"), "left_semi").drop("_fp")
+    print_ = fresh(kept, "fp")
+    unnamed = kept.filter(F.col(id).isNull()).withColumn(print_, fingerprint(F.col(text), words))
+    unnamed = unnamed.join(alone.toDF(print_), print_, "left_semi").select(*map(qcol, documents.columns))
     return kept.filter(F.col(id).isNotNull()).unionByName(unnamed)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
