@@ -28,9 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known for sure; all if there is none to learn from."""
     model = language.fit(docs.filter(remainder("doc_id", 3) != 1))
-    found = docs.withColumn("_language", model.predict(F.col("text")))
-    sure = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= SURE)
-    return found.filter(sure).drop("_language") if model.languages else docs
+    name = simhash.fresh(docs, "language")
+    found = docs.withColumn(name, model.predict(F.col("text")))
+    sure = (F.col(name)["lang_pred"] != language.UNKNOWN) & (F.col(name)["score"] >= SURE)
+    return found.filter(sure).drop(name) if model.languages else docs
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
