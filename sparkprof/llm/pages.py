@@ -44,7 +44,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("host", _host(F.col("url")))
     place = F.xxhash64("id", "url")
-    first = rows.groupBy("host").agg(F.min(place).alias("place"))
+    # A written table has a known size: if it is small, the pages need not be shuffled.
+    first = write_once(rows.groupBy("host").agg(F.min(place).alias("place")), "first")
     models = rows.withColumn("place", place).join(first, ["host", "place"])
     models = models.groupBy("host").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
     models = write_once(models.select("host", _shape(F.col("html")).alias("shape")), "models")
