@@ -83,6 +83,8 @@ def contaminated(
 def clean(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no benchmark item; those without an id stay."""
     dirty = contaminated(documents, benchmark, id=id, **options).select(id).distinct()
+    # A written table has a known size: if it is small, the documents need not be shuffled.
+    dirty = write_once(dirty, "contaminated")
     return documents.join(dirty, id, "left_anti")
 
 

@@ -308,10 +308,10 @@ def deduplicated(
     document of its group has one.
     """
     found = near_duplicates(documents, words, distance, id, text)
-    # Smaller than what stays; texts move only if it is too large to be sent to all.
-    gone = found.filter(F.col(id) != F.col("component_id")).select(id).distinct()
+    # Smaller than what stays, and of a known size: if it is small, texts are not shuffled.
+    gone = write_once(found.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "copies")
     kept = documents.join(gone, id, "left_anti")
-    if found.filter(F.col(id).isNull()).isEmpty():
+    if documents.filter(F.col(id).isNull()).isEmpty():
         return kept
     alone = found.filter(F.col(id).isNull() & F.col("component_id").isNull())
     alone = alone.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
