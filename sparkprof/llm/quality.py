@@ -194,9 +194,10 @@ def _pieces(text: str) -> Iterator[str]:
 
 def _buckets(pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, piece of each) of every family: words, word pairs, character n-grams."""
-    codes = np.frombuffer((" " + " ".join(pieces) + " ").encode("utf-32-le"), dtype=np.uint32)
-    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) + 1 for p in pieces])
-    piece = np.append(piece, np.int32(len(pieces) - 1))
+    # Every piece stands between spaces of its own, whatever its neighbours are.
+    text = "".join(f" {p} " for p in pieces)
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) + 2 for p in pieces])
     spaces = np.flatnonzero(codes == 32)
     real = np.diff(spaces) > 1
     start, end = spaces[:-1][real] + 1, spaces[1:][real]
