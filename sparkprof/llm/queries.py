@@ -107,7 +107,8 @@ _OP5_SQL = rf"""
 WITH listed AS (
   SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-]+'), lambda w: w <> '') AS words
+    '[ 	-
+]+'), lambda w: w <> '') AS words
   FROM documents
 ), placed AS (
   SELECT row, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM listed
@@ -228,6 +229,59 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_OP9_SQL = rf"""
+WITH texts AS (
+  SELECT 'doc' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 'item', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), named AS (
+  SELECT side, id, lower(regexp_replace(regexp_replace(
+    translate(coalesce(text, ''), chr(1) || chr(2), '  '),
+    '([^.!?\x09-\x0D ] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || 'n\2', 'g'),
+    '([0-9])[.,]([0-9])', '\1' || chr(2) || '\2', 'g')) AS text FROM texts
+), marked AS (
+  SELECT side, id, regexp_replace(regexp_replace(text, '[0-9][0-9\x02]*', chr(1) || 'd\0', 'g'),
+    '(\x01d[0-9\x02]+[ -]?)({"|".join(decontaminate.UNITS)})([^\p{{L}}\p{{N}}]|$)',
+    '\1 ' || chr(1) || 'u\2\3', 'g') AS text FROM named
+), split AS (
+  SELECT side, id, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}\x01\x02]+'),
+    lambda w: w <> '') AS words FROM marked
+), lengths AS (
+  SELECT DISTINCT least({decontaminate.WINDOW}, len(words)) AS n FROM split
+  WHERE side = 'item' AND len(words) > 0
+), spans AS (
+  SELECT side, id, words, n, unnest(range(1, len(words) - n + 2)) AS place FROM split, lengths
+  WHERE len(words) >= n AND (side = 'doc' OR n = least({decontaminate.WINDOW}, len(words)))
+), windows AS (
+  SELECT side, id, place, n, array_to_string(list_transform(words[place:place + n - 1],
+      lambda w: CASE WHEN w[1] = chr(1) THEN w[1:2] ELSE w END), ' ') AS key,
+    list_filter(words[place:place + n - 1], lambda w: w[1] = chr(1)) AS slots FROM spans
+), kept AS (
+  SELECT DISTINCT * FROM windows
+  WHERE n - len(slots) >= least({decontaminate.LITERAL}, greatest(n - 1, 1))
+), sizes AS (
+  SELECT id AS item_id, count(DISTINCT place) AS windows FROM kept WHERE side = 'item' GROUP BY id
+), found AS (
+  SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.place AS place, i.place AS item_place,
+    d.slots AS given, i.slots AS asked
+  FROM kept d JOIN kept i ON d.side = 'doc' AND i.side = 'item' AND d.key = i.key AND d.n = i.n
+), slots AS (
+  SELECT doc_id, item_id, place, item_place, unnest(asked) AS asked, unnest(given) AS given FROM found
+), bound AS (
+  SELECT doc_id, item_id, asked, given AS bound FROM (
+    SELECT doc_id, item_id, asked, given, count(*) AS n FROM slots GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, asked ORDER BY n DESC, given) = 1
+), broken AS (
+  SELECT DISTINCT doc_id, item_id, place, item_place FROM slots JOIN bound USING (doc_id, item_id, asked)
+  WHERE given <> bound
+), pairs AS (
+  SELECT doc_id, item_id, count(DISTINCT item_place) AS matched, bool_or(given <> asked) AS changed
+  FROM found ANTI JOIN broken USING (doc_id, item_id, place, item_place) GROUP BY ALL
+)
+SELECT doc_id, item_id, matched, windows, matched / windows::DOUBLE AS share, changed
+FROM pairs JOIN sizes USING (item_id) WHERE matched / windows::DOUBLE >= {decontaminate.SHARE}
+"""
+
+
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of all pages."""
     return pages.main_text(_table(spark, folder, "pages"))
@@ -242,6 +296,6 @@ QUERIES = {
     "op6_licenses": (op6_licenses, _OP6_SQL),
     "op7_topk": (op7_topk, _OP7_SQL),
     "op8_simhash": (op8_simhash, None),
-    "op9_decontaminate": (op9_decontaminate, None),
+    "op9_decontaminate": (op9_decontaminate, _OP9_SQL),
     "op10_pages": (op10_pages, None),
 }
