@@ -15,6 +15,7 @@ from sparkprof.plans.training import (
     SCALED,
     TrainSpec,
     feature_stages,
+    indexed,
     load_registered,
     register_run,
     train,
@@ -112,8 +113,8 @@ FROM asked LEFT JOIN ix USING (p_name)"""
 
 def _prepared(rows, names):
     stages = feature_stages(rows, names)
-    for name in split_by_kind(rows, names)[1]:
-        rows = indexing.apply_index(rows, name, indexing.index_values(rows, name), output=name)
+    texts = {n: indexing.index_values(rows, n) for n in split_by_kind(rows, names)[1]}
+    rows = indexed(rows, names, texts)
     return Pipeline(stages=stages).fit(rows).transform(rows)
 
 

@@ -76,10 +76,8 @@ class TrainedModel:
 
         For a string target ``predicted_label`` holds the class name.
         """
-        for name, values in self.indexes.items():
-            df = apply_index(df, name, values, output=name)
-        scored = self.pipeline.transform(df)
-        internal = [c for c in scored.columns if c == RAW or c.startswith("_feature_")]
+        scored = self.pipeline.transform(indexed(df, self.features, self.indexes))
+        internal = [c for c in scored.columns if c == RAW or c.startswith(("_feature_", "_text_"))]
         if not keep_vectors:
             internal.append(SCALED)
         scored = scored.drop(*internal)
@@ -233,8 +231,7 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
 
     # Values are numbered and matched across the cluster, however many there are.
     indexes = {n: index_values(train_rows, n) for n in categorical}
-    for name, values in indexes.items():
-        train_rows = apply_index(train_rows, name, values, output=name)
+    train_rows = indexed(train_rows, spec.features, indexes)
     labels, labeled = _labeler(train_rows, spec)
     train_rows = labeled(train_rows)
     if indexes or labels is not None:  # every stage of the fit reads these rows
@@ -298,17 +295,25 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withMetadata("label", about)
 
 
+def indexed(df: DataFrame, features: list[str], indexes: dict[str, DataFrame]) -> DataFrame:
+    """Adds the index of each text feature under a name of our own."""
+    for name, values in indexes.items():
+        df = apply_index(df, name, values, output=f"_text_{features.index(name)}")
+    return df
+
+
 def feature_stages(df: DataFrame, features: list[str]) -> list:
     """Assemble (numbers first, then the indexes of texts), scale to unit deviation.
 
-    ``df`` tells the kinds of the features; the rows that are transformed hold the index
-    of a text (``apply_index``) under its name.  Features get names of our own, so that
-    any column name can be used.
+    ``df`` tells the kinds of the features; the rows that are transformed hold the indexes
+    of texts (``indexed``) beside them.  Features get names of our own, so that any
+    column name can be used.
     """
     numeric, categorical = split_by_kind(df, features)
     place = {name: i for i, name in enumerate(features)}
     ordered = [*numeric, *categorical]
-    taken = [f"CAST({quoted(n)} AS DOUBLE) AS _feature_{place[n]}" for n in ordered]
+    source = {n: f"_text_{place[n]}" if n in categorical else quoted(n) for n in ordered}
+    taken = [f"CAST({source[n]} AS DOUBLE) AS _feature_{place[n]}" for n in ordered]
     return [
         SQLTransformer(statement=f"SELECT *, {', '.join(taken)} FROM __THIS__"),
         VectorAssembler(

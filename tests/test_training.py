@@ -80,7 +80,8 @@ def test_text_features_are_indexed_across_the_cluster(rows):
         assert list(model.indexes) == ["c_indexed"]
         assert model.pipeline.stages[1].getInputCols() == ["_feature_0", "_feature_2", "_feature_1"]
         unseen = table.withColumn("c_indexed", F.lit("never seen")).limit(5)
-        assert model.score(unseen).count() == 5
+        scored = model.score(unseen)
+        assert {r["c_indexed"] for r in scored.collect()} == {"never seen"} and scored.count() == 5
 
 
 def test_the_split_reads_only_what_is_used(rows):
