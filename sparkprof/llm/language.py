@@ -16,7 +16,7 @@ ORDER = 4
 ROWS_PER_LANGUAGE = 300
 UNKNOWN = "und"
 # Table cells that are looked up at once, over all languages.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _RANGE = 1 << 31

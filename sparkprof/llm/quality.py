@@ -19,8 +19,8 @@ FAMILIES = 2 + len(CHARACTERS)
 ROWS_PER_CLASS = 1500
 EPOCHS = 6
 RATE = 1.0
-# Characters that are hashed at once; a word of more counts as several.
-PIECE = 1 << 20
+# Characters that are hashed at once; a word of more (262,144) counts as several.
+PIECE = 1 << 18
 
 _MIX = np.uint32(0x9E3779B1)
 _STEP = np.uint32(0x01000193)
