@@ -13,7 +13,11 @@ from sparkprof.scratch import write_once
 
 # Most often that a document is taken.
 REPEATS = 3
+# Shards at least, and the words of a shard beyond that.
 SHARDS = 64
+SHARD_WORDS = 64_000_000
+# Shards of a group, in which a block is looked up after the group.
+GROUP = 256
 # A source has a block for so many documents, but at most 2**LEVEL_BITS blocks.
 BLOCK_ROWS = 32
 # Bits of the order that each pass over the sizes looks at.
@@ -59,7 +63,7 @@ def mix(documents: DataFrame, text: str = "text", source: str = "source", id: st
 
 def draws(
     documents: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id",
-    weights: tuple[float, ...] = (1, 2, 3), shards: int = SHARDS, seed: int = 17,
+    weights: tuple[float, ...] = (1, 2, 3), shards: int | None = None, seed: int = 17,
 ) -> DataFrame:
     """Adds ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_draws`` to each document.
 
@@ -71,7 +75,8 @@ def draws(
 
     The blocks that each source gives are its quota; a binary tree over the shards splits
     the quotas by multivariate hypergeometric draws, and each shard takes its number of
-    the source's next blocks.  ``mix_draws`` is an array of ``mix_copy``, ``mix_shard`` and
+    the source's next blocks.  Without ``shards`` there are as many as the words fill, SHARDS
+    at least.  ``mix_draws`` is an array of ``mix_copy``, ``mix_shard`` and
     ``mix_place`` (a random order within the shard), empty if the document is not taken.
 
     All choices come from hashes of id and size and from the seed: reruns agree, and equal
@@ -117,7 +122,9 @@ def _drawn(key: Column, plan: Column) -> Column:
         place = copy * plan["blocks"] + rank
         in_last = F.shiftleft(rank, FINE_BITS).bitwiseOR(fine) < plan["cut"]
         taken = (copy < plan["passes"]) | in_last | F.array_contains(plan["extra"], key)
-        shard = F.size(F.filter(plan["ends"], lambda end: end <= place))
+        passed = lambda ends: F.size(F.filter(ends, lambda end: end <= place))
+        before = passed(plan["groups"]) * GROUP
+        shard = before + passed(F.slice(plan["ends"], before + 1, F.lit(GROUP)))
         return F.when(taken, F.struct(
             copy.alias("mix_copy"), shard.alias("mix_shard"), F.xxhash64(key, copy).alias("mix_place")
         ))
@@ -157,7 +164,7 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _plan(sized: DataFrame, weights: tuple[float, ...], shards: int, seed: int) -> DataFrame:
+def _plan(sized: DataFrame, weights: tuple[float, ...], shards: int | None, seed: int) -> DataFrame:
     """A row for each source: ``mix_source`` and a struct ``mix_p``."""
     spark = sized.sparkSession
     found = sized.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
@@ -167,6 +174,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], shards: int, seed: int)
         Source(r["mix_source"], weights[i % len(weights)], r["n"], r["size"]) for i, r in enumerate(found)
     ]
     targets(sources)
+    shards = shards or max(SHARDS, -(-sum(s.size for s in sources) // SHARD_WORDS))
     random = np.random.default_rng(seed)
     factors = random.integers(0, 1 << LEVEL_BITS, (len(sources), REPEATS)) | 1
     shifts = random.integers(0, 1 << LEVEL_BITS, (len(sources), REPEATS))
@@ -182,7 +190,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], shards: int, seed: int)
     dealt = split(np.array([s.quota for s in sources]), shards, seed).cumsum(axis=0) if sources else None
     rows = [
         (s.name, (s.size, s.target, s.passes, s.blocks, s.cut, factors[i].tolist(), shifts[i].tolist(),
-                  dealt[:-1, i].tolist(), extra.get(s.name, [])))
+                  dealt[:-1, i].tolist(), dealt[GROUP - 1 : -1 : GROUP, i].tolist(), extra.get(s.name, [])))
         for i, s in enumerate(sources)
     ]
     return _small(spark.createDataFrame(rows, _PLAN), len(rows))
@@ -194,7 +202,7 @@ def _small(plan: DataFrame, rows: int) -> DataFrame:
 
 _PLAN = (
     "mix_source string, mix_p struct<size: bigint, target: double, passes: int, blocks: bigint, cut: bigint, "
-    "factors: array<bigint>, shifts: array<bigint>, ends: array<bigint>, extra: array<bigint>>"
+    "factors: array<bigint>, shifts: array<bigint>, ends: array<bigint>, groups: array<bigint>, extra: array<bigint>>"
 )
 
 

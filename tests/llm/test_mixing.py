@@ -75,6 +75,17 @@ def test_shards_hold_every_draw_once(spark):
         assert [r["mix_place"] for r in held] == sorted(r["mix_place"] for r in held)
 
 
+def test_shards_are_found_in_groups(spark, monkeypatch):
+    _, df = sources(spark, {"a": 300, "b": 100})
+    pick = lambda: sorted((r["doc_id"], str(r["mix_draws"])) for r in mixing.draws(df, shards=11).collect())
+    plain = pick()
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    assert pick() == plain
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    found = {d["mix_shard"] for r in mixing.draws(df).collect() for d in r["mix_draws"]}
+    assert max(found) > 64  # more shards than there are at least
+
+
 def test_the_tree_deals_all_blocks():
     quotas = np.array([100, 7, 0, 33])
     dealt = mixing.split(quotas, 5, seed=1)
