@@ -7,15 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol
+from sparkprof.llm import shingles
 from sparkprof.llm.graph import components
 from sparkprof.scratch import write_once
 
-SEED = 42
 # Fingerprints that one unit of the join holds on either side, on average.
 UNIT_ROWS = 1024
 # Candidate pairs of the units that are traversed together.
@@ -65,23 +64,16 @@ def fingerprint(text: Column, words: int) -> Column:
 
 def text_fingerprint(text: str | None, words: int) -> int:
     """Signed 64-bit fingerprint; ASCII white space separates words, A-Z are lowered."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return 0
-    size = min(words, len(parts))
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - size + 1].tolist()
-    ends = ends[size - 1 :].tolist()
+    return hashes_fingerprint(shingles.hashes(text, words))
+
+
+def hashes_fingerprint(hashes: np.ndarray) -> int:
     counts = np.zeros(64, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), _SHINGLES_AT_ONCE):
-        to = at + _SHINGLES_AT_ONCE
-        pieces = zip(starts[at:to], ends[at:to])
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pieces], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        piece = hashes[at : at + _SHINGLES_AT_ONCE]
+        bits = np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    set_ = np.packbits(2 * counts > len(starts), bitorder="little")
+    set_ = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(set_.view("<i8")[0])
 
 
@@ -300,24 +292,41 @@ def local_roots(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def deduplicated(
-    documents: DataFrame, words: int = 5, distance: int = 6, id: str = "doc_id", text: str = "text"
+    documents: DataFrame, words: int = 5, distance: int = 6, id: str = "doc_id", text: str = "text",
+    similarity: float = 0.8,
 ) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Rows that share an id are one document.  A row without an id stays only if no other
-    document of its group has one.
+    Two documents are linked if the Jaccard similarity of their sets of shingles is
+    ``similarity`` or more.  Pairs whose fingerprints differ in at most ``distance`` bits and
+    pairs that share a MinHash band are compared, on the sets themselves; texts without
+    words are one group.  Rows that share an id are one document.  A row without an id stays
+    only if no other document of its group has one.
     """
-    found = near_duplicates(documents, words, distance, id, text)
+    marks = shingles.marks(F.col(text), words, hashes_fingerprint)
+    rows = write_once(documents.select(F.col(id).alias("id"), marks.alias("m")).select("id", "m.*"), "marks")
+    classes = rows.groupBy("set").agg(
+        F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min("id").alias("least")
+    )
+    classes = write_once(classes, "classes")
+    near = components(links(classes.filter("n > 0").select("fp").distinct(), distance)).withColumnRenamed("node", "fp")
+    pairs = shingles.alike(
+        documents, classes.filter("n > 0"), near, words, similarity, distance, id, text
+    )
+    roots = components(pairs).withColumnRenamed("node", "set")
+    rooted = classes.join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    found = rows.join(named.select("set", "component_id"), "set")
     # Smaller than what stays, and of a known size: if it is small, texts are not shuffled.
-    gone = write_once(found.filter(F.col(id) != F.col("component_id")).select(id).distinct(), "copies")
+    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(id)).distinct()
+    gone = write_once(gone, "copies")
     kept = documents.join(gone, id, "left_anti")
     if documents.filter(F.col(id).isNull()).isEmpty():
         return kept
-    alone = found.filter(F.col(id).isNull() & F.col("component_id").isNull())
-    alone = alone.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
-    print_ = fresh(kept, "fp")
-    unnamed = kept.filter(F.col(id).isNull()).withColumn(print_, fingerprint(F.col(text), words))
-    unnamed = unnamed.join(alone.toDF(print_), print_, "left_semi").select(*map(qcol, documents.columns))
+    set_ = fresh(kept, "set")
+    alone = found.filter("id is null and component_id is null").select(F.col("set").alias(set_)).distinct()
+    unnamed = kept.filter(F.col(id).isNull()).withColumn(set_, shingles.sets(F.col(text), words)["set"])
+    unnamed = unnamed.join(alone, set_, "left_semi").select(*map(qcol, documents.columns))
     return kept.filter(F.col(id).isNotNull()).unionByName(unnamed)
 
 

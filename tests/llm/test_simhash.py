@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkprof.llm import graph, simhash
+from sparkprof.llm import graph, shingles, simhash
 
 DOCUMENTS = "doc_id bigint, text string, fp string, id string, root int"
 
@@ -142,3 +142,43 @@ def test_bits_are_only_moved(spark):
     row = spark.createDataFrame([(-12345678901234,)], "fp bigint").select(
         simhash._moved("fp", moves).alias("m"), F.bit_count("fp").alias("n")).first()
     assert (row["m"] & (1 << 64) - 1).bit_count() == row["n"]
+
+
+def shingle_sets(text, words=5):
+    parts = (text or "").lower().split()
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def test_similar_texts_of_distant_fingerprints_are_one(spark, monkeypatch):
+    """All pairs of similarity 0.8 or more are linked whatever their fingerprints, and no others."""
+    monkeypatch.setattr(shingles, "UNIT_ROWS", 8)  # groups are split into parts
+    rng = np.random.default_rng(11)
+    rows, pool = [], [f"w{i}" for i in range(5000)]
+    for g in range(25):
+        base = list(rng.choice(pool, int(rng.integers(20, 70))))
+        for _ in range(4):
+            changed = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                changed[int(rng.integers(len(changed)))] = str(rng.choice(pool))
+            rows.append((len(rows), " ".join(changed)))
+    base = list(rng.choice(pool, 200))
+    for g in range(60):  # a dense group
+        changed = list(base)
+        changed[g] = "other"
+        rows.append((len(rows), " ".join(changed)))
+    sets, root = [shingle_sets(t) for _, t in rows], list(range(len(rows)))
+    prints = [plain_fingerprint(t, 5) for _, t in rows]
+    lost = close = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count()
+            lost, close = lost + (alike and bits > 6), close + (not alike and bits <= 6)
+            if alike:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert lost  # the fingerprints alone do not find all
+    first = {}
+    for (i, _), r in zip(rows, root):
+        first.setdefault(r, i)
+    kept = simhash.deduplicated(frame(spark, rows))
+    assert {r["doc_id"] for r in kept.collect()} == set(first.values())
