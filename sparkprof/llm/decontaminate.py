@@ -34,32 +34,41 @@ def contaminated(
     typed slots; windows of ``window`` tokens of either side meet by hash.  Within a
     document and an item each value of the item's slots must stand for one value of the
     document's: the most frequent one, of equals the smallest; windows with another are
-    not counted.  A pair counts if at least ``share`` of the item's windows are left.
+    not counted.  The same is done for windows of plain lower-case words, so that a verbatim
+    copy is found whatever its case and surroundings.  A pair counts if at least ``share``
+    of the item's windows of either kind are left.
 
     Returns ``id``, ``item``, ``matched`` and ``windows`` (of the item), ``share`` and
     ``changed`` (whether a slot has another value than in the item).  Null ids, null or
     empty texts and items without words give no row; rows that share an id count as one
     document, items that share an id as one item.  Other columns are not read.
     """
-    items = _windows(benchmark, item, item_text, "item", window, F.lit(None).cast("array<int>"))
-    items = write_once(items.distinct(), "benchmark")
-    sizes = items.groupBy("item").agg(F.countDistinct("place").alias("windows"))
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())
+    items = _windows(benchmark, item, item_text, "item", window)
+    # Windows without words of their own say nothing; those of documents meet none of them.
+    slots = lambda c: F.filter(c, lambda s: s.isNotNull())
+    literal = F.col("length") - F.size(slots("slots")) - F.when(F.col("plain"), F.col("numbers")).otherwise(0)
+    own = literal >= F.least(F.lit(LITERAL), F.greatest(F.col("length") - 1, F.lit(1)))
+    items = items.filter(own | F.col("plain") & (F.col("length") >= window)).withColumn("slots", slots("slots"))
+    items = write_once(items.drop("numbers").distinct(), "benchmark")
+    sizes = items.groupBy("item", "plain").agg(
+        F.countDistinct("place").alias("windows"), F.first("length").alias("length")
+    )
+    lengths = {False: [], True: []}
+    for row in sorted(items.select("plain", "length").distinct().collect()):
+        lengths[row["plain"]].append(row["length"])
     held = items.select(
-        "item", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+        "item", "plain", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
     )
     if held.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
-    lengths = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    found = _windows(documents, id, text, "doc", window, lengths).join(held, "hash")
-    found = write_once(
-        found.select("doc", "item", "place", "item_place", "slots", "item_slots").distinct(), "matches"
-    )
+    found = _windows(documents, id, text, "doc", window, lengths).join(held, ["plain", "hash"])
+    found = found.select("doc", "item", "plain", "place", "item_place", slots("slots").alias("slots"), "item_slots")
+    found = write_once(found.distinct(), "matches")
     slots = found.select(
-        "doc", "item", "place", "item_place",
+        "doc", "item", "plain", "place", "item_place",
         F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"),
     ).select(
-        "doc", "item", "place", "item_place", F.col("slot.item_slots").alias("asked"),
+        "doc", "item", "plain", "place", "item_place", F.col("slot.item_slots").alias("asked"),
         F.col("slot.slots").alias("given"),
     )
     votes = slots.groupBy("doc", "item", "asked", "given").count()
@@ -67,16 +76,20 @@ def contaminated(
     bound = votes.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
     bound = bound.select("doc", "item", "asked", F.col("given").alias("bound"))
     broken = slots.join(bound, ["doc", "item", "asked"]).filter("given <> bound")
-    kept = found.join(broken, ["doc", "item", "place", "item_place"], "left_anti")
-    pairs = kept.groupBy("doc", "item").agg(
+    kept = found.join(broken, ["doc", "item", "plain", "place", "item_place"], "left_anti")
+    pairs = kept.groupBy("doc", "item", "plain").agg(
         F.countDistinct("item_place").alias("matched"),
         F.max(F.to_json("slots") != F.to_json("item_slots")).alias("changed"),
     )
-    return (
-        pairs.join(sizes, "item")
+    pairs = (
+        pairs.join(sizes, ["item", "plain"])
         .withColumn("share", F.col("matched") / F.col("windows"))
         .filter(F.col("share") >= share)
-        .select(F.col("doc").alias(id), F.col("item").alias(item), "matched", "windows", "share", "changed")
+    )
+    # What is found by slots is reported by slots.
+    best = F.min_by(F.struct("matched", "windows", "share", "changed"), F.col("plain")).alias("best")
+    return pairs.groupBy("doc", "item").agg(best).select(
+        F.col("doc").alias(id), F.col("item").alias(item), "best.*"
     )
 
 
@@ -105,38 +118,45 @@ def _tokens(text: Column) -> Column:
 
 
 def _windows(
-    rows: DataFrame, id: str, text: str, name: str, window: int, lengths: Column
+    rows: DataFrame, id: str, text: str, name: str, window: int, lengths: dict[bool, list[int]] | None = None
 ) -> DataFrame:
-    """``name, hash, place, slots, length`` of the windows with enough words of their own.
+    """``name, plain, hash, place, slots, length, numbers`` of all windows, with slots and as plain words.
 
-    Without ``lengths`` a row of fewer tokens than a window is one window.
+    Without ``lengths`` a row of fewer tokens than a window is one window.  ``slots`` has a
+    null for each other token; ``numbers`` counts the tokens that begin with a digit.
     """
-    # A slot keeps its type as token and its value apart.
-    tokens = rows.select(F.col(id).alias(name), _tokens(marked(F.col(text))).alias("token"))
+    words = _tokens(F.lower(F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001\u0002", "  ")))
+    tokens = rows.select(F.col(id).alias(name), _tokens(marked(F.col(text))).alias("token"), words.alias("word"))
     tokens = tokens.filter(F.col(name).isNotNull() & (F.size("token") > 0))
-    own = F.least(F.lit(window), F.size("token"))
-    lengths = F.coalesce(lengths, F.array(own))
+    # A slot keeps its type as token and its value apart.
     slot = lambda t: F.substring(t, 1, 1) == "\u0001"
     tokens = tokens.select(
-        name, lengths.alias("lengths"),
+        name,
         F.transform("token", lambda t: F.xxhash64(F.when(slot(t), F.substring(t, 1, 2)).otherwise(t))).alias("hash"),
         F.transform("token", lambda t: F.when(slot(t), t)).alias("slot"),
+        F.transform("word", lambda t: F.xxhash64(t)).alias("plain_hash"),
+        *([] if lengths else [F.transform("word", lambda t: t.rlike("^[0-9]").cast("int")).alias("number")]),
     )
-    def at(length: Column, start: Column) -> Column:
-        values = F.filter(F.slice("slot", start, length), lambda s: s.isNotNull())
+
+    def at(plain: bool, length: Column, start: Column) -> Column:
+        hash = F.slice("plain_hash" if plain else "hash", start, length)
+        numbers = F.size(F.filter(F.slice("number", start, length), lambda n: n > 0)) if plain and not lengths else F.lit(0)
         return F.struct(
-            F.xxhash64(F.slice("hash", start, length)).alias("hash"), start.alias("place"),
-            values.alias("slots"), length.alias("length"),
+            F.lit(plain).alias("plain"), F.xxhash64(hash).alias("hash"), start.alias("place"),
+            (F.lit(None).cast("array<string>") if plain else F.slice("slot", start, length)).alias("slots"),
+            length.alias("length"), numbers.alias("numbers"),
         )
 
-    starts = lambda n: F.when(F.size("hash") >= n, F.sequence(F.lit(1), F.size("hash") - n + 1))
-    every = F.flatten(F.transform(
-        "lengths",
-        lambda n: F.coalesce(F.transform(starts(n), lambda i: at(n, i)), F.array().cast(_WINDOWS)),
-    ))
-    found = tokens.select(name, F.inline(every))
-    literal = F.col("length") - F.size("slots")
-    return found.filter(literal >= F.least(F.lit(LITERAL), F.greatest(F.col("length") - 1, F.lit(1))))
+    every = []
+    for plain in (False, True):
+        size = F.size("plain_hash" if plain else "hash")
+        own = [F.lit(n) for n in lengths[plain]] if lengths else [F.least(F.lit(window), size)]
+        for length in own:
+            starts = F.when((length > 0) & (size >= length), F.sequence(F.lit(1), size - length + 1))
+            part = F.transform(starts, lambda i: at(plain, length, i))
+            every.append(F.coalesce(part, F.array().cast(_WINDOWS)))
+    found = tokens.select(name, F.inline(F.concat(F.array().cast(_WINDOWS), *every)))
+    return found.withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
 
 
-_WINDOWS = "array<struct<hash:bigint,place:int,slots:array<string>,length:int>>"
+_WINDOWS = "array<struct<plain:boolean,hash:bigint,place:int,slots:array<string>,length:int,numbers:int>>"

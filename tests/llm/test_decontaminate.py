@@ -61,3 +61,15 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(documents.limit(0), items).collect() == []
     assert decontaminate.contaminated(documents, items.limit(0)).collect() == []
     assert decontaminate.clean(documents, items.limit(0)).count() == 1
+
+
+def test_verbatim_copies_of_any_case_and_place(spark):
+    """Names in lower or upper case, and a first word that looks like a name inside the sentence."""
+    question = "Which river flows through the old town?"
+    texts = [(1, "so " + ITEM.lower()), (2, ITEM.upper()), (3, "quiz question: " + question), (4, "a river, and Which town?")]
+    documents, _ = frames(spark, texts)
+    items = spark.createDataFrame([(0, ITEM), (1, question)], "item_id bigint, text string")
+    rows = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(documents, items).collect()}
+    assert set(rows) == {(1, 0), (2, 0), (3, 1)}
+    assert all(r["matched"] == r["windows"] for r in rows.values())
+    assert {r["doc_id"] for r in decontaminate.clean(documents, items).collect()} == {4}
