@@ -11,6 +11,8 @@ from sparkprof.scratch import write_once
 WINDOW = 8
 # Share of an item's windows that make a document contaminated.
 SHARE = 0.3
+# Tokens in a row that make a document contaminated however long the item is.
+RUN = 13
 # Tokens of a window that must be words of their own, or all but the slots of a short item.
 LITERAL = 3
 # Benchmark windows up to this number (a few hundred bytes each) are sent to every executor.
@@ -27,6 +29,7 @@ UNITS = (
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
     item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE,
+    run: int = RUN,
 ) -> DataFrame:
     """Pairs of documents and the benchmark items they hold.
 
@@ -36,10 +39,11 @@ def contaminated(
     document's: the most frequent one, of equals the smallest; windows with another are
     not counted.  The same is done for windows of plain lower-case words, so that a verbatim
     copy is found whatever its case and surroundings.  A pair counts if at least ``share``
-    of the item's windows of either kind are left.
+    of the item's windows of either kind are left, or if windows left in a row cover
+    ``run`` tokens.
 
-    Returns ``id``, ``item``, ``matched`` and ``windows`` (of the item), ``share`` and
-    ``changed`` (whether a slot has another value than in the item).  Null ids, null or
+    Returns ``id``, ``item``, ``matched`` and ``windows`` (of the item), ``share``, ``changed``
+    (whether a slot has another value than in the item) and ``run`` (the most tokens in a row).  Null ids, null or
     empty texts and items without words give no row; rows that share an id count as one
     document, items that share an id as one item.  Other columns are not read.
     """
@@ -61,7 +65,7 @@ def contaminated(
     )
     if held.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
-    found = _windows(documents, id, text, "doc", window, lengths).join(held, ["plain", "hash"])
+    found = _windows(documents, id, text, "doc", window, lengths).drop("plain").join(held, "hash")
     found = found.select("doc", "item", "plain", "place", "item_place", slots("slots").alias("slots"), "item_slots")
     found = write_once(found.distinct(), "matches")
     slots = found.select(
@@ -81,13 +85,20 @@ def contaminated(
         F.countDistinct("item_place").alias("matched"),
         F.max(F.to_json("slots") != F.to_json("item_slots")).alias("changed"),
     )
+    along = Window.partitionBy("doc", "item", "plain", "apart").orderBy("item_place")
+    rows = kept.select("doc", "item", "plain", "item_place", (F.col("place") - F.col("item_place")).alias("apart"))
+    rows = rows.distinct().withColumn("row", F.col("item_place") - F.row_number().over(along))
+    rows = rows.groupBy("doc", "item", "plain", "apart", "row").count()
+    rows = rows.groupBy("doc", "item", "plain").agg(F.max("count").alias("in_a_row"))
     pairs = (
-        pairs.join(sizes, ["item", "plain"])
+        pairs.join(rows, ["doc", "item", "plain"]).join(sizes, ["item", "plain"])
         .withColumn("share", F.col("matched") / F.col("windows"))
-        .filter(F.col("share") >= share)
+        .withColumn("run", (F.col("in_a_row") + F.col("length") - 1).cast("int"))
+        .filter((F.col("share") >= share) | (F.col("run") >= run))
     )
-    # What is found by slots is reported by slots.
-    best = F.min_by(F.struct("matched", "windows", "share", "changed"), F.col("plain")).alias("best")
+    # What is found by slots is reported by slots; a share counts before a run.
+    order = F.struct(F.col("share") < share, "plain")
+    best = F.min_by(F.struct("matched", "windows", "share", "changed", "run"), order).alias("best")
     return pairs.groupBy("doc", "item").agg(best).select(
         F.col("doc").alias(id), F.col("item").alias(item), "best.*"
     )
@@ -140,9 +151,11 @@ def _windows(
 
     def at(plain: bool, length: Column, start: Column) -> Column:
         hash = F.slice("plain_hash" if plain else "hash", start, length)
+        # Windows of either kind meet only their own.
+        hash = F.xxhash64(hash, F.lit(1)) if plain else F.xxhash64(hash)
         numbers = F.size(F.filter(F.slice("number", start, length), lambda n: n > 0)) if plain and not lengths else F.lit(0)
         return F.struct(
-            F.lit(plain).alias("plain"), F.xxhash64(hash).alias("hash"), start.alias("place"),
+            F.lit(plain).alias("plain"), hash.alias("hash"), start.alias("place"),
             (F.lit(None).cast("array<string>") if plain else F.slice("slot", start, length)).alias("slots"),
             length.alias("length"), numbers.alias("numbers"),
         )

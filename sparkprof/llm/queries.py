@@ -226,7 +226,7 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return decontaminate.contaminated(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
-    )
+    ).drop("run")
 
 
 _OP9_SQL = rf"""

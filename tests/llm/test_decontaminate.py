@@ -73,3 +73,15 @@ def test_verbatim_copies_of_any_case_and_place(spark):
     assert set(rows) == {(1, 0), (2, 0), (3, 1)}
     assert all(r["matched"] == r["windows"] for r in rows.values())
     assert {r["doc_id"] for r in decontaminate.clean(documents, items).collect()} == {4}
+
+
+def test_excerpts_of_long_items(spark):
+    """A run of words counts though it is a small share of the item."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    texts = [(1, "x " + " ".join(words[40:53]) + " y"), (2, "x " + " ".join(words[40:52]) + " y"),
+             (3, " ".join(w for i in range(0, 100, 10) for w in (*words[i : i + 8], "z"))), (4, " ".join(words))]
+    documents, _ = frames(spark, texts)
+    items = spark.createDataFrame([(0, " ".join(words))], "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in decontaminate.contaminated(documents, items).collect()}
+    assert {i: (r["run"], r["matched"]) for i, r in rows.items()} == {1: (13, 6), 4: (100, 93)}
+    assert rows[1]["share"] < decontaminate.SHARE
