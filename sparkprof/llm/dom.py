@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 # Elements nested deeper are taken as part of their ancestor at this depth.
 DEPTH = 150
@@ -43,6 +45,8 @@ _NOT_ARTICLE = frozenset(
     "widget widgets pagination pager toolbar copyright".split()
 )
 _SITE_HEADER = frozenset(("header", "masthead", "topbar"))
+# Parts of names that tell how an element is, not what it is.
+_STATES = frozenset("has no not with without is open closed enabled disabled on off".split())
 _DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split()
 )
@@ -57,6 +61,8 @@ class Block:
     region: bool
     linked: float
     holders: tuple[int, ...]
+    # Dropped for a class or id only.
+    named: bool = False
 
 
 @dataclass
@@ -94,13 +100,19 @@ class _Builder:
         self.pieces: list[str] = []
         self.linked = 0
         self.number = 0
-        # tag, label, children, number, dropped, region, link
-        self.open: list[tuple] = [("", "", [], 0, False, False, False)]
+        # tag, label, children, number, dropped (1 by name, 2 otherwise), region, link
+        self.open: list[tuple] = [("", "", [], 0, 0, False, False)]
+        # The same of elements below DEPTH, which are no nodes, and how many of each tag are open.
+        self.deep: list[tuple] = []
+        self.deep_tags: Counter[str] = Counter()
+
+    def here(self) -> tuple:
+        return self.deep[-1] if self.deep else self.open[-1]
 
     def text(self, raw: str) -> None:
         text = html.unescape(raw)
         self.pieces.append(text)
-        if self.open[-1][6]:
+        if self.here()[6]:
             self.linked += len(text.strip())
 
     def start(self, tag: str, attributes: str) -> None:
@@ -114,33 +126,43 @@ class _Builder:
         for ended in _ENDS.get(tag, ()):
             if self.within(ended, tag):
                 self.end(ended)
-        if tag in _VOID or len(self.open) > DEPTH:
+        if tag in _VOID:
             return
         found = {
             m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(attributes)
         }
-        above = self.open[-1]
+        above = self.here()
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        parts = {n.lower() for n in _NAME.findall(names)} | set(names.lower().split())
-        region = above[5] or tag in _REGION or found.get("role") == "main" or found.get("itemprop") == "articleBody"
-        dropped = (
-            above[4] or tag in _DROPPED or bool(parts & _NOT_ARTICLE) and tag not in ("html", "body")
-            or found.get("role") in _DROPPED_ROLES or "hidden" in found
+        parts = set(names.lower().split())
+        for name in names.split():
+            pieces = {n.lower() for n in _NAME.findall(name)}
+            parts |= set() if pieces & _STATES else pieces
+        own = tag in _REGION or found.get("role") == "main" or found.get("itemprop") == "articleBody"
+        region = above[5] or own
+        hard = (
+            above[4] == 2 or tag in _DROPPED or found.get("role") in _DROPPED_ROLES or "hidden" in found
             or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-            or not above[5] and (tag == "header" or bool(parts & _SITE_HEADER) and tag not in ("html", "body"))
+            or not above[5] and tag == "header"
         )
+        named = bool(parts & _NOT_ARTICLE) or not above[5] and bool(parts & _SITE_HEADER)
+        named = above[4] == 1 or named and not own and tag not in ("html", "body")
+        dropped = 2 if hard else int(named)
         if dropped != above[4]:
             self.flush()
+        if len(self.open) > DEPTH:
+            self.deep.append((tag, "", [], 0, dropped, region, above[6] or tag == "a"))
+            self.deep_tags[tag] += 1
+            return
         self.number += 1
         label = ".".join([tag, *sorted(names.lower().split())])
         self.open.append((tag, label, [], self.number, dropped, region, above[6] or tag == "a"))
 
     def has(self, tag: str) -> bool:
-        return any(e[0] == tag for e in self.open)
+        return self.deep_tags[tag] > 0 or any(e[0] == tag for e in self.open)
 
     def within(self, tag: str, new: str) -> bool:
         """Whether the element is open in the innermost list or table."""
-        for element in reversed(self.open):
+        for element in chain(reversed(self.deep), reversed(self.open)):
             if element[0] == tag:
                 return True
             if element[0] in ("ul", "ol", "dl", "table", "menu", "select"):
@@ -150,8 +172,21 @@ class _Builder:
     def end(self, tag: str) -> None:
         if tag in _BLOCK:
             self.flush()
+        if self.deep_tags[tag]:
+            while True:
+                element = self.deep[-1]
+                if element[4] != (self.deep[-2] if len(self.deep) > 1 else self.open[-1])[4]:
+                    self.flush()
+                self.deep.pop()
+                self.deep_tags[element[0]] -= 1
+                if element[0] == tag:
+                    return
         if not self.has(tag):
             return
+        if self.deep:
+            self.flush()
+            self.deep.clear()
+            self.deep_tags.clear()
         while True:
             element = self.open[-1]
             if element[4] != self.open[-2][4]:
@@ -167,11 +202,11 @@ class _Builder:
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            here = self.open[-1]
+            here = self.here()
             self.page.blocks.append(Block(
-                text, here[4], here[5], min(1.0, self.linked / len(text)), tuple(e[3] for e in self.open)
+                text, here[4] > 0, here[5], min(1.0, self.linked / len(text)), tuple(e[3] for e in self.open), here[4] == 1
             ))
-            here[2].append(("#", ()))
+            self.open[-1][2].append(("#", ()))
         self.pieces, self.linked = [], 0
 
     def done(self) -> Page:

@@ -31,7 +31,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     pages count once.  A host with few pages has no template.
 
     Template is dropped, and so are menus, site headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments, as told by element, role, class or id.
+    adverts, forms, scripts, styles and comments, as told by element, role, class or id
+    (not by those of an article or main element; if nothing is left, not by class or id).
     What is left inside articles (or a main element) is the text; on a page without these
     it is what is left below the element that holds most text.  Character references are
     decoded, white space within a block (line breaks too) becomes one space, blocks are
@@ -127,6 +128,8 @@ def content(page: dom.Page, model: tuple, template) -> str:
             own for _, own in dom.aligned(model, page.shape) if _hash(page.blocks[own].text) in known
         }
     slots = [b for i, b in enumerate(page.blocks) if not b.dropped and i not in fixed]
+    # If nothing is left, what only a class or id tells to drop is the text.
+    slots = slots or [b for i, b in enumerate(page.blocks) if b.named and i not in fixed]
     inside = [b for b in slots if b.region]
     if inside:
         return "\n".join(b.text for b in inside)

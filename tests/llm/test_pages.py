@@ -87,3 +87,15 @@ def test_pages_of_the_table(spark, small):
         plain = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks)
         assert found[r["page_id"]] == "\n".join(b for b in plain if b)
     assert pages.main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<main class="content has-sidebar"><p>m</p><div class=sidebar>no</div></main>', "m"),
+    ('<div id=content class="no-sidebar"><p>long text</p></div><div class="widget-box">no</div>', "long text"),
+    ('<article class="post comments-open"><p>a</p></article><p>out</p>', "a"),
+    ('<body><div class="social">all there is</div><nav>menu</nav></body>', "all there is"),
+    ("<div><article>" + "<div>" * 200 + "deep" + "</div>" * 200 + "<p>after</p></article></div><p>out</p>", "deep\nafter"),
+    ("<article>" + "<div>" * 200 + "deep<nav>no</nav>" + "</div>" * 200 + "</article>", "deep"),
+])
+def test_names_and_depth_do_not_lose_the_article(source, want):
+    assert text(source) == want
