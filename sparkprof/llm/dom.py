@@ -63,6 +63,8 @@ class Block:
     holders: tuple[int, ...]
     # Dropped for a class or id only.
     named: bool = False
+    # The tags of the elements that hold it.
+    path: str = ""
 
 
 @dataclass
@@ -204,7 +206,8 @@ class _Builder:
         if text:
             here = self.here()
             self.page.blocks.append(Block(
-                text, here[4] > 0, here[5], min(1.0, self.linked / len(text)), tuple(e[3] for e in self.open), here[4] == 1
+                text, here[4] > 0, here[5], min(1.0, self.linked / len(text)), tuple(e[3] for e in self.open), here[4] == 1,
+                "/".join(e[0] for e in self.open),
             ))
             self.open[-1][2].append(("#", ()))
         self.pieces, self.linked = [], 0

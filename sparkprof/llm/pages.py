@@ -20,6 +20,8 @@ PAGES = 3
 SHARE = 0.5
 # Outside an article, a block with a larger share of its text in links is a menu.
 LINKED = 0.5
+# Instead of the number of a leaf: a text at its path; a page.
+PLACED, EVERY = -1, -2
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -27,7 +29,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
 
     The page of a host with the smallest hash of id and url lends its tree; every page of
     the host is aligned with it by simple tree matching.  A leaf that holds the same text
-    on most of the host's different pages is template, the others are slots.  Equal
+    on most of the host's different pages is template, the others are slots.  A text below the
+    same elements on most of all different pages is template too, also where the tree lacks it.  Equal
     pages count once.  A host with few pages has no template.
 
     Template is dropped, and so are menus, site headers, footers, sidebars, notices,
@@ -57,7 +60,12 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     leaves = texts.groupBy("host", "leaf").agg(
         F.max("n").alias("most"), F.sum("n").alias("n"), F.max_by("text", "n").alias("text")
     )
-    fixed = leaves.filter((F.col("most") >= PAGES) & (F.col("most") > SHARE * F.col("n")))
+    often = (F.col("most") >= PAGES) & (F.col("most") > SHARE * F.col("n"))
+    fixed = leaves.filter((F.col("leaf") >= 0) & often).select("host", "text")
+    # What is missing from the tree: texts at one path, held against all different pages.
+    total = leaves.filter(F.col("leaf") == EVERY).select("host", "n")
+    placed = texts.filter(F.col("leaf") == PLACED).select("host", "text", F.col("n").alias("most")).join(total, "host")
+    fixed = fixed.unionByName(placed.filter(often).select("host", "text"))
     fixed = fixed.groupBy("host").agg(F.collect_set("text").alias("fixed"))
     wrappers = write_once(models.join(fixed, "host", "left"), "wrappers")
 
@@ -93,6 +101,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _place(block: dom.Block) -> int:
+    return _hash(f"{block.path}\n{block.text}")
+
+
 def _aligned_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The text that each page has at the leaves of its host's tree, if it may be content."""
     for rows in batches:
@@ -100,6 +112,11 @@ def _aligned_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, html, shape in zip(rows["host"], rows["html"], rows["shape"]):
             page = dom.parse(html)
             digest = _hash("\n".join(b.text for b in page.blocks))
+            if page.blocks:
+                out[host, EVERY, 0, digest] = None
+            for block in page.blocks:
+                if not block.dropped:
+                    out[host, PLACED, _place(block), digest] = None
             for leaf, own in dom.aligned(_tree(shape), page.shape):
                 block = page.blocks[own]
                 if not block.dropped:
@@ -127,6 +144,7 @@ def content(page: dom.Page, model: tuple, template) -> str:
         fixed = {
             own for _, own in dom.aligned(model, page.shape) if _hash(page.blocks[own].text) in known
         }
+        fixed |= {i for i, b in enumerate(page.blocks) if _place(b) in known}
     slots = [b for i, b in enumerate(page.blocks) if not b.dropped and i not in fixed]
     # If nothing is left, what only a class or id tells to drop is the text.
     slots = slots or [b for i, b in enumerate(page.blocks) if b.named and i not in fixed]

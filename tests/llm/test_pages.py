@@ -99,3 +99,17 @@ def test_pages_of_the_table(spark, small):
 ])
 def test_names_and_depth_do_not_lose_the_article(source, want):
     assert text(source) == want
+
+
+def test_template_that_the_reference_page_lacks(spark):
+    """An empty page or one of another layout may lend its tree to the host."""
+    notice = "<div>Prices may change at any time</div>"
+    rows = [(i, f"https://h.example/{i}", f"<article>{notice}<p>story {i}</p></article>") for i in range(8)]
+    place = "xxhash64(page_id, url)"
+    other = spark.range(100, 400).selectExpr("id AS page_id", "concat('https://h.example/', id) AS url")
+    first = other.selectExpr("page_id", "url", f"{place} AS place").orderBy("place").first()
+    rows.append((first["page_id"], first["url"], None))  # of the smallest hash
+    df = spark.createDataFrame([(*r, "t", "h", 1) for r in rows], SCHEMA)
+    assert df.selectExpr(f"min_by(page_id, {place})").first()[0] == first["page_id"]
+    found = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert found == {**{i: f"story {i}" for i in range(8)}, first["page_id"]: ""}
