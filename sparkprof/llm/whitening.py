@@ -99,15 +99,28 @@ def whiten(vectors: DataFrame, components: int = 8, id: str = "vec_id", vector:
 
 @dataclass
 class Fit:
-    """Rows ``id, x`` of one length with their number and exact sums."""
+    """Rows ``id, x`` of one length, their numbers packed in blocks, how many there are and their exact sums."""
 
     rows: DataFrame
+    blocks: DataFrame
     size: int
     n: int
     sums: list[int]
 
     @classmethod
     def of(cls, rows: DataFrame, size: int) -> "Fit":
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _matrix(batch.column("x"), size) - SHIFT
+                for at in range(0, len(x), step := max(1, _CHUNK // size)):
+                    piece = x[at : at + step]
+                    wide = int(np.abs(piece).max()) >= 1 << 31
+                    data = piece.astype("<i8" if wide else "<i4").tobytes()
+                    yield pa.record_batch([pa.array([data], pa.binary()), pa.array([wide])], ["x", "wide"])
+
+        # Every pass reads these blocks as they are, without a conversion per number.
+        blocks = write_once(rows.select("x").mapInArrow(pack, "x binary, wide boolean"), "blocks")
+
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0, np.zeros(size, dtype=object)
             for x in _chunks(batches, size):
@@ -118,9 +131,9 @@ class Fit:
                 wide = pa.array([Decimal(v) for v in total], pa.decimal128(38, 0))
                 yield pa.record_batch([pa.array(range(size), pa.int32()), wide, pa.array([n] * size, pa.int64())], ["i", "s", "n"])
 
-        parts = rows.select("x").mapInArrow(add, "i int, s decimal(38,0), n long")
+        parts = blocks.mapInArrow(add, "i int, s decimal(38,0), n long")
         found = parts.groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").collect()
-        return cls(rows, size, found[0]["n"] if found else 0, [int(r["s"]) for r in found] or [0] * size)
+        return cls(rows, blocks, size, found[0]["n"] if found else 0, [int(r["s"]) for r in found] or [0] * size)
 
     def centred(self) -> Callable[[np.ndarray], np.ndarray]:
         """x - S / n with a single rounding: the whole part of the mean is taken off exactly."""
@@ -140,7 +153,7 @@ class Fit:
             if seen:
                 yield pa.record_batch([pa.array(range(shape[0]), pa.int32()), *map(pa.array, total.T.copy())], ["i", *names])
 
-        parts = self.rows.select("x").mapInArrow(add, ", ".join(["i int", *(f"{c} double" for c in names)]))
+        parts = self.blocks.mapInArrow(add, ", ".join(["i int", *(f"{c} double" for c in names)]))
         found = np.zeros(shape)
         for row in parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in names]).collect():
             found[row["i"]] = row[1:]
@@ -210,9 +223,9 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
     for batch in batches:
-        x = _matrix(batch.column("x"), size)
-        for at in range(0, len(x), step := max(1, _CHUNK // size)):
-            yield x[at : at + step]
+        for data, wide in zip(batch.column("x"), batch.column("wide").to_pylist()):
+            x = np.frombuffer(data.as_buffer(), dtype="<i8" if wide else "<i4")
+            yield x.astype(np.int64).reshape(-1, size) + SHIFT
 
 
 def eigenpairs(product: Product, size: int, wanted: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
