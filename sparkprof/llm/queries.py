@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprof.llm import backoff, chat, decontaminate, language, licenses, mixing, pages, quality, topk, whitening
+from sparkprof.llm import (
+    alignment, backoff, chat, decontaminate, language, licenses, mixing, pages, quality, topk, whitening,
+)
 from sparkprof.llm.simhash import near_duplicates
 
 # From this score on a document counts as good.
@@ -287,6 +289,11 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.main_text(_table(spark, folder, "pages"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Token alignment of all documents between the byte-level and the piece tokenizer."""
+    return alignment.link_counts(_table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors on their eight leading components, whitened."""
     return whitening.whiten(_table(spark, folder, "embeddings"))
@@ -303,5 +310,6 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, _OP9_SQL),
     "op10_pages": (op10_pages, None),
+    "op12_alignment": (op12_alignment, None),
     "op13_whitening": (op13_whitening, None),
 }
