@@ -7,7 +7,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Links between distinct ids that the documents of a block hold together, on average.
 BLOCK_LINKS = 1 << 20
-# Aligned words that a task remembers, and the longest of them.
-WORDS, WORD_LENGTH = 100_000, 48
-# Words handed to the tokenizers at once.
-_AT_ONCE = 4096
-_EMPTY = np.empty(0, dtype=np.int64)
+# Characters after which a long text is cut at the next gap, to be encoded in stretches.
+STRETCH = 1 << 15
 # A space between two visible characters.
 _GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
@@ -52,8 +49,9 @@ def align(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = TokenizerPair(*files)
         for batch in batches:
-            found = [pair.tokens(t) for t in batch.column("text").to_pylist()]
-            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(4)]
+            found = [pair.align(t.as_py()) for t in batch.column("text")]
+            parts = ([f.a for f in found], [f.b for f in found], [f.cuts_a for f in found], [f.cuts_b for f in found])
+            lists = [pa.array(p, pa.list_(pa.int32())) for p in parts]
             yield pa.record_batch([batch.column("id"), *lists], ["id", *names])
 
     schema = StructType([StructField("id", key)])
@@ -131,107 +129,130 @@ def _arrow_type(rows: DataFrame) -> pa.DataType:
     return to_arrow_type(rows.schema["id"].dataType)
 
 
-def cut_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def cut_groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side lie before each offset at which tokens of both end."""
-    at_a = {end: count for count, end in enumerate(ends_a, 1)}
-    at_b = {end: count for count, end in enumerate(ends_b, 1)}
+    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
+    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
     shared = sorted(at_a.keys() & at_b.keys())
-    return [at_a[end] for end in shared], [at_b[end] for end in shared]
+    pick = lambda at: np.fromiter(map(at.__getitem__, shared), np.int64, len(shared))
+    return pick(at_a), pick(at_b)
 
 
-def links_of(ends_a: list[int], ends_b: list[int], start: tuple[int, int], stop: tuple[int, int]) -> list[tuple[int, int]]:
-    """Places of overlapping tokens in a slice that begins and ends at the same offset for both."""
-    (i, j), out = start, []
-    while i < stop[0] and j < stop[1]:
-        out.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-    return out
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that overlap, all slices expanded at once.
+
+    A slice with one token on a side links it to all of the other side; in the others
+    every end of either side closes one overlap.
+    """
+    n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    places = []
+    for many, single, start, first in ((n_b, n_a == 1, cuts_b - n_b, cuts_a - n_a), (n_a, (n_b == 1) & (n_a > 1), cuts_a - n_a, cuts_b - n_b)):
+        n = many[single]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        places.append((np.repeat(first[single], n), np.repeat(start[single], n) + inner))
+    left = [places[0][0], places[1][1]]
+    right = [places[0][1], places[1][0]]
+    crossed = (n_a > 1) & (n_b > 1)
+    if crossed.any():
+        in_a, in_b = np.repeat(crossed, n_a), np.repeat(crossed, n_b)
+        ends = np.union1d(ends_a[in_a], ends_b[in_b])
+        left.append(np.searchsorted(ends_a, ends))
+        right.append(np.searchsorted(ends_b, ends))
+    return np.concatenate(left), np.concatenate(right)
 
 
 @dataclass
-class Word:
-    """An aligned stretch of text."""
+class Aligned:
+    """Token ids of both sides of a text and how many of them its groups up to each hold."""
 
-    a: list[int]
-    b: list[int]
-    cuts_a: list[int]
-    cuts_b: list[int]
-    groups: str
-    links: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    cuts_a: np.ndarray
+    cuts_b: np.ndarray
+    links: np.ndarray
 
 
-@dataclass
-class TokenizerPair:
-    """Both tokenizers of a task, and the words it has aligned."""
+_NONE = Aligned(*[np.empty(0, dtype=np.int64)] * 5)
 
-    byte_level: str
-    pieces: bytes
-    known: dict[str, Word | None] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
+class TokenizerPair:
+    """Both tokenizers of a task."""
+
+    def __init__(self, byte_level: str, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_str(self.byte_level)
+        self._a = Tokenizer.from_str(byte_level)
         self._a.encode_special_tokens = True
-        self._b = SentencePieceProcessor(model_proto=self.pieces)
-        self._bytes_a = _byte_level_tokens(self._a.get_vocab(with_added_tokens=False))
+        self._b = SentencePieceProcessor(model_proto=pieces)
+        vocabulary = _byte_level_tokens(self._a.get_vocab(with_added_tokens=False))
+        self._bytes_a = [vocabulary.get(i, b"") for i in range(self._a.get_vocab_size())]
         names = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._bytes_b = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)
         ]
+        self._sizes_a = np.array([len(t) for t in self._bytes_a])
+        self._sizes_b = np.array([len(t) for t in self._bytes_b])
+        # Names of ids with what follows them: another of the side, or the end of the side in the group.
+        self._names_a = np.array([f"{i}{mark}" for mark in ",|" for i in range(len(self._bytes_a))], dtype=object)
+        self._names_b = np.array([f"{i}{mark}" for mark in ",;" for i in range(len(self._bytes_b))], dtype=object)
         # At a gap both sides begin a token, whatever stands around it, if the first splits by its usual
         # pattern and no piece of the second goes on after a space within it.
-        spec = json.loads(self.byte_level)
+        spec = json.loads(byte_level)
         before = spec.get("pre_tokenizer") or {}
         self._separable = (
             spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in names)
         )
 
-    def words(self, text: str | None) -> list[Word]:
-        """The aligned words of a text; none if a side does not give its bytes back."""
+    def align(self, text: str | None) -> Aligned:
+        """The aligned text; nothing if it is empty or a side does not give its bytes back."""
         if not text:
-            return []
-        parts = _GAP.split(text) if self._separable else [text]
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        fresh = {}
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        for at in range(0, len(missing), _AT_ONCE):
-            these = missing[at : at + _AT_ONCE]
-            a = self._a.encode_batch([" " + w for w in these], add_special_tokens=False)
-            for word, left, right in zip(these, a, self._b.encode(these, num_threads=1)):
-                (known if len(word) <= WORD_LENGTH else fresh)[word] = self._aligned(word, left.ids, right)
-        found = [known[p] if p in known else fresh[p] for p in parts]
-        return [] if None in found else found
-
-    def _aligned(self, word: str, a: list[int], b: list[int]) -> Word | None:
-        bytes_a, bytes_b = [self._bytes_a[i] for i in a], [self._bytes_b[i] for i in b]
-        whole = b" " + word.encode()
-        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return None
-        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
-        cuts_a, cuts_b = cut_groups(ends_a, ends_b)
-        groups, links, start = [], [], (0, 0)
-        for stop in zip(cuts_a, cuts_b):
-            left, right = a[start[0] : stop[0]], b[start[1] : stop[1]]
-            groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            links += [a[i] << 32 | b[j] for i, j in links_of(ends_a, ends_b, start, stop)]
-            start = stop
-        return Word(a, b, cuts_a, cuts_b, ";".join(groups), links)
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        a, b, cuts_a, cuts_b = [], [], [], []
-        for word in self.words(text):
-            cuts_a += [len(a) + c for c in word.cuts_a]
-            cuts_b += [len(b) + c for c in word.cuts_b]
-            a += word.a
-            b += word.b
-        return a, b, cuts_a, cuts_b
+            return _NONE
+        pieces = list(self._pieces(text))
+        found = []
+        for left, right, piece in zip(
+            self._a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False),
+            self._b.encode(pieces, num_threads=1), pieces,
+        ):
+            left, whole = left.ids, b" " + piece.encode()
+            if b"".join(map(self._bytes_a.__getitem__, left)) != whole:
+                return _NONE
+            if b"".join(map(self._bytes_b.__getitem__, right)) != whole:
+                return _NONE
+            a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
+            cuts_a, cuts_b = cut_groups(ends_a.tolist(), ends_b.tolist())
+            i, j = links_of(ends_a, ends_b, cuts_a, cuts_b)
+            found.append(Aligned(a, b, cuts_a, cuts_b, a[i] << 32 | b[j]))
+        if len(found) == 1:
+            return found[0]
+        before_a, before_b = (np.cumsum([0] + [len(x) for x in side]) for side in ([f.a for f in found], [f.b for f in found]))
+        return Aligned(
+            np.concatenate([f.a for f in found]), np.concatenate([f.b for f in found]),
+            np.concatenate([f.cuts_a + n for f, n in zip(found, before_a)]),
+            np.concatenate([f.cuts_b + n for f, n in zip(found, before_b)]),
+            np.concatenate([f.links for f in found]),
+        )
+
+    def groups(self, found: Aligned) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+        n_a, n_b = np.diff(found.cuts_a, prepend=0), np.diff(found.cuts_b, prepend=0)
+        names = np.empty(len(found.a) + len(found.b), dtype=object)
+        last_a, last_b = np.zeros(len(found.a), dtype=np.int64), np.zeros(len(found.b), dtype=np.int64)
+        last_a[found.cuts_a - 1], last_b[found.cuts_b - 1] = len(self._bytes_a), len(self._bytes_b)
+        names[np.arange(len(found.a)) + np.repeat(found.cuts_b - n_b, n_a)] = self._names_a[found.a + last_a]
+        names[np.arange(len(found.b)) + np.repeat(found.cuts_a, n_b)] = self._names_b[found.b + last_b]
+        return "".join(names.tolist())[:-1]
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """Stretches of a text that both sides encode alike alone and in their place."""
+        start = 0
+        while self._separable and (gap := _GAP.search(text, start + STRETCH)):
+            yield text[start : gap.start()]
+            start = gap.end()
+        yield text[start:]
 
 
 def _byte_level_tokens(vocabulary: dict[str, int]) -> dict[int, bytes]:
@@ -250,14 +271,10 @@ def _packed(
     number, rows, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         for id, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-            words = pair.words(text.as_py())
-            sha = hashlib.sha256()
-            for k, word in enumerate(words):
-                sha.update((";" if k else "").encode() + word.groups.encode())
-            links = np.array([link for word in words for link in word.links], dtype=np.int64)
-            links, times = np.unique(links, return_counts=True)
-            counts = [sum(len(x) for x in found) for found in ([w.a for w in words], [w.b for w in words], [w.cuts_a for w in words])]
-            rows.append((id, *counts, int(times.sum()), sha.hexdigest() if words else "", links, times))
+            found = pair.align(text.as_py())
+            sha = hashlib.sha256(pair.groups(found).encode()).hexdigest() if len(found.a) else ""
+            links, times = np.unique(found.links, return_counts=True)
+            rows.append((id, len(found.a), len(found.b), len(found.cuts_a), len(found.links), sha, links, times))
             size += len(links) + 64
             if size >= limit:
                 yield _block(number, rows, key)

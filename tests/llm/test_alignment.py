@@ -3,7 +3,10 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -136,5 +139,30 @@ def test_groups_are_returned(spark, small):
 
 
 def test_groups_by_hand():
-    assert alignment.cut_groups([1, 4, 6], [2, 4, 5, 6]) == ([2, 3], [2, 4])
-    assert alignment.links_of([1, 4, 6], [2, 4, 5, 6], (0, 0), (2, 2)) == [(0, 0), (1, 0), (1, 1)]
+    ends = [np.array(e) for e in ([1, 4, 6], [2, 4, 5, 6])]
+    cuts = alignment.cut_groups(*(e.tolist() for e in ends))
+    assert [c.tolist() for c in cuts] == [[2, 3], [2, 4]]
+    assert sorted(zip(*(x.tolist() for x in alignment.links_of(*ends, *cuts)))) == [(0, 0), (1, 0), (1, 1), (2, 2), (2, 3)]
+
+
+@given(st.sets(st.integers(1, 30)), st.sets(st.integers(1, 30)))
+def test_links_are_the_overlaps(a, b):
+    sides = [sorted(x | {31}) for x in (a, b)]
+    cuts = alignment.cut_groups(*sides)
+    found = sorted(zip(*(x.tolist() for x in alignment.links_of(*map(np.array, sides), *cuts))))
+    starts = [[0, *x[:-1]] for x in sides]
+    assert found == [(i, j) for i in range(len(sides[0])) for j in range(len(sides[1]))
+                     if starts[0][i] < sides[1][j] and starts[1][j] < sides[0][i]]
+
+
+def test_stretches_change_nothing(spark, small, monkeypatch):
+    """A text cut at gaps is aligned as it is whole."""
+    pair = alignment.TokenizerPair(*alignment._files(alignment.FOLDER, alignment.BYTE_LEVEL, alignment.PIECES))
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(50).collect()] + ODD
+    whole = [pair.align(t) for t in texts]
+    for stretch in (0, 7, 100):
+        monkeypatch.setattr(alignment, "STRETCH", stretch)
+        for before, now in zip(whole, map(pair.align, texts)):
+            for name in ("a", "b", "cuts_a", "cuts_b"):
+                assert getattr(before, name).tolist() == getattr(now, name).tolist()
+            assert sorted(before.links.tolist()) == sorted(now.links.tolist())
