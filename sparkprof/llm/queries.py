@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprof.llm import (
-    alignment, backoff, chat, decontaminate, language, licenses, mixing, pages, quality, topk, whitening,
+    alignment, backoff, chat, decisions, decontaminate, language, licenses, mixing, pages, quality, topk, whitening,
 )
 from sparkprof.llm.simhash import near_duplicates
 
@@ -289,6 +289,11 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.main_text(_table(spark, folder, "pages"))
 
 
+def op11_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents the base limits and the learned rules keep."""
+    return decisions.apply(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Token alignment of all documents between the byte-level and the piece tokenizer."""
     return alignment.link_counts(_table(spark, folder, "documents"))
@@ -310,6 +315,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, _OP9_SQL),
     "op10_pages": (op10_pages, None),
+    "op11_rules": (op11_rules, None),
     "op12_alignment": (op12_alignment, None),
     "op13_whitening": (op13_whitening, None),
 }
