@@ -6,8 +6,9 @@ import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,16 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 # Links between distinct ids that the documents of a block hold together, on average.
 BLOCK_LINKS = 1 << 20
-# Characters after which a long text is cut at the next gap, to be encoded in stretches.
-STRETCH = 1 << 15
+# Words and their characters that a task remembers between batches.
+WORDS, CHARACTERS = 250_000, 1 << 23
+# Characters of new words that are encoded together.
+STRETCH = 1 << 14
 # A space between two visible characters.
 _GAP = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_VISIBLE = re.compile(r"[!-~\w]")
+_NONE = np.empty(0, dtype=np.int64)
+_COUNTED = ("a", "b", "group", "link")
+_ITEMS = ("a", "b", "cuts_a", "cuts_b", "link")
 
 
 def align(
@@ -49,9 +56,8 @@ def align(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = TokenizerPair(*files)
         for batch in batches:
-            found = [pair.align(t.as_py()) for t in batch.column("text")]
-            parts = ([f.a for f in found], [f.b for f in found], [f.cuts_a for f in found], [f.cuts_b for f in found])
-            lists = [pa.array(p, pa.list_(pa.int32())) for p in parts]
+            found = [pair.lists(r) for r in pair.rows(batch.column("text").to_pylist())]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(4)]
             yield pa.record_batch([batch.column("id"), *lists], ["id", *names])
 
     schema = StructType([StructField("id", key)])
@@ -161,22 +167,19 @@ def links_of(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts_b:
     return np.concatenate(left), np.concatenate(right)
 
 
-@dataclass
-class Aligned:
-    """Token ids of both sides of a text and how many of them its groups up to each hold."""
-
-    a: np.ndarray
-    b: np.ndarray
-    cuts_a: np.ndarray
-    cuts_b: np.ndarray
-    links: np.ndarray
-
-
-_NONE = Aligned(*[np.empty(0, dtype=np.int64)] * 5)
+def _runs(offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the items of the given rows, one run after another."""
+    n = offsets[rows + 1] - offsets[rows]
+    return np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class TokenizerPair:
-    """Both tokenizers of a task."""
+    """Both tokenizers of a task, and the words it has aligned so far.
+
+    Texts are cut into words at gaps, where both tokenizers begin a token whatever stands
+    around; a word is aligned once and found again by its number.  Words beyond ``WORDS`` or
+    ``CHARACTERS`` in all are forgotten between batches.
+    """
 
     def __init__(self, byte_level: str, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -197,62 +200,139 @@ class TokenizerPair:
         # Names of ids with what follows them: another of the side, or the end of the side in the group.
         self._names_a = np.array([f"{i}{mark}" for mark in ",|" for i in range(len(self._bytes_a))], dtype=object)
         self._names_b = np.array([f"{i}{mark}" for mark in ",;" for i in range(len(self._bytes_b))], dtype=object)
-        # At a gap both sides begin a token, whatever stands around it, if the first splits by its usual
-        # pattern and no piece of the second goes on after a space within it.
+        # Gaps part words if the first tokenizer splits by its usual pattern and no piece of the second
+        # goes on after a space within it; else a text is one word.
         spec = json.loads(byte_level)
         before = spec.get("pre_tokenizer") or {}
         self._separable = (
             spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in names)
         )
-
-    def align(self, text: str | None) -> Aligned:
-        """The aligned text; nothing if it is empty or a side does not give its bytes back."""
-        if not text:
-            return _NONE
-        pieces = list(self._pieces(text))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: defaultdict[str, int] = defaultdict()
+        # A new word gets the next number.
+        self._known.default_factory = self._known.__len__
+        self._characters = 0
+        self._names = np.empty(0, dtype=object)
+        self._good = np.empty(0, dtype=bool)
+        self._items = {k: np.empty(0, dtype=np.int64) for k in _ITEMS}
+        self._ends = {k: np.zeros(1, dtype=np.int64) for k in _COUNTED}
+
+    def rows(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The numbers of the words of each text; None without tokens: empty, or its bytes do not come back."""
+        if len(self._known) > WORDS or self._characters > CHARACTERS:
+            self._forget()
+        learned, number = len(self._known), self._known.__getitem__
         found = []
-        for left, right, piece in zip(
-            self._a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False),
-            self._b.encode(pieces, num_threads=1), pieces,
-        ):
-            left, whole = left.ids, b" " + piece.encode()
-            if b"".join(map(self._bytes_a.__getitem__, left)) != whole:
-                return _NONE
-            if b"".join(map(self._bytes_b.__getitem__, right)) != whole:
-                return _NONE
-            a, b = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-            ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
-            cuts_a, cuts_b = cut_groups(ends_a.tolist(), ends_b.tolist())
-            i, j = links_of(ends_a, ends_b, cuts_a, cuts_b)
-            found.append(Aligned(a, b, cuts_a, cuts_b, a[i] << 32 | b[j]))
-        if len(found) == 1:
-            return found[0]
-        before_a, before_b = (np.cumsum([0] + [len(x) for x in side]) for side in ([f.a for f in found], [f.b for f in found]))
-        return Aligned(
-            np.concatenate([f.a for f in found]), np.concatenate([f.b for f in found]),
-            np.concatenate([f.cuts_a + n for f, n in zip(found, before_a)]),
-            np.concatenate([f.cuts_b + n for f, n in zip(found, before_b)]),
-            np.concatenate([f.links for f in found]),
-        )
+        for text in texts:
+            parts = (_GAP.split(text) if self._separable else [text]) if text else []
+            found.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        self._learn(list(islice(self._known, learned, None)))
+        return [row if len(row) and self._good[row].all() else None for row in found]
+
+    def count(self, rows: np.ndarray, kind: str) -> int:
+        """How many ``a`` or ``b`` tokens, groups or links the words hold."""
+        ends = self._ends[kind]
+        return int((ends[rows + 1] - ends[rows]).sum())
+
+    def links(self, rows: np.ndarray) -> np.ndarray:
+        return self._items["link"][_runs(self._ends["link"], rows)]
 
-    def groups(self, found: Aligned) -> str:
+    def groups(self, rows: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        n_a, n_b = np.diff(found.cuts_a, prepend=0), np.diff(found.cuts_b, prepend=0)
-        names = np.empty(len(found.a) + len(found.b), dtype=object)
-        last_a, last_b = np.zeros(len(found.a), dtype=np.int64), np.zeros(len(found.b), dtype=np.int64)
-        last_a[found.cuts_a - 1], last_b[found.cuts_b - 1] = len(self._bytes_a), len(self._bytes_b)
-        names[np.arange(len(found.a)) + np.repeat(found.cuts_b - n_b, n_a)] = self._names_a[found.a + last_a]
-        names[np.arange(len(found.b)) + np.repeat(found.cuts_a, n_b)] = self._names_b[found.b + last_b]
-        return "".join(names.tolist())[:-1]
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        """Stretches of a text that both sides encode alike alone and in their place."""
-        start = 0
-        while self._separable and (gap := _GAP.search(text, start + STRETCH)):
-            yield text[start : gap.start()]
-            start = gap.end()
-        yield text[start:]
+        return ";".join(self._names[rows].tolist())
+
+    def lists(self, rows: np.ndarray | None) -> list[np.ndarray]:
+        """Ids of both sides, and how many of them the groups up to each hold."""
+        if rows is None:
+            return [np.empty(0, dtype=np.int64)] * 4
+        groups = self._ends["group"][rows + 1] - self._ends["group"][rows]
+        out = [self._items[k][_runs(self._ends[k], rows)] for k in ("a", "b")]
+        for side, cuts in (("a", "cuts_a"), ("b", "cuts_b")):
+            n = self._ends[side][rows + 1] - self._ends[side][rows]
+            out.append(self._items[cuts][_runs(self._ends["group"], rows)] + np.repeat(np.cumsum(n) - n, groups))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        self._characters += sum(map(len, words))
+        found = [part for stretch in _stretches(words) for part in self._aligned(stretch)]
+        for k in _ITEMS:
+            self._items[k] = np.concatenate([self._items[k], *[f[k] for f in found]])
+        for k in _COUNTED:
+            counts = np.concatenate([f["n_" + k] for f in found])
+            self._ends[k] = np.concatenate([self._ends[k], self._ends[k][-1] + np.cumsum(counts)])
+        names = np.empty(len(words), dtype=object)
+        names[:] = [name for f in found for name in f["names"]]
+        self._names = np.concatenate([self._names, names])
+        self._good = np.concatenate([self._good, *[f["good"] for f in found]])
+
+    def _aligned(self, words: list[str]) -> Iterator[dict]:
+        """The words of a stretch, side by side in one text; alone where its bytes do not come back."""
+        text = " ".join(words)
+        a = self._a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b, whole = self._b.encode(text), b" " + text.encode()
+        if any(b"".join(map(side.__getitem__, ids)) != whole for side, ids in ((self._bytes_a, a), (self._bytes_b, b))):
+            if len(words) == 1:
+                yield {k: np.empty(0, dtype=np.int64) for k in _ITEMS} | {"n_" + k: np.zeros(1, dtype=np.int64) for k in _COUNTED} | {
+                    "names": [""], "good": np.array([False])}
+                return
+            for part in (words[: len(words) // 2], words[len(words) // 2 :]):
+                yield from self._aligned(part)
+            return
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
+        cuts_a, cuts_b = cut_groups(ends_a.tolist(), ends_b.tolist())
+        # Every word ends where tokens of both end.
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        of_group = np.searchsorted(stops, ends_a[cuts_a - 1])
+        last = np.searchsorted(of_group, np.arange(len(words)), side="right") - 1
+        stop_a, stop_b = cuts_a[last], cuts_b[last]
+        i, j = links_of(ends_a, ends_b, cuts_a, cuts_b)
+        word = np.searchsorted(stop_a, i, side="right")
+        order = np.argsort(word, kind="stable")
+        n_a, n_b, n_groups = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0), np.diff(last, prepend=-1)
+        named = self._named(a, b, cuts_a, cuts_b).tolist()
+        both = (stop_a + stop_b).tolist()
+        yield {
+            "a": a, "b": b, "link": (a[i] << 32 | b[j])[order],
+            "cuts_a": cuts_a - np.repeat(stop_a - n_a, n_groups), "cuts_b": cuts_b - np.repeat(stop_b - n_b, n_groups),
+            "n_a": n_a, "n_b": n_b, "n_group": n_groups, "n_link": np.bincount(word, minlength=len(words)),
+            "names": ["".join(named[x:y])[:-1] for x, y in zip([0, *both], both)], "good": np.ones(len(words), dtype=bool),
+        }
+
+    def _named(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> np.ndarray:
+        """The ids in the order of the groups' names, with the marks between them."""
+        n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        names = np.empty(len(a) + len(b), dtype=object)
+        last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        last_a[cuts_a - 1], last_b[cuts_b - 1] = len(self._bytes_a), len(self._bytes_b)
+        names[np.arange(len(a)) + np.repeat(cuts_b - n_b, n_a)] = self._names_a[a + last_a]
+        names[np.arange(len(b)) + np.repeat(cuts_a, n_b)] = self._names_b[b + last_b]
+        return names
+
+
+def _stretches(words: list[str]) -> Iterator[list[str]]:
+    """Words that may stand side by side with gaps between them, some STRETCH characters at a time."""
+    held, size = [], 0
+    for word in words:
+        if not _VISIBLE.match(word[0]) or not _VISIBLE.match(word[-1]):
+            # Beside such an end there is no gap.
+            if held:
+                yield held
+            yield [word]
+            held, size = [], 0
+            continue
+        held.append(word)
+        size += len(word)
+        if size >= STRETCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _byte_level_tokens(vocabulary: dict[str, int]) -> dict[int, bytes]:
@@ -270,11 +350,10 @@ def _packed(
     pair = TokenizerPair(*files)
     number, rows, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        for id, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-            found = pair.align(text.as_py())
-            sha = hashlib.sha256(pair.groups(found).encode()).hexdigest() if len(found.a) else ""
-            links, times = np.unique(found.links, return_counts=True)
-            rows.append((id, len(found.a), len(found.b), len(found.cuts_a), len(found.links), sha, links, times))
+        for id, found in zip(batch.column("id").to_pylist(), pair.rows(batch.column("text").to_pylist())):
+            found, sha = (_NONE, "") if found is None else (found, hashlib.sha256(pair.groups(found).encode()).hexdigest())
+            links, times = np.unique(pair.links(found), return_counts=True)
+            rows.append((id, *(pair.count(found, k) for k in _COUNTED), sha, links, times))
             size += len(links) + 64
             if size >= limit:
                 yield _block(number, rows, key)

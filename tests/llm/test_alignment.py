@@ -155,14 +155,25 @@ def test_links_are_the_overlaps(a, b):
                      if starts[0][i] < sides[1][j] and starts[1][j] < sides[0][i]]
 
 
-def test_stretches_change_nothing(spark, small, monkeypatch):
-    """A text cut at gaps is aligned as it is whole."""
-    pair = alignment.TokenizerPair(*alignment._files(alignment.FOLDER, alignment.BYTE_LEVEL, alignment.PIECES))
+def test_words_change_nothing(spark, small, monkeypatch):
+    """A text is aligned alike whole, in words, and beside whatever words; also when words are forgotten."""
     texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(50).collect()] + ODD
-    whole = [pair.align(t) for t in texts]
-    for stretch in (0, 7, 100):
-        monkeypatch.setattr(alignment, "STRETCH", stretch)
-        for before, now in zip(whole, map(pair.align, texts)):
-            for name in ("a", "b", "cuts_a", "cuts_b"):
-                assert getattr(before, name).tolist() == getattr(now, name).tolist()
-            assert sorted(before.links.tolist()) == sorted(now.links.tolist())
+    files = alignment._files(alignment.FOLDER, alignment.BYTE_LEVEL, alignment.PIECES)
+
+    def found(pair, size):
+        out = []
+        for at in range(0, len(texts), size):
+            for rows in pair.rows(texts[at : at + size]):
+                links = [] if rows is None else sorted(pair.links(rows).tolist())
+                out.append(([x.tolist() for x in pair.lists(rows)], links, rows is not None and pair.groups(rows)))
+        return out
+
+    whole = alignment.TokenizerPair(*files)
+    whole._separable = False
+    expected = found(whole, 1)
+    pair = alignment.TokenizerPair(*files)
+    assert found(pair, 7) == expected and found(pair, 3) == expected
+    monkeypatch.setattr(alignment, "WORDS", 5)
+    assert found(pair, 2) == expected
+    monkeypatch.setattr(alignment, "STRETCH", 1)
+    assert found(alignment.TokenizerPair(*files), 9) == expected
