@@ -56,7 +56,8 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
 
     found = rows.join(models, "host").select("host", "html", "shape")
     found = found.mapInPandas(_aligned_leaves, "host string, leaf int, text long, page long")
-    texts = found.distinct().groupBy("host", "leaf", "text").agg(F.count(F.lit(1)).alias("n"))
+    # Read three times below; the pages are parsed and aligned for it once.
+    texts = write_once(found.distinct().groupBy("host", "leaf", "text").agg(F.count(F.lit(1)).alias("n")), "texts")
     leaves = texts.groupBy("host", "leaf").agg(
         F.max("n").alias("most"), F.sum("n").alias("n"), F.max_by("text", "n").alias("text")
     )
