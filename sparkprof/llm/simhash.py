@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol
 from sparkprof.llm import shingles
+from sparkprof.llm.batches import bounded
 from sparkprof.llm.graph import components
 from sparkprof.scratch import write_once
 
@@ -20,6 +21,8 @@ UNIT_ROWS = 1024
 # Candidate pairs of the units that are traversed together.
 PAIRS_AT_ONCE = 1_000_000
 _SHINGLES_AT_ONCE = 65_536
+# Bytes of texts that a task hands to Python at once.
+_BATCH = 1 << 21
 
 
 def near_duplicates(
@@ -304,7 +307,8 @@ def deduplicated(
     only if no other document of its group has one.
     """
     marks = shingles.marks(F.col(text), words, hashes_fingerprint)
-    rows = write_once(documents.select(F.col(id).alias("id"), marks.alias("m")).select("id", "m.*"), "marks")
+    with bounded(documents.sparkSession, _BATCH):
+        rows = write_once(documents.select(F.col(id).alias("id"), marks.alias("m")).select("id", "m.*"), "marks")
     classes = rows.groupBy("set").agg(
         F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min("id").alias("least")
     )
@@ -313,7 +317,8 @@ def deduplicated(
     pairs = shingles.alike(
         documents, classes.filter("n > 0"), near, words, similarity, distance, id, text
     )
-    roots = components(pairs).withColumnRenamed("node", "set")
+    with bounded(documents.sparkSession, _BATCH):
+        roots = components(pairs).withColumnRenamed("node", "set")
     rooted = classes.join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     found = rows.join(named.select("set", "component_id"), "set")
