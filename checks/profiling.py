@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import table, union_sql
-from sparkprof.operators import describe, histogram, paging, profile, quantiles
+from sparkprof.operators import describe, frequent, histogram, paging, profile, quantiles
 from sparkprof.operators.features import completeness
+from sparkprof.plans import profiles
+from sparkprof.scratch import new_path
 
 _NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax"]
@@ -138,6 +140,105 @@ SELECT "column", sum(n)::BIGINT AS "count", count(*)::BIGINT AS "unique",
 FROM ranked GROUP BY "column\""""
 
 
+def modes_by_summary(spark, folder):
+    """The most frequent values, by summaries and counts of the candidates alone."""
+    found = frequent.modes(_document_strings(spark, folder))
+    return found.select("column", "count", "top", "freq")
+
+
+_modes_by_summary = f'SELECT "column", "count", top, freq FROM ({_categorical_stats})'
+
+
+def modes_of_ties(spark, folder):
+    """Columns that the summary cannot decide: every value once, long ties, NULL; and no rows."""
+    orders = table(spark, folder, "orders").select(
+        F.expr("concat('order ', o_orderkey)").alias("unique"),
+        F.expr("nullif(o_orderpriority, '1-URGENT')").alias("holed"),
+        F.expr("concat(repeat('y', 70), o_orderkey % 7000)").alias("long"),
+    )
+    none = orders.limit(0).select(F.col("long").alias("none"))
+    found = frequent.modes(orders).unionAll(frequent.modes(none))
+    return found.select("column", "count", "top", "freq")
+
+
+_modes_of_ties = f"""WITH groups AS ({union_sql(
+    f'''SELECT '{name}' AS "column", {expression} AS value, count(*) AS n FROM orders GROUP BY ALL'''
+    for name, expression in (
+        ("unique", "'order ' || o_orderkey"), ("holed", "nullif(o_orderpriority, '1-URGENT')"),
+        ("long", "repeat('y', 70) || (o_orderkey % 7000)"),
+    )
+)}), ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS LAST) AS place
+FROM groups)
+SELECT "column", sum(n)::BIGINT AS "count", max(CASE WHEN place = 1 THEN value END) AS top,
+  max(n)::BIGINT AS freq FROM ranked GROUP BY "column"
+UNION ALL SELECT 'none', 0, NULL, 0"""
+
+
+_DISTINCT = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+
+
+def distinct_sketched(spark, folder):
+    """Exact distinct counts beside sketched ones, and whether these keep their bound."""
+    lines = table(spark, folder, "lineitem").select(*_DISTINCT, F.expr("nullif(l_discount, 0.0D)").alias("holed"))
+    columns = [*_DISTINCT, "holed"]
+    exact = lines.agg(*[F.countDistinct(c).alias(c) for c in columns], *[
+        (F.count(F.lit(1)) > F.count(c)).cast("bigint").alias(f"_{c}") for c in columns
+    ])
+    exact = exact.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), (F.col(c) + F.col(f"_{c}")).alias("exact")) for c in columns
+    ])))
+    found = frequent.distinct_counts(lines, error=0.005).join(exact, "column")
+    return found.select("column", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
+_distinct_sketched = union_sql(
+    f"""SELECT '{name}' AS "column", (count(DISTINCT {c}) + (count(*) > count({c}))::BIGINT)::BIGINT AS exact,
+  true AS within FROM lineitem"""
+    for name, c in (*((c, c) for c in _DISTINCT), ("holed", "nullif(l_discount, 0.0)"))
+)
+
+
+def _holed_lines(spark, folder):
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_extendedprice", "l_returnflag", "l_shipdate", F.expr("nullif(l_discount, 0.0D)").alias("holed"),
+        F.expr("CASE WHEN l_linenumber = 1 THEN double('NaN') WHEN l_linenumber = 2 THEN NULL "
+               "ELSE l_tax END").alias("nanny"),
+    )
+
+
+def profile_of_files(spark, folder):
+    """A table that grows file by file, profiled from the states of its files."""
+    rows, path, kept = _holed_lines(spark, folder), new_path(spark, "grown"), new_path(spark, "states")
+    for part in range(3):
+        rows.filter(F.pmod("l_orderkey", F.lit(3)) == part).write.mode("append").parquet(path)
+        grown = spark.read.parquet(path)
+        scanned = profiles.refresh(grown, kept)
+        assert 0 < len(scanned) and (part == 0 or len(scanned) < len(grown.inputFiles()))
+    found = profiles.table_profile(grown, kept)
+    exact = [F.col(c) for c in ("column", "row_count", "null_count", "nan_count", "non_null_count", "count",
+                                "min", "max", "mean", "std")]
+    return found.select(*exact, F.when(F.col("column") == "l_returnflag", F.col("top")).alias("top"))
+
+
+_profile_of_files = union_sql(
+    f"""SELECT '{name}' AS "column", count(*)::BIGINT AS row_count, (count(*) - count({valid}))::BIGINT AS null_count,
+  {nans}::BIGINT AS nan_count, (count(*) - ({missing}))::BIGINT AS non_null_count,
+  {f"count({valid})::BIGINT" if number else "0::BIGINT"} AS "count",
+  {f"min({valid})::DOUBLE" if number else "NULL::DOUBLE"} AS min, {f"max({valid})::DOUBLE" if number else "NULL::DOUBLE"} AS max,
+  {f"printf('%.4f', avg({valid}))::DOUBLE" if number else "NULL::DOUBLE"} AS mean,
+  {f"printf('%.4f', stddev_samp({valid}))::DOUBLE" if number else "NULL::DOUBLE"} AS std,
+  {"(SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)" if name == "l_returnflag" else "NULL"} AS top
+FROM lineitem"""
+    for name, valid, nans, missing, number in (
+        ("l_orderkey", "l_orderkey", "0", "0", True), ("l_extendedprice", "l_extendedprice", "0", "0", True),
+        ("l_returnflag", "l_returnflag", "0", "0", False), ("l_shipdate", "l_shipdate", "0", "0", False),
+        ("holed", "nullif(l_discount, 0.0)", "0", "count(*) - count(nullif(l_discount, 0.0))", True),
+        ("nanny", "(CASE WHEN l_linenumber > 2 THEN l_tax END)", "count(*) FILTER (l_linenumber = 1)",
+         "count(*) FILTER (l_linenumber = 2)", True),
+    )
+)
+
+
 _LONG_TIES = "repeat('x', 64) || l_linenumber"
 
 
@@ -377,6 +478,10 @@ QUERIES = {
     "categorical_stats_ties": (categorical_stats_ties, _categorical_stats_ties),
     "categorical_stats_short": (categorical_stats_short, _categorical_stats_short),
     "value_counts": (value_counts, _value_counts),
+    "modes_by_summary": (modes_by_summary, _modes_by_summary),
+    "modes_of_ties": (modes_of_ties, _modes_of_ties),
+    "distinct_sketched": (distinct_sketched, _distinct_sketched),
+    "profile_of_files": (profile_of_files, _profile_of_files),
     "profile_nulls": (profile_nulls, _profile_nulls),
     "profile_rowcount": (profile_rowcount, _profile_rowcount),
     "column_types": (column_types, _column_types),

@@ -52,6 +52,22 @@ _registry_register = union_sql(
     )
 )
 
+def registry_appended(spark, folder):
+    """A table that is registered with a third of its rows; the rest is appended in two parts."""
+    rows = table(spark, folder, "orders")
+    part = lambda k: rows.filter(F.pmod("o_orderkey", F.lit(3)) == k)
+    entries = new_path(spark, "registry")
+    R.register_dataset(part(0), "orders.parquet", new_path(spark, "datasets"), entries, "orders-1")
+    current = lambda: R.current(R.open_registry(spark, entries, R.DATASET_SCHEMA))
+    for k in (1, 2):
+        R.append_to_dataset(part(k), current(), "orders-1", entries)
+    described = current().select("id", "filename", "row_count", "column_count", F.inline("columns"))
+    stored = R.read_dataset(current(), "orders-1")
+    return described.withColumn("stored_rows", stored.agg(F.count(F.lit(1))).scalar())
+
+
+_registry_appended = _registry_register
+
 
 def registry_current(spark, folder):
     """The latest state of every run after puts, deletes and a clear."""
@@ -388,6 +404,7 @@ _dataset_profile_list = union_sql(
 
 QUERIES = {
     "registry_register": (registry_register, _registry_register),
+    "registry_appended": (registry_appended, _registry_appended),
     "registry_current": (registry_current, _registry_current),
     "registry_deleted": (registry_deleted, _registry_deleted),
     "registry_updated": (registry_updated, _registry_updated),

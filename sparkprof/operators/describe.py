@@ -117,7 +117,7 @@ def _finite(value: str) -> str:
     return f"if(abs({value}) < double('inf'), {value}, NULL)"
 
 
-def _long_form(df: DataFrame, columns: list[str] | None) -> DataFrame:
+def long_form(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """(column, value) for every string column of every row, NULL included."""
     columns = string_columns(df) if columns is None else columns
     require_columns(df, columns)
@@ -136,7 +136,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Rows are combined before the shuffle, so a value that fills the table
     arrives as one row per task.
     """
-    return _long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     second scan reads the long texts that may win and takes the smallest.
     """
     columns = string_columns(df) if columns is None else columns
-    rows = _long_form(df, columns)
+    rows = long_form(df, columns)
     beginning = F.substring("value", 1, SHORT_TEXT).alias("beginning")
     digest = F.when(F.length("value") > SHORT_TEXT, F.sha2("value", 256)).alias("digest")
     keyed = rows.select("column", "value", beginning, digest)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprof.operators.profile import profile
+from sparkprof.plans.profiles import refresh, table_profile
 
 RUN_SCHEMA = (
     "id string, name string, model_type string, algorithm string, features array<string>, "
@@ -29,6 +30,8 @@ DATASET_SCHEMA = (
 )
 PUT, DELETE, CLEAR = "put", "delete", "clear"
 CHANGE = ("op", "updated_at")
+# A folder in a dataset's own; readers pass over names that begin so.
+STATES = "_states"
 
 
 def changes(rows: DataFrame, op: str = PUT, at=None) -> DataFrame:
@@ -160,40 +163,80 @@ def dataset_columns(datasets: DataFrame) -> DataFrame:
 
 def dataset_entry(df: DataFrame, identifier: str, filename: str, path: str | None) -> DataFrame:
     """The registry row of a table, with its profile: one row, one scan."""
+    return _entry(profile(df), identifier, filename, path)
+
+
+def _entry(described: DataFrame, identifier: str, filename: str, path: str | None, created=None) -> DataFrame:
+    """The registry row that holds a profile of one row per column."""
     entry = F.struct(
         F.col("column").alias("name"), "type", "spark_type", "nullable", "null_count",
         "non_null_count",
     )
     placed = F.struct("position", entry.alias("entry"))
-    described = profile(df).agg(
+    whole = described.agg(
         F.max("row_count").alias("row_count"),
-        F.max("column_count").alias("column_count"),
+        F.count(F.lit(1)).cast("int").alias("column_count"),
         # One element per column of the table.
         F.transform(F.sort_array(F.collect_list(placed)), lambda c: c["entry"]).alias("columns"),
     )
-    return described.select(
+    return whole.select(
         F.lit(identifier).alias("id"),
         F.lit(filename).alias("filename"),
         F.lit(path).cast("string").alias("path"),
-        F.lit(now()).cast("timestamp_ntz").alias("created_at"),
+        F.lit(created or now()).cast("timestamp_ntz").alias("created_at"),
         "row_count",
         "column_count",
         "columns",
     )
 
 
+def _stored_entry(spark: SparkSession, schema, path: str, *entry) -> DataFrame:
+    """The registry row of stored files, from the states that are kept of each beside them."""
+    stored = spark.read.schema(schema).parquet(path)
+    states = f"{path}/{STATES}"
+    refresh(stored, states)
+    described = table_profile(stored, states)
+    # Files without rows have no state.
+    return _entry(profile(stored) if described.isEmpty() else described, *entry)
+
+
 def register_dataset(
     df: DataFrame, filename: str, folder: str, registry_path: str, identifier: str | None = None
 ) -> str:
-    """Stores the rows as Parquet, profiles what was stored and registers it."""
+    """Stores the rows as Parquet, profiles what was stored and registers it.
+
+    The mergeable profile of each file is kept beside the rows (``dataset_profile``).
+    """
     identifier = identifier or str(uuid.uuid4())
     path = f"{folder.rstrip('/')}/{identifier}"
     df.write.parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
-    append(changes(dataset_entry(stored, identifier, filename, path)), registry_path)
+    entry = _stored_entry(df.sparkSession, df.schema, path, identifier, filename, path)
+    append(changes(entry), registry_path)
     return identifier
 
 
+def append_to_dataset(df: DataFrame, current_rows: DataFrame, identifier: str, registry_path: str) -> None:
+    """Adds rows to a registered table and puts its new profile; only the added files are scanned.
+
+    The rows must have the columns and types of the table.
+    """
+    known = get(current_rows, identifier).select("path", "filename", "created_at", "columns").first()
+    kept = [(c["name"], c["spark_type"]) for c in known["columns"]]
+    given = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    if kept != given:
+        raise ValueError(f"columns {given} do not fit {kept}")
+    path = known["path"]
+    df.write.mode("append").parquet(path)
+    entry = _stored_entry(df.sparkSession, df.schema, path, identifier, known["filename"], path, known["created_at"])
+    append(changes(entry), registry_path)
+
+
+def dataset_profile(current_rows: DataFrame, identifier: str) -> DataFrame:
+    """The full profile of a registered table from the states of its files."""
+    path = get(current_rows, identifier).first()["path"]
+    return table_profile(current_rows.sparkSession.read.parquet(path), f"{path}/{STATES}")
+
+
 def read_dataset(current_rows: DataFrame, identifier: str) -> DataFrame:
     """The stored rows of a registered table."""
     path = get(current_rows, identifier).first()["path"]
