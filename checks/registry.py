@@ -85,6 +85,18 @@ SELECT id, name, test_size::BIGINT AS test_size,
 FROM ranked WHERE place = 1 AND op = 'put'"""
 
 
+def registry_snapshot(spark, folder):
+    """The same from a stored log of which a snapshot holds the first half."""
+    log, path = registry(spark, folder), new_path(spark, "log")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema if f.name not in R.CHANGE)
+    early = F.pmod(F.xxhash64("id", "updated_at"), F.lit(2)) == 0
+    R.append(log.filter(early), path)
+    R.take_snapshot(spark, path, schema)
+    R.append(log.filter(~early), path)
+    current = R.current(R.open_registry(spark, path, schema))
+    return current.select("id", "name", "test_size", F.col("updated_at").cast("string"))
+
+
 def registry_deleted(spark, folder):
     """The runs of one algorithm are deleted by their ids."""
     rows = R.changes(runs(spark, folder), at=datetime(2024, 1, 1))
@@ -406,6 +418,7 @@ QUERIES = {
     "registry_register": (registry_register, _registry_register),
     "registry_appended": (registry_appended, _registry_appended),
     "registry_current": (registry_current, _registry_current),
+    "registry_snapshot": (registry_snapshot, _registry_current),
     "registry_deleted": (registry_deleted, _registry_deleted),
     "registry_updated": (registry_updated, _registry_updated),
     "registry_lookup": (registry_lookup, _registry_lookup),

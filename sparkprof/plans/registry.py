@@ -3,12 +3,14 @@
 Every change is one more row with an ``op`` (put, delete or clear) and the time
 it was made; the current state is the latest row per id.  Writers never rewrite
 files, so concurrent appends and lost executors cannot damage what is stored.
+Snapshots beside the log spare readers its history.
 """
 
 from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ DATASET_SCHEMA = (
 )
 PUT, DELETE, CLEAR = "put", "delete", "clear"
 CHANGE = ("op", "updated_at")
-# A folder in a dataset's own; readers pass over names that begin so.
-STATES = "_states"
+# Folders in those of a registry and a dataset; readers pass over names that begin so.
+SNAPSHOTS, STATES = "_snapshots", "_states"
 
 
 def changes(rows: DataFrame, op: str = PUT, at=None) -> DataFrame:
@@ -45,7 +47,64 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def open_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, op string, updated_at timestamp_ntz").parquet(path)
+    """The changes that decide the current state: all, or the latest snapshot and what came after it."""
+    scan = spark.read.schema(f"{schema}, op string, updated_at timestamp_ntz")
+    snapshot = _latest_snapshot(spark, path)
+    if snapshot is None:
+        return scan.parquet(path)
+    held = {r["file"] for r in spark.read.parquet(f"{snapshot}/files").collect()}
+    later = sorted(set(scan.parquet(path).inputFiles()) - held)
+    changes = scan.parquet(f"{snapshot}/changes")
+    return changes.unionByName(scan.parquet(*map(unquote, later))) if later else changes
+
+
+def take_snapshot(spark: SparkSession, path: str, schema: str, key: str = "id") -> str:
+    """Writes the changes that still decide the current state, and the names of the files they stand for.
+
+    A change decides if it is of its id's latest moment since the latest clear; deletes and that clear are
+    kept too, so that changes which arrive late with an earlier moment stay without effect.
+    The snapshot counts once its mark of success is there, which a store writes whole or not at all;
+    readers take the latest such.  Log files are left as they are, so readers at work are not
+    disturbed, and snapshots that are taken side by side are all right.
+    """
+    files = sorted(set(spark.read.schema(f"{schema}, op string, updated_at timestamp_ntz").parquet(path).inputFiles()))
+    place = f"{path.rstrip('/')}/{SNAPSHOTS}/{int(now().timestamp() * 1e6):020d}-{uuid.uuid4().hex[:8]}"
+    log = open_registry(spark, path, schema)
+    cleared = log.filter(F.col("op") == CLEAR).agg(F.max("updated_at").alias("updated_at"))
+    clears = log.filter(F.col("op") == CLEAR).join(F.broadcast(cleared), "updated_at", "left_semi")
+    live, last = _latest(log, key)
+    decisive = live.join(last, [key, "_moment"], "left_semi").drop("_moment")
+    kept = decisive.unionByName(clears.limit(1)).select(*log.columns)
+    kept.write.parquet(f"{place}/changes")
+    spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.parquet(f"{place}/files")
+    return place
+
+
+def _latest_snapshot(spark: SparkSession, path: str) -> str | None:
+    """The last snapshot whose list of files is complete, which is written after its changes."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{SNAPSHOTS}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    whole = [
+        s.getPath().toString() for s in store.listStatus(folder)
+        if store.exists(jvm.org.apache.hadoop.fs.Path(f"{s.getPath().toString()}/files/_SUCCESS"))
+    ]
+    return max(whole, default=None)
+
+
+def _latest(registry: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The changes since the latest clear with their moment, and the last moment of every id.
+
+    Moments are numbers, even for a put, odd for a delete, which comes after a put of the same time.
+    """
+    cleared = registry.filter(F.col("op") == CLEAR).agg(F.max("updated_at")).scalar()
+    since = F.coalesce(F.col("updated_at") > cleared, F.lit(True))
+    gone = (F.col("op") == DELETE).cast("bigint")
+    micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
+    live = registry.filter((F.col("op") != CLEAR) & since).withColumn("_moment", micros * 2 + gone)
+    return live, live.groupBy(key).agg(F.max("_moment").alias("_moment"))
 
 
 def current(registry: DataFrame, key: str = "id") -> DataFrame:
@@ -57,18 +116,18 @@ def current(registry: DataFrame, key: str = "id") -> DataFrame:
     have the larger hash.
     """
     fields = [c for c in registry.columns if c not in (key, *CHANGE)]
-    cleared = registry.filter(F.col("op") == CLEAR).agg(F.max("updated_at")).scalar()
-    since = F.coalesce(F.col("updated_at") > cleared, F.lit(True))
-    gone = (F.col("op") == DELETE).cast("bigint")
-    micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
-    live = registry.filter((F.col("op") != CLEAR) & since).withColumn("_moment", micros * 2 + gone)
-    last = live.groupBy(key).agg(F.max("_moment").alias("_moment"))
+    live, last = _latest(registry, key)
     puts = live.filter(F.col("op") == PUT)
+    # How often a moment occurs is counted with the moments, so that only ties are told apart by their fields.
+    times = puts.groupBy(key, "_moment").agg(F.count(F.lit(1)).alias("_times"))
+    last = last.join(times, [key, "_moment"])
     # A put of the last moment is there only if no delete is: their moments differ by one.
-    found = puts.join(last, [key, "_moment"]).withColumn("_mark", _mark(registry, fields))
-    marks = found.groupBy(key, "_moment").agg(F.max("_mark").alias("_mark"))
-    found = found.join(marks, [key, "_moment", "_mark"]).dropDuplicates([key])
-    return found.select(key, *fields, "updated_at")
+    found = puts.join(last, [key, "_moment"])
+    tied = found.filter("_times > 1").withColumn("_mark", _mark(registry, fields))
+    marks = tied.groupBy(key, "_moment").agg(F.max("_mark").alias("_mark"))
+    tied = tied.join(marks, [key, "_moment", "_mark"]).dropDuplicates([key])
+    chosen = [key, *fields, "updated_at"]
+    return found.filter("_times = 1").select(*chosen).unionByName(tied.select(*chosen))
 
 
 def _mark(registry: DataFrame, fields: list[str]):

@@ -201,3 +201,71 @@ def test_a_hot_dataset_is_split_at_run_time(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def state(registry):
+    return sorted(tuple(r) for r in R.current(registry).select("id", "n", "updated_at").collect())
+
+
+def test_snapshots_change_nothing(spark, tmp_path):
+    """Puts, deletes, clears, ties and late arrivals: the state from a snapshot and its tail is that of the whole log."""
+    import random
+
+    draw, path, schema = random.Random(4), str(tmp_path / "a log"), "id string, n int"
+    whole = spark.read.schema(f"{schema}, op string, updated_at timestamp_ntz")
+    for step in range(8):
+        rows = []
+        for _ in range(25):
+            op = "clear" if draw.random() < 0.02 else "delete" if draw.random() < 0.3 else "put"
+            id = None if op == "clear" else f"id{draw.randrange(12)}"
+            rows.append((id, draw.randrange(3), op, DAY + timedelta(minutes=draw.randrange(40))))
+        R.append(spark.createDataFrame(rows, f"{schema}, op string, updated_at timestamp_ntz").coalesce(1), path)
+        if step in (2, 3, 6):
+            R.take_snapshot(spark, path, schema)
+        opened = R.open_registry(spark, path, schema)
+        assert state(opened) == state(whole.parquet(path))
+        # An update of what a snapshot holds goes on from there.
+    kept = R.open_registry(spark, path, schema)
+    assert kept.filter("op = 'clear'").count() <= 1 + whole.parquet(path).filter("op = 'clear'").count()
+
+
+def test_a_snapshot_spares_the_history(spark, tmp_path):
+    """After a snapshot only its rows and later files are read."""
+    path, schema = str(tmp_path / "r"), "id string, n int"
+    for n in range(12):
+        R.append(R.changes(spark.createDataFrame([("a", n), (f"b{n % 2}", n)], schema), at=DAY + timedelta(hours=n)).coalesce(1), path)
+    assert len(R.open_registry(spark, path, schema).inputFiles()) == 12
+    place = R.take_snapshot(spark, path, schema)
+    opened = R.open_registry(spark, path, schema)
+    assert opened.count() == 3 and all("_snapshots" in f for f in opened.inputFiles())
+    R.append(R.changes(spark.createDataFrame([("c", 1)], schema), at=DAY + timedelta(days=9)).coalesce(1), path)
+    opened = R.open_registry(spark, path, schema)
+    assert opened.count() == 4 and sum("_snapshots" not in f for f in opened.inputFiles()) == 1
+    assert {r["id"]: r["n"] for r in R.current(opened).collect()} == {"a": 11, "b0": 10, "b1": 11, "c": 1}
+    # A snapshot that was not finished does not count.
+    from pathlib import Path
+
+    Path(place.removeprefix("file:"), "files", "_SUCCESS").unlink()
+    assert len(R.open_registry(spark, path, schema).inputFiles()) == 13
+
+
+def test_appended_rows_are_profiled_alone(spark, tmp_path):
+    entries, schema = str(tmp_path / "entries"), R.DATASET_SCHEMA
+    rows = spark.range(100).selectExpr("id", "nullif(id % 4, 0) AS few", "concat('t', id % 7) AS text")
+    R.register_dataset(rows, "t.csv", str(tmp_path / "data"), entries, "d")
+    current = lambda: R.current(R.open_registry(spark, entries, schema))
+    before = current().first()
+    with pytest.raises(ValueError):
+        R.append_to_dataset(rows.drop("few"), current(), "d", entries)
+    with pytest.raises(LookupError):
+        R.append_to_dataset(rows, current(), "other", entries)
+    R.append_to_dataset(rows.filter("id < 50"), current(), "d", entries)
+    after = current().first()
+    assert (after["row_count"], after["created_at"], after["path"]) == (150, before["created_at"], before["path"])
+    assert {c["name"]: c["null_count"] for c in after["columns"]} == {"id": 0, "few": 38, "text": 0}
+    found = {r["column"]: r for r in R.dataset_profile(current(), "d").collect()}
+    assert found["text"]["top"] == "t0" and found["id"]["mean"] == pytest.approx((4950 + 1225) / 150, abs=1e-4)
+    # A table without rows has its columns all the same.
+    R.register_dataset(rows.limit(0), "none.csv", str(tmp_path / "data"), entries, "none")
+    none = R.get(current(), "none").first()
+    assert (none["row_count"], none["column_count"]) == (0, 3)
