@@ -61,12 +61,19 @@ def contaminated(
     for row in sorted(items.select("plain", "length").distinct().collect()):
         lengths[row["plain"]].append(row["length"])
     held = items.select(
-        "item", "plain", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+        "item", "plain", "hash", "length", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
     )
     if held.count() <= BROADCAST_WINDOWS:
         held = F.broadcast(held)
-    found = _windows(documents, id, text, "doc", window, lengths).drop("plain").join(held, "hash")
-    found = found.select("doc", "item", "plain", "place", "item_place", slots("slots").alias("slots"), "item_slots")
+    met = _places(documents, id, text, lengths).join(held, ["plain", "hash"])
+    met = write_once(met.drop("hash").distinct(), "met")
+    # Slots are cut out only of the texts that hold a window.
+    texts = _slotted(documents, id, text).join(met.select("doc", "content").distinct(), ["doc", "content"], "left_semi")
+    found = met.join(texts.dropDuplicates(["doc", "content"]), ["doc", "content"]).select(
+        "doc", "item", "plain", "place", "item_place", "item_slots",
+        F.when(F.col("plain"), F.array().cast("array<string>"))
+        .otherwise(slots(F.slice("slot", F.col("place"), F.col("length")))).alias("slots"),
+    )
     found = write_once(found.distinct(), "matches")
     slots = found.select(
         "doc", "item", "plain", "place", "item_place",
@@ -128,32 +135,68 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, "[^\\p{L}\\p{N}\u0001\u0002]+"), lambda t: t != "")
 
 
-def _windows(
-    rows: DataFrame, id: str, text: str, name: str, window: int, lengths: dict[bool, list[int]] | None = None
-) -> DataFrame:
+def _slot(token: Column) -> Column:
+    return F.substring(token, 1, 1) == "\u0001"
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """The tokens' hashes, a slot by its type; and those of the plain lower-case words."""
+    words = _tokens(F.lower(F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "  ")))
+    own = lambda t: F.when(_slot(t), F.substring(t, 1, 2)).otherwise(t)
+    return F.transform(_tokens(marked(text)), lambda t: F.xxhash64(own(t))), F.transform(words, lambda t: F.xxhash64(t))
+
+
+def _places(rows: DataFrame, id: str, text: str, lengths: dict[bool, list[int]]) -> DataFrame:
+    """``doc, content, plain, hash, place`` of all windows; ``content`` tells texts of one id apart.
+
+    A row is a window's hash and place and nothing else, as hardly any meets an item.
+    """
+    slotted, plain = _hashes(F.col(text))
+    tokens = rows.filter(F.col(id).isNotNull()).select(
+        F.col(id).alias("doc"), F.xxhash64(text).alias("content"), slotted.alias("slotted"), plain.alias("plainly")
+    )
+
+    def hashes(plain: bool, length: int) -> Column:
+        column = "plainly" if plain else "slotted"
+        starts = F.when(F.size(column) >= length, F.sequence(F.lit(0), F.size(column) - length))
+        # The hash of an array is that of its elements in turn.
+        whole = lambda i: F.xxhash64(*[F.get(column, i + k) for k in range(length)], *([F.lit(1)] if plain else []))
+        return F.struct(F.lit(plain).alias("plain"), F.transform(starts, whole).alias("hashes"))
+
+    kinds = [hashes(plain, length) for plain in (False, True) for length in lengths[plain] if length > 0]
+    if not kinds:
+        return tokens.limit(0).select("doc", "content", F.lit(True).alias("plain"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("place"))
+    found = tokens.select("doc", "content", F.explode(F.array(*kinds)).alias("kind"))
+    found = found.select("doc", "content", "kind.plain", F.posexplode("kind.hashes").alias("place", "hash"))
+    return found.withColumn("place", F.col("place") + 1)
+
+
+def _slotted(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """``doc, content, slot``: the slots of every text at their tokens' places, null elsewhere."""
+    slot = F.transform(_tokens(marked(F.col(text))), lambda t: F.when(_slot(t), t))
+    return rows.filter(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.xxhash64(text).alias("content"), slot.alias("slot"))
+
+
+def _windows(rows: DataFrame, id: str, text: str, name: str, window: int) -> DataFrame:
     """``name, plain, hash, place, slots, length, numbers`` of all windows, with slots and as plain words.
 
-    Without ``lengths`` a row of fewer tokens than a window is one window.  ``slots`` has a
-    null for each other token; ``numbers`` counts the tokens that begin with a digit.
+    A row of fewer tokens than a window is one window.  ``slots`` has a null for each other
+    token; ``numbers`` counts the tokens that begin with a digit.
     """
     words = _tokens(F.lower(F.translate(F.coalesce(F.col(text), F.lit("")), "\u0001\u0002", "  ")))
-    tokens = rows.select(F.col(id).alias(name), _tokens(marked(F.col(text))).alias("token"), words.alias("word"))
-    tokens = tokens.filter(F.col(name).isNotNull() & (F.size("token") > 0))
-    # A slot keeps its type as token and its value apart.
-    slot = lambda t: F.substring(t, 1, 1) == "\u0001"
-    tokens = tokens.select(
-        name,
-        F.transform("token", lambda t: F.xxhash64(F.when(slot(t), F.substring(t, 1, 2)).otherwise(t))).alias("hash"),
-        F.transform("token", lambda t: F.when(slot(t), t)).alias("slot"),
-        F.transform("word", lambda t: F.xxhash64(t)).alias("plain_hash"),
-        *([] if lengths else [F.transform("word", lambda t: t.rlike("^[0-9]").cast("int")).alias("number")]),
+    slotted, plain = _hashes(F.col(text))
+    tokens = rows.select(
+        F.col(id).alias(name), slotted.alias("hash"), plain.alias("plain_hash"),
+        F.transform(_tokens(marked(F.col(text))), lambda t: F.when(_slot(t), t)).alias("slot"),
+        F.transform(words, lambda t: t.rlike("^[0-9]").cast("int")).alias("number"),
     )
+    tokens = tokens.filter(F.col(name).isNotNull() & (F.size("hash") > 0))
 
     def at(plain: bool, length: Column, start: Column) -> Column:
         hash = F.slice("plain_hash" if plain else "hash", start, length)
         # Windows of either kind meet only their own.
         hash = F.xxhash64(hash, F.lit(1)) if plain else F.xxhash64(hash)
-        numbers = F.size(F.filter(F.slice("number", start, length), lambda n: n > 0)) if plain and not lengths else F.lit(0)
+        numbers = F.size(F.filter(F.slice("number", start, length), lambda n: n > 0)) if plain else F.lit(0)
         return F.struct(
             F.lit(plain).alias("plain"), hash.alias("hash"), start.alias("place"),
             (F.lit(None).cast("array<string>") if plain else F.slice("slot", start, length)).alias("slots"),
@@ -163,11 +206,10 @@ def _windows(
     every = []
     for plain in (False, True):
         size = F.size("plain_hash" if plain else "hash")
-        own = [F.lit(n) for n in lengths[plain]] if lengths else [F.least(F.lit(window), size)]
-        for length in own:
-            starts = F.when((length > 0) & (size >= length), F.sequence(F.lit(1), size - length + 1))
-            part = F.transform(starts, lambda i: at(plain, length, i))
-            every.append(F.coalesce(part, F.array().cast(_WINDOWS)))
+        length = F.least(F.lit(window), size)
+        starts = F.when((length > 0) & (size >= length), F.sequence(F.lit(1), size - length + 1))
+        part = F.transform(starts, lambda i: at(plain, length, i))  # noqa: B023
+        every.append(F.coalesce(part, F.array().cast(_WINDOWS)))
     found = tokens.select(name, F.inline(F.concat(F.array().cast(_WINDOWS), *every)))
     return found.withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
 
