@@ -68,8 +68,11 @@ def contaminated(
     met = _places(documents, id, text, lengths).join(held, ["plain", "hash"])
     met = write_once(met.drop("hash").distinct(), "met")
     # Slots are cut out only of the texts that hold a window.
-    texts = _slotted(documents, id, text).join(met.select("doc", "content").distinct(), ["doc", "content"], "left_semi")
-    found = met.join(texts.dropDuplicates(["doc", "content"]), ["doc", "content"]).select(
+    named = documents.select(F.col(id).alias("doc"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
+    keys = write_once(met.filter("not plain").select("doc", "content").distinct(), "keys")
+    texts = named.join(keys, ["doc", "content"], "left_semi").dropDuplicates(["doc", "content"])
+    texts = texts.select("doc", "content", F.transform(_tokens(marked(F.col("text"))), lambda t: F.when(_slot(t), t)).alias("slot"))
+    found = met.join(texts, ["doc", "content"], "left").select(
         "doc", "item", "plain", "place", "item_place", "item_slots",
         F.when(F.col("plain"), F.array().cast("array<string>"))
         .otherwise(slots(F.slice("slot", F.col("place"), F.col("length")))).alias("slots"),
@@ -171,12 +174,6 @@ def _places(rows: DataFrame, id: str, text: str, lengths: dict[bool, list[int]])
     return found.withColumn("place", F.col("place") + 1)
 
 
-def _slotted(rows: DataFrame, id: str, text: str) -> DataFrame:
-    """``doc, content, slot``: the slots of every text at their tokens' places, null elsewhere."""
-    slot = F.transform(_tokens(marked(F.col(text))), lambda t: F.when(_slot(t), t))
-    return rows.filter(F.col(id).isNotNull()).select(F.col(id).alias("doc"), F.xxhash64(text).alias("content"), slot.alias("slot"))
-
-
 def _windows(rows: DataFrame, id: str, text: str, name: str, window: int) -> DataFrame:
     """``name, plain, hash, place, slots, length, numbers`` of all windows, with slots and as plain words.
 
