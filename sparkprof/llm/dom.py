@@ -23,13 +23,13 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # The elements of HTML by their part.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg object canvas".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section "
     "summary table tbody td tfoot th thead tr ul caption".split()
 )
-_DROPPED = frozenset("nav footer aside form button select option dialog menu input label fieldset".split())
+_DROPPED = frozenset("nav footer aside form button select option dialog menu input fieldset".split())
 _REGION = frozenset(("article", "main"))
 # A start tag of the key ends an open element of the values.
 _ENDS = {
@@ -44,6 +44,12 @@ _NOT_ARTICLE = frozenset(
     "popup modal overlay newsletter subscribe signup login share sharing social related recommended "
     "widget widgets pagination pager toolbar copyright".split()
 )
+# What else may stand in such a name without making it another thing.
+_NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons container content count div entry form group header head icon icons "
+    "inner item items label left link links list main media more outer page panel post posts right row section "
+    "site slot small stories text title top unit wrap wrapper".split()
+)
 _SITE_HEADER = frozenset(("header", "masthead", "topbar"))
 # Parts of names that tell how an element is, not what it is.
 _STATES = frozenset("has no not with without is open closed enabled disabled on off".split())
@@ -137,8 +143,10 @@ class _Builder:
         names = f"{found.get('class', '')} {found.get('id', '')}"
         parts = set(names.lower().split())
         for name in names.split():
+            # All of a name tells what an element is: "related-posts" is no article, "related-work" may be one.
             pieces = {n.lower() for n in _NAME.findall(name)}
-            parts |= set() if pieces & _STATES else pieces
+            if not pieces & _STATES and pieces <= _NOT_ARTICLE | _SITE_HEADER | _NEUTRAL:
+                parts |= pieces
         own = tag in _REGION or found.get("role") == "main" or found.get("itemprop") == "articleBody"
         region = above[5] or own
         hard = (

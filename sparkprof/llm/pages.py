@@ -18,8 +18,11 @@ from sparkprof.scratch import write_once
 # A block is template if so many different pages of the host have it, and over this share.
 PAGES = 3
 SHARE = 0.5
-# Outside an article, a block with a larger share of its text in links is a menu.
+# Outside an article, a block with a larger share of its text in links is a menu, if it is no paragraph or heading.
 LINKED = 0.5
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+# Without an article, the innermost element with so much of the text holds it.
+HELD = 0.9
 # Instead of the number of a leaf: a text at its path; a page.
 PLACED, EVERY = -1, -2
 
@@ -34,10 +37,11 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     pages count once.  A host with few pages has no template.
 
     Template is dropped, and so are menus, site headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments, as told by element, role, class or id
-    (not by those of an article or main element; if nothing is left, not by class or id).
+    adverts, forms, scripts, styles and comments, as told by element, role, or the whole of a class
+    or id (not by those of an article or main element; if nothing is left, not by class or id).
     What is left inside articles (or a main element) is the text; on a page without these
-    it is what is left below the element that holds most text.  Character references are
+    it is what is left below the innermost element that holds nine tenths of the text; blocks that
+    are mostly links are menus there, but for paragraphs and headings.  Character references are
     decoded, white space within a block (line breaks too) becomes one space, blocks are
     joined by line feeds.
 
@@ -152,13 +156,11 @@ def content(page: dom.Page, model: tuple, template) -> str:
     inside = [b for b in slots if b.region]
     if inside:
         return "\n".join(b.text for b in inside)
-    slots = [b for b in slots if b.linked <= LINKED]
+    slots = [b for b in slots if b.linked <= LINKED or not PROSE.isdisjoint(b.path.split("/"))]
     weight: Counter[int] = Counter()
     for block in slots:
-        # The element that holds a paragraph counts, the paragraph itself does not.
-        for share, holder in zip((1.0, 0.5), block.holders[-2::-1] or block.holders):
-            weight[holder] += share * len(block.text)
-    if not weight:
-        return ""
-    best = max(weight, key=lambda h: (weight[h], -h))
+        for holder in block.holders:
+            weight[holder] += len(block.text)
+    # Elements are numbered as they begin, so the innermost has the largest number.
+    best = max((h for h, n in weight.items() if n >= HELD * sum(len(b.text) for b in slots)), default=None)
     return "\n".join(b.text for b in slots if best in b.holders)

@@ -101,6 +101,20 @@ def test_names_and_depth_do_not_lose_the_article(source, want):
     assert text(source) == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ('<article><p>a</p><div class="related-work">b</div><div class="social-studies">c</div></article>', "a\nb\nc"),
+    ('<div class="share-price-history"><p>a b c</p></div>', "a b c"),
+    ('<article><p>a</p><div class="related-posts">b</div><div class="comment-list">c</div><div id=commentSection>d</div></article>', "a"),
+    ('<article><p>let <math><mi>x</mi></math> be <label>one</label> of them</p></article>', "let x be one of them"),
+    ("<body><div id=content><section><p>long long text</p></section><section><p>and more</p></section></div><nav>n</nav></body>",
+     "long long text\nand more"),
+    ('<div><p>some text that is here</p><p><a href="x">all of it a link</a></p><ul><li><a href=y>menu</a></li></ul></div>',
+     "some text that is here\nall of it a link"),
+])
+def test_no_text_is_lost_by_a_part_of_a_name_or_place(source, want):
+    assert text(source) == want
+
+
 def test_template_that_the_reference_page_lacks(spark):
     """An empty page or one of another layout may lend its tree to the host."""
     notice = "<div>Prices may change at any time</div>"
