@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkprof.llm import quality
 
@@ -68,3 +69,41 @@ def test_pieces_and_batches_do_not_change_a_score(monkeypatch):
 def test_repeats_share_a_bucket():
     a, b = (quality._buckets([t])[1][0] for t in ("x x", "longer longer"))
     assert a.tolist() == b.tolist()
+
+
+def plain_logit(text, table):
+    """The mean of each family's bucket values over one text, an n-gram at a time, with Python's integers."""
+    low = (1 << 32) - 1
+
+    def value(hash, family):
+        mixed = (hash + (family * 0x85EBCA6B & low)) * 0x9E3779B1 & low
+        return float(table[((mixed ^ mixed >> 15) * 0x9E3779B1 & low) >> (32 - quality.BITS)])
+
+    words = (text or "").split()
+    named = []
+    for word in words:
+        whole = sum(ord(c) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
+        named.append((whole * 0x9E3779B97F4A7C15 >> 32) & low)
+    families = [[value(h, 1) for h in named], [value(a ^ b, 2) for a, b in zip(named, named[1:])]]
+    line = f" {' '.join(words)} " if words else ""
+    for size in quality.CHARACTERS:
+        found = []
+        for i in range(len(line) - size + 1):
+            hash = 0
+            for c in line[i : i + size]:
+                hash = (hash * 0x01000193 + ord(c)) & low
+            found.append(value(hash, 2 + size))
+        families.append(found)
+    return sum(sum(f) / max(len(f), 1) for f in families) / quality.FAMILIES
+
+
+def test_scores_agree_with_a_plain_scorer(spark, small):
+    """Every document of the small table, and odd texts, scored one n-gram at a time from the same model."""
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.fit(documents, spark.read.parquet(f"{small}/labels.parquet"))
+    table = (model.vectors @ (model.output[:, 1] - model.output[:, 0])).astype(np.float32)
+    odd = [(-1, None), (-2, ""), (-3, " \n "), (-4, "a"), (-5, "é 你好 \U0001f600 x"), (-6, "w " * 700)]
+    rows = documents.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    for r in rows.select("text", model.score(F.col("text")).alias("score")).collect():
+        plain = 1 / (1 + np.exp(-(plain_logit(r["text"], table) + model.offset)))
+        assert abs(r["score"] - plain) < 1e-6
