@@ -162,6 +162,47 @@ def _confusion_sql(classes: int) -> str:
   LEFT JOIN predictions ON label = a AND prediction = p GROUP BY ALL"""
 
 
+def _many_classes(spark, folder):
+    """Every customer is a class; predictions are often a neighbour."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("double").alias("label"),
+        (F.col("o_custkey") + F.col("o_orderkey") % 3).cast("double").alias("prediction"),
+    )
+    return evaluate.confusion_counts(orders)
+
+
+def confusion_many_classes(spark, folder):
+    """The pairs that occur among thousands of classes."""
+    return evaluate.named_cells(evaluate.confusion_sparse(_many_classes(spark, folder))[1])
+
+
+_confusion_many_classes = """WITH pairs AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 3 AS p FROM orders),
+classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS place
+  FROM (SELECT a AS class FROM pairs UNION SELECT p FROM pairs))
+SELECT 'Actual ' || x.place AS actual, 'Predicted ' || y.place AS predicted, count(*)::BIGINT AS n
+FROM pairs JOIN classes x ON x.class = a JOIN classes y ON y.class = p GROUP BY ALL"""
+
+
+def confusion_filled(spark, folder):
+    """Every cell, zeros too, as totals of the rows of the matrix; a hundred customers a class."""
+    orders = table(spark, folder, "orders").select(
+        F.floor(F.col("o_custkey") / 100).cast("double").alias("label"),
+        F.floor(F.col("o_custkey") / 90).cast("double").alias("prediction"),
+    )
+    classes, cells = evaluate.confusion_sparse(evaluate.confusion_counts(orders))
+    filled = evaluate.filled_cells(cells, classes.count())
+    return filled.groupBy("position").agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(F.col("n") > 0).alias("used"), F.sum("n").alias("n")
+    )
+
+
+_confusion_filled = """WITH pairs AS (SELECT floor(o_custkey / 100) AS a, floor(o_custkey / 90) AS p FROM orders),
+classes AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS position
+  FROM (SELECT a AS class FROM pairs UNION SELECT p FROM pairs))
+SELECT position, (SELECT count(*) FROM classes)::BIGINT AS cells, count(DISTINCT p)::BIGINT AS used,
+  count(p)::BIGINT AS n FROM classes LEFT JOIN pairs ON a = class GROUP BY position"""
+
+
 def confusion_matrix_actual(spark, folder):
     """Only the classes that occur as labels."""
     counts = evaluate.confusion_counts(predictions(spark, folder))
@@ -482,6 +523,8 @@ QUERIES = {
     "assemble": (assemble, _assemble),
     "standard_scale": (standard_scale, _standard_scale),
     "confusion_matrix": (confusion_matrix, _confusion_sql(4)),
+    "confusion_many_classes": (confusion_many_classes, _confusion_many_classes),
+    "confusion_filled": (confusion_filled, _confusion_filled),
     "confusion_matrix_actual": (confusion_matrix_actual, _confusion_sql(3)),
     "classification_metrics": (classification_metrics, _classification_metrics),
     "roc_auc": (roc_auc, _roc_auc),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.inputs import table, union_sql
-from sparkprof.operators import describe, frequent, histogram, paging, profile, quantiles
+from sparkprof.operators import chart, describe, frequent, histogram, page_index, paging, profile, quantiles
 from sparkprof.operators.features import completeness
 from sparkprof.plans import profiles
 from sparkprof.scratch import new_path
@@ -458,6 +461,56 @@ def page_deep_null_keys(spark, folder):
     return paging.page(_holed_keys(spark, folder), "key", 100, 1_100)
 
 
+def pages_from_index(spark, folder):
+    """Pages of a stored order: from NULL into repeated keys, far behind, and beyond the last row."""
+    rows = _holed_keys(spark, folder)
+    index = page_index.build_page_index(rows, "key", new_path(spark, "pages"), rows_per_file=700)
+    return reduce(DataFrame.unionAll, [
+        index.page(limit, offset).withColumn("asked", F.lit(offset)) for limit, offset in _ASKED
+    ])
+
+
+_ASKED = ((500, 50), (100, 1_100), (900, 300), (10, 10**9))
+_pages_from_index = union_sql(
+    f"SELECT *, {offset}::INTEGER AS asked FROM ({_page_sql(limit, offset)})" for limit, offset in _ASKED
+)
+
+
+def ranks_from_index(spark, folder):
+    """How many rows come before a key."""
+    rows = _holed_keys(spark, folder)
+    index = page_index.build_page_index(rows, "key", new_path(spark, "pages"), rows_per_file=700)
+    found = [(key, index.rank(key), index.total()) for key in _RANKED]
+    return spark.createDataFrame(found, "key string, before bigint, total bigint")
+
+
+_RANKED = ("1-URGENT", "2-HIGH", "3", "5-LOW", "6", "")
+_ranks_from_index = union_sql(
+    f"""SELECT '{key}' AS key, count(*) FILTER (o_orderpriority = '3-MEDIUM' OR o_orderpriority < '{key}')::BIGINT AS before,
+  count(*)::BIGINT AS total FROM orders""" for key in _RANKED
+)
+
+
+def chart_of_many_points(spark, folder):
+    """First, last, lowest and highest point of each column of pixels."""
+    rows = table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") % 997).alias("x"), F.expr("nullif(l_extendedprice, 0)").alias("y")
+    )
+    return chart.chart_points(rows, "x", "y", columns=100)
+
+
+_chart_of_many_points = """WITH points AS (SELECT (l_orderkey % 997)::DOUBLE AS x, l_extendedprice AS y FROM lineitem
+  WHERE l_extendedprice <> 0),
+ends AS (SELECT min(x) AS low, (max(x) - min(x)) / 100 AS width FROM points),
+placed AS (SELECT x, y, least(99, floor((x - low) / width)) AS c FROM points, ends),
+ranked AS (SELECT x, y, row_number() OVER (PARTITION BY c ORDER BY x, y) AS a,
+  row_number() OVER (PARTITION BY c ORDER BY x DESC, y DESC) AS b,
+  row_number() OVER (PARTITION BY c ORDER BY y, x) AS d,
+  row_number() OVER (PARTITION BY c ORDER BY y DESC, x) AS e FROM placed)
+SELECT x, y FROM points WHERE (SELECT count(*) FROM points) <= 10000
+UNION ALL SELECT DISTINCT x, y FROM ranked WHERE 1 IN (a, b, d, e) AND (SELECT count(*) FROM points) > 10000"""
+
+
 def display_cells(spark, folder):
     """The first rows as they are shown."""
     return paging.display_rows(table(spark, folder, "nation"), 10, ["n_nationkey"])
@@ -496,5 +549,8 @@ QUERIES = {
     "preview_after": (preview_after, _preview_after),
     "page_null_and_repeated_keys": (page_null_and_repeated_keys, _page_sql(500, 50)),
     "page_deep_null_keys": (page_deep_null_keys, _page_sql(100, 1_100)),
+    "pages_from_index": (pages_from_index, _pages_from_index),
+    "ranks_from_index": (ranks_from_index, _ranks_from_index),
+    "chart_of_many_points": (chart_of_many_points, _chart_of_many_points),
     "display_rows": (display_cells, _display_cells),
 }

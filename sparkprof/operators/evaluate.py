@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprof.columns import qcol, require_columns
-from sparkprof.operators.ordering import running_totals
+from sparkprof.operators.ordering import numbered, running_totals
 from sparkprof.scratch import temporary
 
 SAMPLE_ROWS = 100
@@ -27,21 +27,31 @@ def confusion_counts(
     )
 
 
+def confusion_sparse(counts: DataFrame, actual_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The classes (position, label) in ascending order, and the cells (position, place, n) that are not zero.
+
+    Classes are all labels seen on either side, or with ``actual_only`` just the actual
+    ones, which leaves out predictions of any other class.  They are numbered across the
+    cluster and written once, however many there are.
+    """
+    seen = F.array("label") if actual_only else F.array("label", "prediction")
+    classes = counts.select(F.explode(seen).alias("label")).filter("label IS NOT NULL").distinct()
+    classes = numbered(classes, [F.asc("label")]).select("position", "label")
+    places = classes.select(F.col("label").alias("prediction"), F.col("position").alias("place"))
+    cells = counts.join(classes, "label").join(places, "prediction").select("position", "place", "n")
+    return classes, cells
+
+
 def confusion_matrix(counts: DataFrame, actual_only: bool = False) -> DataFrame:
     """One row per class: (position, label, counts), both in ascending class order.
 
-    ``counts`` holds one number per class, zero where a pair does not occur.
-    Classes are all labels seen on either side, or with ``actual_only`` just the
-    actual ones, which leaves out predictions of any other class.
+    ``counts`` holds one number per class, zero where a pair does not occur; for very many
+    classes ``confusion_sparse`` has the other pairs alone.
     """
-    seen = F.array("label") if actual_only else F.array("label", "prediction")
-    classes = counts.select(F.explode(seen).alias("label")).distinct()
-    order = classes.agg(F.sort_array(F.collect_list("label")).alias("c")).select("c").scalar()
-    placed = classes.select("label", (F.array_position(order, F.col("label")) - 1).alias("position"))
-    # The cells that are not zero, in the order of their places.
-    cells = counts.join(
-        placed.select(F.col("label").alias("prediction"), F.col("position").alias("place")), "prediction"
-    ).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("cells"))
+    classes, cells = confusion_sparse(counts, actual_only)
+    size = classes.count()
+    # The cells of a row that are not zero, in the order of their places.
+    rows = cells.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("cells"))
     zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n.cast("int"))
     ends = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("cells", lambda c: c["place"]))
     filled = F.flatten(F.zip_with(
@@ -49,24 +59,39 @@ def confusion_matrix(counts: DataFrame, actual_only: bool = False) -> DataFrame:
         lambda c, end: F.concat(zeros(c["place"] - end - 1), F.array(c["n"])),
     ))
     return (
-        placed.join(cells, "label", "left")
+        classes.join(rows, "position", "left")
         .withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<place:bigint,n:bigint>>")))
         .select(
             "position", "label",
-            F.concat(filled, zeros(F.size(order) - 1 - F.element_at(ends, -1))).alias("counts"),
+            F.concat(filled, zeros(F.lit(size) - 1 - F.element_at(ends, -1))).alias("counts"),
         )
     )
 
 
-def confusion_cells(matrix: DataFrame) -> DataFrame:
-    """The matrix as (actual, predicted, n) with display names of the classes' places."""
-    return matrix.select("position", F.posexplode("counts").alias("place", "n")).select(
+def filled_cells(cells: DataFrame, classes: int) -> DataFrame:
+    """Every cell (position, place, n) of a matrix of so many classes; zeros are made range by range."""
+    every = cells.sparkSession.range(classes * classes).select(
+        F.expr(f"id DIV {max(classes, 1)}").alias("position"), (F.col("id") % max(classes, 1)).alias("place")
+    )
+    return every.join(cells, ["position", "place"], "left").select(
+        "position", "place", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def named_cells(cells: DataFrame) -> DataFrame:
+    """(actual, predicted, n) with display names of the classes' places."""
+    return cells.select(
         F.concat(F.lit("Actual "), F.col("position")).alias("actual"),
         F.concat(F.lit("Predicted "), F.col("place")).alias("predicted"),
         "n",
     )
 
 
+def confusion_cells(matrix: DataFrame) -> DataFrame:
+    """The matrix as (actual, predicted, n) with display names of the classes' places."""
+    return named_cells(matrix.select("position", F.posexplode("counts").alias("place", "n")))
+
+
 def classification_metrics(counts: DataFrame) -> DataFrame:
     """Accuracy and the precision, recall and F1 weighted by class frequency, one row."""
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)

@@ -19,7 +19,7 @@ DISPLAY_ROWS = 10
 
 def preview(df: DataFrame, limit: int = DEFAULT_ROWS, order: list[str] | None = None) -> DataFrame:
     """The first rows, in the given order if there is one."""
-    _check(limit, 0)
+    check_page(limit, 0)
     if order is None:
         return df.limit(limit)
     require_columns(df, order)
@@ -32,12 +32,13 @@ def page(df: DataFrame, key: str, limit: int = DEFAULT_ROWS, offset: int = 0) ->
     Rows of equal keys follow the order of the other columns that can be ordered.
     The first page is a top-k.  Any other numbers the keys alone, across the cluster,
     and reads only the rows between its first and its last key; what that range holds
-    before the page is skipped there.  To walk through a table use ``page_after``, which
+    before the page is skipped there.  Where many pages are asked for, ``page_index`` sorts
+    once for all.  To walk through a table use ``page_after``, which
     does not have to count the rows it skips.
     """
-    _check(limit, offset)
+    check_page(limit, offset)
     require_columns(df, [key])
-    order = [qcol(key), *[qcol(f.name) for f in df.schema if f.name != key and _ordered(f.dataType)]]
+    order = row_order(df, key)
     if offset == 0:
         return df.orderBy(*order).limit(limit)
     with temporary(df.sparkSession):
@@ -54,6 +55,11 @@ def page(df: DataFrame, key: str, limit: int = DEFAULT_ROWS, offset: int = 0) ->
     return df.filter(near).orderBy(*order).offset(ends["first"]["position"] - before).limit(limit)
 
 
+def row_order(df: DataFrame, key: str) -> list[Column]:
+    """A key and the other columns that can be ordered."""
+    return [qcol(key), *[qcol(f.name) for f in df.schema if f.name != key and _ordered(f.dataType)]]
+
+
 def _first_place(keys: DataFrame, at) -> int | None:
     """The position of the first row with the key of a row."""
     if at is None:
@@ -76,7 +82,7 @@ def _ordered(kind: T.DataType) -> bool:
 
 def page_after(df: DataFrame, key: str, after, limit: int = DEFAULT_ROWS) -> DataFrame:
     """The rows that follow a key: a pushed-down filter and a top-k."""
-    _check(limit, 0)
+    check_page(limit, 0)
     require_columns(df, [key])
     return df.filter(qcol(key) > F.lit(after)).orderBy(qcol(key)).limit(limit)
 
@@ -97,7 +103,7 @@ def display(df: DataFrame) -> DataFrame:
     return df.select([display_cell(qcol(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
-def _check(limit: int, offset: int) -> None:
+def check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= MAX_ROWS:
         raise ValueError(f"limit must be between 1 and {MAX_ROWS}")
     if offset < 0:

@@ -34,6 +34,8 @@ PUT, DELETE, CLEAR = "put", "delete", "clear"
 CHANGE = ("op", "updated_at")
 # Folders in those of a registry and a dataset; readers pass over names that begin so.
 SNAPSHOTS, STATES = "_snapshots", "_states"
+# The cells of a run's confusion matrix, in the folder of its model.
+CONFUSION = "confusion"
 
 
 def changes(rows: DataFrame, op: str = PUT, at=None) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkprof.functions.rounding import rounded
 from sparkprof.functions.text import UNKNOWN, or_default, short_id, title_case
+from sparkprof.operators.evaluate import filled_cells, named_cells
 from sparkprof.operators.paging import preview
-from sparkprof.plans.registry import get
+from sparkprof.plans.registry import CONFUSION, get
 from sparkprof.sources.sinks import write_views
 
 # Fixed values.
@@ -143,6 +144,19 @@ def confusion_matrices(runs: DataFrame) -> DataFrame:
     )
 
 
+def stored_confusion(runs: DataFrame, model_id: str, filled: bool = False) -> DataFrame:
+    """(id, actual, predicted, n) of a run of any number of classes, from the cells kept beside its model.
+
+    Only pairs that occur; with ``filled`` every cell of the classes up to the last that occurs.
+    """
+    path = get(runs, model_id).first()["model_path"]
+    cells = runs.sparkSession.read.parquet(f"{path}/{CONFUSION}")
+    if filled:
+        last = cells.agg(F.max(F.greatest("position", "place"))).first()[0]
+        cells = filled_cells(cells, 0 if last is None else last + 1)
+    return named_cells(cells).select(F.lit(model_id).alias("id"), "*")
+
+
 def sample_data(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     return preview(df, SAMPLE_ROWS, order)
 
@@ -225,8 +239,11 @@ def single_model_views(
     """The sheets of one run's report; ``dataset`` adds a sample of its rows."""
     run = get(runs, model_id)
     views = {"summary": summary(run), "metrics": metrics(run), "parameters": parameters(run)}
-    if run.first()["model_type"] == "classification":
-        views["confusion_matrix"] = confusion_matrices(run)
+    known = run.first().asDict()
+    if known["model_type"] == "classification":
+        # Of very many classes only the pairs that occur are kept.
+        large = known["confusion_matrix"] is None and known.get("model_path") is not None
+        views["confusion_matrix"] = stored_confusion(runs, model_id) if large else confusion_matrices(run)
     if dataset is not None:
         views["sample_data"] = sample_data(dataset)
     return views

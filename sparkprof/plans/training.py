@@ -31,10 +31,13 @@ from sparkprof.operators.features import (
 )
 from sparkprof.operators.indexing import apply_index, index_values
 from sparkprof.plans.algorithms import Algorithm, find, typed_params
-from sparkprof.plans.registry import RUN_SCHEMA, append, changes, get
+from sparkprof.plans.registry import CONFUSION, RUN_SCHEMA, append, changes, get
 from sparkprof.scratch import use_checkpoints, write_once
 
 # Columns the pipeline adds, so no feature may have these names.
+# Up to so many classes the record of a run holds the whole confusion matrix; of more, its cells that are
+# not zero are a table beside the model.
+MATRIX_CLASSES = 1_000
 RESERVED = ("label", "prediction", "rawPrediction", "probability")
 RAW, SCALED = "_assembled", "_features"
 
@@ -138,6 +141,7 @@ class TrainResult:
     run: DataFrame  # one row of the run registry
     predictions: DataFrame  # prediction with label and, for two classes, score
     dropped: int = 0  # rows left out for a missing feature or target
+    confusion: DataFrame | None = None  # cells of the confusion matrix that are not zero: position, place, n
 
 
 def validate(df: DataFrame, spec: TrainSpec) -> Algorithm:
@@ -253,11 +257,11 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     scored = model.score(labeled(test_rows), keep_vectors=spec.model_type == "clustering")
     predictions = _scores(scored).persist()
     try:
-        metrics, matrix = _metrics(spec.model_type, predictions)
-        run = _run_row(rows.sparkSession, spec, model, params, metrics, matrix, sizes)
+        metrics, counts, cells = _metrics(spec.model_type, predictions)
+        run = _run_row(rows.sparkSession, spec, model, params, metrics, counts, sizes)
     finally:
         predictions.unpersist()
-    return TrainResult(model, run, predictions.drop(SCALED), sizes["dropped"])
+    return TrainResult(model, run, predictions.drop(SCALED), sizes["dropped"], cells)
 
 
 def _by_name(rows: DataFrame, spec: TrainSpec) -> bool:
@@ -331,16 +335,16 @@ def _scores(scored: DataFrame) -> DataFrame:
     return scored.select(columns)
 
 
-def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, DataFrame | None]:
-    """The metrics and, for classes, the rows of the confusion matrix."""
+def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, DataFrame | None, DataFrame | None]:
+    """The metrics and, for classes, the counts of pairs, if they are few classes, and the cells of the matrix."""
     if model_type == "regression":
         found = E.regression_metrics(predictions).first().asDict()
-        return {k: v for k, v in found.items() if v is not None}, None
+        return {k: v for k, v in found.items() if v is not None}, None, None
     if model_type == "clustering":
         clusters = predictions.agg(F.count_distinct("prediction")).first()[0]
         if clusters < 2:
-            return {}, None
-        return {"silhouette": ClusteringEvaluator(featuresCol=SCALED).evaluate(predictions)}, None
+            return {}, None, None
+        return {"silhouette": ClusteringEvaluator(featuresCol=SCALED).evaluate(predictions)}, None, None
     # As many rows as there are pairs of classes that occur.
     counts = write_once(E.confusion_counts(predictions), "confusion")
     found = E.classification_metrics(counts).first().asDict()
@@ -348,14 +352,18 @@ def _metrics(model_type: str, predictions: DataFrame) -> tuple[dict, DataFrame |
     if "score" in predictions.columns:
         area = E.roc_auc(predictions.filter("score IS NOT NULL"), "score").first()["roc_auc"]
         found["roc_auc"] = area
-    return {k: v for k, v in found.items() if v is not None}, E.confusion_matrix(counts)
+    classes, cells = E.confusion_sparse(counts)
+    few = classes.count() <= MATRIX_CLASSES
+    return {k: v for k, v in found.items() if v is not None}, counts if few else None, write_once(cells, "cells")
 
 
 def register_run(result: TrainResult, folder: str, registry_path: str) -> str:
-    """Saves the model below ``folder``, appends the run and returns its id."""
+    """Saves the model and its confusion cells below ``folder``, appends the run and returns its id."""
     identifier = result.run.first()["id"]
     path = f"{folder.rstrip('/')}/{identifier}"
     result.model.save(path)
+    if result.confusion is not None:
+        result.confusion.write.parquet(f"{path}/{CONFUSION}")
     append(changes(result.run.withColumn("model_path", F.lit(path))), registry_path)
     return identifier
 
@@ -366,7 +374,7 @@ def load_registered(current_runs: DataFrame, identifier: str) -> TrainedModel:
     return TrainedModel.load(current_runs.sparkSession, path)
 
 
-def _run_row(spark, spec: TrainSpec, model, params, metrics, matrix, sizes) -> DataFrame:
+def _run_row(spark, spec: TrainSpec, model, params, metrics, counts, sizes) -> DataFrame:
     importance = dict(model.weights())
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     row = {
@@ -387,8 +395,9 @@ def _run_row(spark, spec: TrainSpec, model, params, metrics, matrix, sizes) -> D
         "model_path": None,
     }
     run = spark.createDataFrame([row], RUN_SCHEMA)
-    if matrix is None:
+    if counts is None:
         return run
+    # Of few classes, the whole matrix is a field of the row.
     placed = F.sort_array(F.collect_list(F.struct("position", "counts")))
-    whole = matrix.agg(F.transform(placed, lambda r: r["counts"]).alias("m")).scalar()
+    whole = E.confusion_matrix(counts).agg(F.transform(placed, lambda r: r["counts"]).alias("m")).scalar()
     return run.withColumn("confusion_matrix", whole)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from sparkprof import scratch
 from sparkprof.operators import evaluate, features, indexing, paging
-from sparkprof.plans import algorithms
-from sparkprof.plans.training import TrainedModel, TrainSpec, train, validate
+from sparkprof.plans import algorithms, reports
+from sparkprof.plans.registry import RUN_SCHEMA, current, open_registry
+from sparkprof.plans.training import TrainedModel, TrainSpec, register_run, train, validate
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +101,36 @@ def test_many_classes(spark):
     assert sum(map(sum, run["confusion_matrix"])) == run["test_size"]
 
 
+def test_twenty_thousand_classes(spark, tmp_path):
+    """The record keeps no matrix then, the pairs that occur are beside the model and reported from there."""
+    df = spark.range(60_000).select(
+        "id", F.pmod("id", F.lit(20_000)).cast("double").alias("x"), F.lit(1.0).alias("w"),
+        F.concat(F.lit("c"), F.pmod("id", F.lit(20_000))).alias("y"),
+    )
+    result = train(df, spec(algorithm="naive_bayes", features=["x", "w"], target="y", params={}, key=["id"], keep="table"))
+    run = result.run.first()
+    assert run["confusion_matrix"] is None
+    cells = result.confusion
+    # Classes that only test rows have are left out, as with fewer classes.
+    scored = result.predictions.count()
+    assert cells.agg(F.sum("n")).first()[0] == scored > 0.9 * run["test_size"]
+    path = str(tmp_path / "runs")
+    identifier = register_run(result, str(tmp_path / "models"), path)
+    runs = current(open_registry(spark, path, RUN_SCHEMA))
+    view = reports.single_model_views(runs, identifier)["confusion_matrix"]
+    assert view.columns == ["id", "actual", "predicted", "n"] and view.count() == cells.count()
+    assert view.agg(F.sum("n")).first()[0] == scored
+
+
+def test_filled_cells_are_the_matrix(spark):
+    counts = evaluate.confusion_counts(spark.createDataFrame(PAIRS, "label double, prediction double"))
+    classes, cells = evaluate.confusion_sparse(counts)
+    pick = lambda df: sorted(tuple(r) for r in df.collect())
+    dense = evaluate.confusion_cells(evaluate.confusion_matrix(counts))
+    assert pick(evaluate.named_cells(evaluate.filled_cells(cells, classes.count()))) == pick(dense)
+    assert pick(evaluate.filled_cells(cells.limit(0), 0)) == []
+
+
 def test_saved_models_predict_the_same(spark, rows, tmp_path):
     model = train(rows, spec()).model
     model.save(str(tmp_path / "m"))
