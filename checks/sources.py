@@ -32,6 +32,43 @@ def csv_splittable(spark, folder):
     return rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+_STRAY = """SELECT o_orderkey, o_custkey % 2 = 0 AS even, o_totalprice, o_orderdate,
+  CASE WHEN o_orderkey % 97 = 5 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR(40)) END AS price,
+  CASE WHEN o_orderkey % 89 = 7 THEN '12 May' ELSE substring(CAST(o_orderdate AS VARCHAR(40)), 1, 10) END AS day"""
+
+
+def _stray(spark, folder):
+    """The types and the rejects of orders of which some values are written otherwise."""
+    table(spark, folder, "orders").createOrReplaceTempView("_stray_orders")
+    rows = spark.sql(f"{_STRAY} FROM _stray_orders").drop("o_totalprice", "o_orderdate")
+    path = new_path(spark, "csv")
+    delimited.write_csv(rows, path)
+    return delimited.read_typed_csv(spark, path, fit=0.95)
+
+
+def csv_typed(spark, folder):
+    """Types by one aggregate; a few stray values do not make a column text."""
+    rows, _ = _stray(spark, folder)
+    return rows.withColumn("types", F.lit(",".join(f.dataType.simpleString() for f in rows.schema)))
+
+
+_csv_typed = f"""WITH stray AS ({_STRAY} FROM orders)
+SELECT o_orderkey, even, o_totalprice AS price, CAST(day AS DATE) AS day,
+  'bigint,boolean,double,date' AS types FROM stray WHERE price <> 'n/a' AND day <> '12 May'"""
+
+
+def csv_rejects(spark, folder):
+    """The rows that do not fit, as they were written, with the columns at fault."""
+    _, rejects = _stray(spark, folder)
+    return rejects.select("o_orderkey", "even", "price", "day", F.array_join("rejected", ",").alias("rejected"))
+
+
+_csv_rejects = f"""WITH stray AS ({_STRAY} FROM orders)
+SELECT o_orderkey::VARCHAR AS o_orderkey, even::VARCHAR AS even, price, day,
+  concat_ws(',', CASE WHEN price = 'n/a' THEN 'price' END, CASE WHEN day = '12 May' THEN 'day' END) AS rejected
+FROM stray WHERE price = 'n/a' OR day = '12 May'"""
+
+
 _csv_splittable = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
 
@@ -176,6 +213,8 @@ _xlsx_ingest = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment F
 
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, _csv_roundtrip),
+    "csv_typed": (csv_typed, _csv_typed),
+    "csv_rejects": (csv_rejects, _csv_rejects),
     "csv_splittable": (csv_splittable, _csv_splittable),
     "json_records": (json_records_in, _json_records_in),
     "json_records_out": (json_records_out, _json_records_out),
