@@ -23,13 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     links, before = _kept(links)
     while before != (0, None):
-        links, now = _kept(_small_star(_large_star(links)))
+        # A small step reads the large one's links three times.
+        links, now = _kept(_small_star(write_once(_large_star(links), "links")))
         if now == before:
             break
         before = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return write_once(links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")
 
 
 def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:

@@ -320,8 +320,9 @@ def deduplicated(
     with bounded(documents.sparkSession, _BATCH):
         roots = components(pairs).withColumnRenamed("node", "set")
     rooted = classes.join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    rooted = write_once(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    found = rows.join(named.select("set", "component_id"), "set")
+    found = write_once(rows.join(named.select("set", "component_id"), "set").select("id", "set", "component_id"), "found")
     # Smaller than what stays, and of a known size: if it is small, texts are not shuffled.
     gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(id)).distinct()
     gone = write_once(gone, "copies")
