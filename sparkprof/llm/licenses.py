@@ -11,6 +11,8 @@ from sparkprof.scratch import write_once
 
 # A passage shows a licence from this cosine on.
 COSINE = 0.6
+# Words that a line and its template must share: a single one shows no licence.
+SHARED = 2
 # Decimals of a reported cosine.
 DIGITS = 6
 # Notices by which works state their licence.
@@ -34,6 +36,7 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Proprietary", "All rights reserved"),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
 )
 # Names of files that state the licence of their directory.
@@ -46,7 +49,8 @@ def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "
 
     Every line of a file is a passage: its distinct lower-case words, weighted by their
     rarity among the lines of all files.  A line shows the licence of the template with the
-    largest cosine, from COSINE on (equal ones: the first by name); a file has the licence of
+    largest cosine, from COSINE on and with SHARED words or more in common (equal ones: the
+    first by name); a file has the licence of
     its best line (``origin`` "own").  A file without one has that of the nearest directory
     at or above its own in which a licence file shows one ("inherited"; of several files in
     a directory the largest cosine counts), and nulls if there is none.
@@ -88,7 +92,8 @@ def scan(files: DataFrame, id: str = "doc_id", path: str = "path", text: str = "
     )
     products = parts.select("id", "path", "line", F.explode("uses").alias("use"), "idf").groupBy(
         "id", "path", "line", "use.license", "use.template", "use.norm"
-    ).agg(F.sum(F.col("idf") ** 2).alias("product"))
+    ).agg(F.sum(F.col("idf") ** 2).alias("product"), F.count(F.lit(1)).alias("shared"))
+    products = products.filter(F.col("shared") >= SHARED)
     cosine = F.round(F.col("product") / F.col("norm") / F.col("length"), DIGITS)
     shown = products.join(lengths, "line").withColumn("cosine", cosine).filter(F.col("cosine") >= COSINE)
     best = shown.groupBy("id", "path").agg(

@@ -179,7 +179,8 @@ weighed AS (
 ), shown AS (
   SELECT doc_id, path, license, round(product / norm / length, {licenses.DIGITS}) AS cosine
   FROM (SELECT line, doc_id, path, template, sum(idf * idf) AS product
-        FROM parts JOIN (SELECT template, word FROM templates) USING (word) GROUP BY ALL)
+        FROM parts JOIN (SELECT template, word FROM templates) USING (word) GROUP BY ALL
+        HAVING count(*) >= {licenses.SHARED})
   JOIN norms USING (template) JOIN lengths USING (line)
 ), best AS (
   SELECT * FROM shown WHERE cosine >= {licenses.COSINE}

@@ -45,5 +45,15 @@ def test_every_notice_is_its_own(license, text):
     assert same == {license}
 
 
+def test_short_notices_count_and_single_words_do_not(spark):
+    filler = "all of this says nothing\nnor does that\n" * 30
+    found = scan(spark, [
+        (1, "a/x", filler + "All rights reserved."), (2, "b/x", filler + "\u00a9 all rights reserved\n"),
+        (3, "c/x", filler + "Reserved\nRights\nMIT\n"), (4, "d/x", filler + MIT),
+    ])
+    assert found[1] == found[2] == ("Proprietary", "own", None)
+    assert found[3] == (None, None, None) and found[4][0] == "MIT"
+
+
 def test_empty_table(spark):
     assert scan(spark, []) == {}
