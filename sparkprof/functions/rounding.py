@@ -17,7 +17,7 @@ def fixed(value: Column, digits: int, ties_to_even: bool = True) -> Column:
     """The double with so many decimals as text, rounded by its exact binary value.
 
     ``format_string`` rounds the shortest decimal text instead, which differs
-    where that text lies on a tie; only such values take the longer way.
+    where that text lies on a tie or is too short; only such values take the longer way.
     """
     usual = F.format_string(f"%.{digits}f", value)
     return F.when(_near_tie(value, digits), _exact(value, digits, ties_to_even)).otherwise(usual)
@@ -32,7 +32,8 @@ def rounded(value: Column, digits: int = 4) -> Column:
 def _near_tie(value: Column, digits: int) -> Column:
     """True where the scaled fraction cannot be told from a half."""
     scaled = F.abs(value) * float(10**digits)
-    close = F.abs(scaled - F.floor(scaled) - 0.5) <= scaled * 1e-15 + 1e-6
+    # From here on the bound holds for any fraction, and the floor may not fit a long.
+    close = (scaled >= 1e15) | (F.abs(scaled - F.floor(scaled) - 0.5) <= scaled * 1e-15 + 1e-6)
     return close & (scaled < float("inf"))
 
 
@@ -43,7 +44,8 @@ def _exact(value: Column, digits: int, ties_to_even: bool) -> Column:
     scale, cut = float(10**digits), float(2**26)
 
     def parts(size):
-        whole = F.floor(size).cast("double")
+        # Beyond 2^53 a double is whole.
+        whole = F.when(size < float(2**53), F.floor(size).cast("double")).otherwise(size)
         return F.struct(whole.alias("whole"), (size - whole).alias("rest"))
 
     def scaled(p):
@@ -61,7 +63,8 @@ def _exact(value: Column, digits: int, ties_to_even: bool) -> Column:
     def text(p):
         whole = p["whole"] + (p["units"] == int(scale)).cast("int")
         decimals = F.lpad((p["units"] % int(scale)).cast("string"), digits, "0")
-        return F.concat(F.format_string("%.0f", whole), F.lit("."), decimals)
+        digits_before = F.when(whole < float(2**63), whole.cast("bigint").cast("string"))
+        return F.concat(F.coalesce(digits_before, F.format_string("%.0f", whole)), F.lit("."), decimals)
 
     shown = F.abs(value)
     for step in (parts, scaled, rounded, text):

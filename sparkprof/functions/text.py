@@ -57,7 +57,8 @@ def display_cell(value: Column, dtype: T.DataType) -> Column:
         return F.when(value.isNull(), F.lit(NO_VALUE)).otherwise(shown)
     if logical_type(dtype) == "numeric":
         number = value.cast("double")
-        whole = F.format_string("%.0f", number)
+        # Zero has no sign.
+        whole = F.when(number == 0, F.lit("0")).otherwise(F.format_string("%.0f", number))
         shown = F.when(number == F.rint(number), whole).otherwise(
             fixed(number, CELL_DECIMALS, ties_to_even=False)
         )

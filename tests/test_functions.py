@@ -26,6 +26,13 @@ def test_rounding_agrees_with_python(spark):
     assert column_of(spark, values, "double", rounded(F.col("x"), 4)) == [round(v, 4) for v in values]
 
 
+def test_large_values_keep_their_decimals(spark):
+    values = [1216114068759298.25, -998877665544332.125, 2.0**52 + 0.5, 2.0**53 + 2, 2.0**62 + 1024, 1e15, -9.3e14 - 0.375]
+    for digits in (2, 4):
+        assert column_of(spark, values, "double", fixed(F.col("x"), digits)) == [f"{v:.{digits}f}" for v in values]
+        assert column_of(spark, values, "double", rounded(F.col("x"), digits)) == [round(v, digits) for v in values]
+
+
 def size_text(n):
     for unit in ("B", "KB", "MB", "GB", "TB"):
         if n < 1024:
@@ -59,6 +66,7 @@ def test_display(spark):
         spark, values, kind, text.display_cell(F.col("x"), spark.createDataFrame([], f"x {kind}").schema["x"].dataType)
     )
     assert shown([None, 5.0, 1.23456, -2.0, NAN], "double") == ["-", "5", "1.2346", "-2", "-"]
+    assert shown([-0.0, 0.0, -0.25], "double") == ["0", "0", "-0.2500"]
     assert shown([None, True, False], "boolean") == ["-", "Sí", "No"]
     assert shown([None, 7], "int") == ["-", "7"]
     assert shown([None, "x"], "string") == ["-", "x"]
