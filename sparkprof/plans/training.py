@@ -38,6 +38,9 @@ from sparkprof.scratch import use_checkpoints, write_once
 # Up to so many classes the record of a run holds the whole confusion matrix; of more, its cells that are
 # not zero are a table beside the model.
 MATRIX_CLASSES = 1_000
+# Values of prepared rows that a task of a pass reads at most, about; what an estimator keeps
+# beside a row's values counts as so many more.
+TASK_VALUES, ROW_VALUES = 8_000_000, 10
 RESERVED = ("label", "prediction", "rawPrediction", "probability")
 RAW, SCALED = "_assembled", "_features"
 
@@ -57,7 +60,7 @@ class TrainSpec:
     dataset_id: str | None = None
     # Index a numeric target like a text one, for classes that are not 0, 1, 2, ...
     index_labels: bool = False
-    # Tasks to spread the prepared rows over, for tables that lie in few files.
+    # Tasks to spread the prepared rows over at least, for tables that lie in few files.
     partitions: int | None = None
     # How the prepared rows are kept for the passes of the fit: in the executors'
     # memory and disks, or as a table in the shared scratch folder, which lost
@@ -186,7 +189,8 @@ def _used(spec: TrainSpec) -> list[str]:
 def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
     """Prepares, splits, fits and evaluates; returns the model and its run record.
 
-    Only the needed columns are kept, once for all passes of the fit.
+    Only the needed columns are kept, once for all passes of the fit, and spread over as
+    many tasks as their number of values asks for.
     The default split is by a hash of the row's key, so that a partition
     recomputed after a lost executor holds the same training rows.
     """
@@ -207,18 +211,25 @@ def train(df: DataFrame, spec: TrainSpec) -> TrainResult:
             DataFrame.unionAll,
             [side.withColumn("_train", F.lit(first)) for side, first in zip(sides, (True, False))],
         )
-    if spec.partitions:
-        rows = rows.repartition(spec.partitions)
-    if spec.keep == "table":
-        return _train_on(write_once(rows, "prepared"), spec, algorithm)
-    rows = rows.persist()
+    parts = _tasks(df, spec)
+    # Where the rows of a table in the scratch folder are read, files are put together by size.
+    prepared = write_once(rows, "prepared") if spec.keep == "table" else rows
+    prepared = (prepared.repartition(parts) if parts else prepared).persist()
     try:
-        return _train_on(rows, spec, algorithm)
+        return _train_on(prepared, spec, algorithm, parts)
     finally:
-        rows.unpersist()
+        prepared.unpersist()
 
 
-def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainResult:
+def _tasks(df: DataFrame, spec: TrainSpec) -> int | None:
+    """The partitions of the prepared rows; None if they may stay as they are."""
+    values = df.count() * (len(_used(spec)) + ROW_VALUES)
+    wanted = -(-values // TASK_VALUES)
+    least = spec.partitions or (df.sparkSession.sparkContext.defaultParallelism if wanted > 1 else None)
+    return least and max(least, wanted)
+
+
+def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm, parts: int | None) -> TrainResult:
     _, categorical = split_by_kind(rows, spec.features)
     kept, first = F.col("_complete"), F.col("_train")
     sizes = rows.agg(
@@ -238,9 +249,13 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     train_rows = indexed(train_rows, spec.features, indexes)
     labels, labeled = _labeler(train_rows, spec)
     train_rows = labeled(train_rows)
+    kept_rows = None
     if indexes or labels is not None:  # every stage of the fit reads these rows
-        train_rows = write_once(train_rows, "indexed")
-        train_rows = train_rows if labels is None else _named(train_rows, labels)
+        if spec.keep == "table":
+            train_rows = write_once(train_rows, "indexed")
+            train_rows = train_rows.repartition(parts) if parts else train_rows
+        kept_rows = train_rows.persist()
+        train_rows = kept_rows if labels is None else _named(kept_rows, labels)
 
     params = typed_params(algorithm, spec.params)
     if algorithm.estimator().hasParam("seed"):
@@ -250,7 +265,11 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm) -> TrainRe
     estimator = algorithm.estimator(featuresCol=SCALED, **params)
     params.pop("labelCol", None)
     stages = feature_stages(rows, spec.features)
-    pipeline = Pipeline(stages=[*stages, estimator]).fit(train_rows)
+    try:
+        pipeline = Pipeline(stages=[*stages, estimator]).fit(train_rows)
+    finally:
+        if kept_rows is not None:
+            kept_rows.unpersist()
     model = TrainedModel(pipeline, list(spec.features), labels, indexes)
 
     # The label is made first: a scored row need not have a target.

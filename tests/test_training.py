@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sparkprof import scratch
 from sparkprof.operators import evaluate, features, indexing, paging
-from sparkprof.plans import algorithms, reports
+from sparkprof.plans import algorithms, reports, training
 from sparkprof.plans.registry import RUN_SCHEMA, current, open_registry
 from sparkprof.plans.training import TrainedModel, TrainSpec, register_run, train, validate
 
@@ -306,3 +306,19 @@ def test_label_of_text_is_refused(spark):
     df = spark.createDataFrame([("a",)], T.StructType().add("s", "string"))
     with pytest.raises(ValueError):
         features.with_label(df, "s")
+
+
+@pytest.mark.parametrize("keep, target", [("cache", "answer"), ("table", "answer"), ("table", "flag")])
+def test_tasks_of_a_fit_grow_with_the_rows(rows, monkeypatch, keep, target):
+    """Every pass of the fit reads a bounded number of rows per task, however few files hold them."""
+    found, fit = [], training.Pipeline.fit
+
+    def counted(pipeline, df, *more):
+        sizes = df.groupBy(F.spark_partition_id().alias("part")).count()
+        found.append(sizes.agg(F.max("count")).first()[0])
+        return fit(pipeline, df, *more)
+
+    monkeypatch.setattr(training, "TASK_VALUES", 30 * (3 + 1 + 10), raising=False)
+    monkeypatch.setattr(training.Pipeline, "fit", counted)
+    train(rows.coalesce(1), spec(keep=keep, target=target, partitions=2))
+    assert found and max(found) <= 30
