@@ -13,7 +13,7 @@ from sparkprof.sources import admission, delimited, json_records, workbooks
 def csv_roundtrip(spark, folder):
     """Texts with quotes, separators and line breaks, types inferred."""
     path = new_path(spark, "csv")
-    delimited.write_csv(table(spark, folder, "documents"), path)
+    delimited.write_csv(table(spark, folder, "documents"), path, quoted_newlines=True)
     rows = delimited.read_csv(spark, path, quoted_newlines=True)
     return rows.select(
         F.col("doc_id").cast("bigint"), "text", "lang", "source", F.col("n_chars").cast("bigint")

@@ -21,6 +21,8 @@ KINDS = {
     "timestamp_ntz": r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)?$",
 }
 LINE = "_line"
+# About the bytes of a file that has to be read whole.
+FILE_BYTES = 32_000_000
 
 
 def read_csv(
@@ -34,7 +36,7 @@ def read_csv(
 
     Without a schema the types are inferred, which reads the files once more.
     Spark splits large files.  Only with ``quoted_newlines=True`` may a quoted field hold
-    line breaks; every file is then read by one task.
+    line breaks; every file is then read by one task (``write_csv`` makes such files small).
     """
     reader = spark.read.options(**DIALECT, multiLine=quoted_newlines)
     if schema is not None:
@@ -42,11 +44,28 @@ def read_csv(
     return reader.options(inferSchema=True, samplingRatio=sampling_ratio).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Writes what ``read_csv`` reads back unchanged, surrounding blanks included."""
-    df.write.options(
+def write_csv(df: DataFrame, path: str, quoted_newlines: bool = False) -> None:
+    """Writes what ``read_csv`` reads back unchanged, surrounding blanks included.
+
+    With ``quoted_newlines=True``, for texts with line breaks, whose files cannot be split, a first
+    scan measures the texts, so that files hold no more rows than make some ``FILE_BYTES``.
+    """
+    writer = df.write.options(
         **DIALECT, **MOMENTS, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+    )
+    if quoted_newlines:
+        writer = writer.option("maxRecordsPerFile", _rows_per_file(df))
+    writer.csv(path)
+
+
+def _rows_per_file(df: DataFrame) -> int:
+    """By the length of the row that a byte lies in on average: long rows may lie side by side."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    size = F.lit(float(20 * len(df.columns)))
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(qcol(name)), F.lit(0))
+    sums = df.select(size.alias("size")).agg(F.sum(F.col("size") * F.col("size")), F.sum("size")).first()
+    return max(1, int(FILE_BYTES * sums[1] / sums[0])) if sums[0] else FILE_BYTES
 
 
 def infer_types(raw: DataFrame, fit: float = 1.0) -> dict[str, str]:

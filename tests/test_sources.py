@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparkprof.sources import admission, delimited, json_records, local, sinks, workbooks
 
@@ -147,3 +148,18 @@ def test_views_are_written_apart(spark, tmp_path):
         assert read(folders["two"]).first()["s"] == "a"
     with pytest.raises(ValueError):
         sinks.write_views({}, str(tmp_path), "xml")
+
+
+def test_files_that_cannot_be_split_are_small(spark, tmp_path, monkeypatch):
+    """However many rows a task writes, and however uneven they are, a file holds a bounded number of bytes."""
+    monkeypatch.setattr(delimited, "FILE_BYTES", 100_000, raising=False)
+    long = F.when(F.col("id") < 50, F.repeat(F.lit("long\n"), 2_000)).otherwise(F.repeat(F.lit("short\n"), 10))
+    rows = spark.range(4_000).coalesce(1).select("id", F.concat(long, F.col("id")).alias("text"))
+    delimited.write_csv(rows, str(tmp_path / "out"), quoted_newlines=True)
+    sizes = [f.stat().st_size for f in (tmp_path / "out").glob("*.csv")]
+    assert sum(sizes) > 500_000 and max(sizes) < 300_000 and len(sizes) < 800
+    again = delimited.read_csv(spark, str(tmp_path / "out"), rows.schema, quoted_newlines=True)
+    assert again.exceptAll(rows).isEmpty() and again.count() == 4_000
+    delimited.write_csv(rows.limit(0), str(tmp_path / "none"), quoted_newlines=True)
+    delimited.write_csv(rows.drop("text"), str(tmp_path / "numbers"), quoted_newlines=True)
+    assert delimited.read_csv(spark, str(tmp_path / "numbers"), "id bigint", quoted_newlines=True).count() == 4_000
