@@ -36,6 +36,8 @@ CHANGE = ("op", "updated_at")
 SNAPSHOTS, STATES = "_snapshots", "_states"
 # The cells of a run's confusion matrix, in the folder of its model.
 CONFUSION = "confusion"
+# Places of a bitmap, as many as bitmap_construct_agg has.
+PLACES = 32_768
 
 
 def changes(rows: DataFrame, op: str = PUT, at=None) -> DataFrame:
@@ -115,7 +117,7 @@ def current(registry: DataFrame, key: str = "id") -> DataFrame:
     The moments of an id are reduced to one number before the shuffle, a hash aggregate
     however many changes there are; the rows of that moment are then read by a join.  At
     the same moment a delete wins over a put, and of several puts the one whose fields
-    have the larger hash.
+    have the larger hash; whole rows are shuffled only where a bitmap of the ties has their place.
     """
     fields = [c for c in registry.columns if c not in (key, *CHANGE)]
     live, last = _latest(registry, key)
@@ -125,7 +127,12 @@ def current(registry: DataFrame, key: str = "id") -> DataFrame:
     last = last.join(times, [key, "_moment"])
     # A put of the last moment is there only if no delete is: their moments differ by one.
     found = puts.join(last, [key, "_moment"])
-    tied = found.filter("_times > 1").withColumn("_mark", _mark(registry, fields))
+    ties = last.filter("_times > 1")
+    place = F.pmod(F.xxhash64(key, "_moment"), F.lit(PLACES))
+    marked = ties.agg(F.bitmap_construct_agg(place)).scalar()
+    byte = F.conv(F.hex(F.substring(marked, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = puts.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)
+    tied = maybe.join(ties, [key, "_moment"]).withColumn("_mark", _mark(registry, fields))
     marks = tied.groupBy(key, "_moment").agg(F.max("_mark").alias("_mark"))
     tied = tied.join(marks, [key, "_moment", "_mark"]).dropDuplicates([key])
     chosen = [key, *fields, "updated_at"]

@@ -269,3 +269,13 @@ def test_appended_rows_are_profiled_alone(spark, tmp_path):
     R.register_dataset(rows.limit(0), "none.csv", str(tmp_path / "data"), entries, "none")
     none = R.get(current(), "none").first()
     assert (none["row_count"], none["column_count"]) == (0, 3)
+
+
+def test_only_rows_that_may_tie_are_shuffled_whole(spark):
+    rows = spark.range(600).selectExpr("concat('id ', id) AS id", "id AS n", "repeat('wide', 50) AS text")
+    again = rows.filter("n % 3 = 0").withColumn("n", F.col("n") + 1_000)
+    puts = R.changes(rows.unionByName(again), at=datetime(2024, 1, 1))
+    found = {r["id"]: r["n"] for r in R.current(puts.repartition(3)).collect()}
+    assert len(found) == 600 and all(n % 1_000 == int(i[3:]) % 1_000 for i, n in found.items())
+    assert found == {r["id"]: r["n"] for r in R.current(puts.repartition(1)).collect()}
+    assert "bitmap_construct_agg" in R.current(puts)._jdf.queryExecution().optimizedPlan().toString()
