@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkprof.columns import qcol
 from sparkprof.llm import shingles
 from sparkprof.llm.batches import bounded
-from sparkprof.llm.graph import components
+from sparkprof.llm.graph import components, local_roots
 from sparkprof.scratch import write_once
 
 # Fingerprints that one unit of the join holds on either side, on average.
@@ -278,22 +278,6 @@ def _branch(bits: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray)
     return lo
 
 
-def local_roots(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest node connected with each node 0..nodes-1."""
-    root = np.arange(nodes)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def deduplicated(
     documents: DataFrame, words: int = 5, distance: int = 6, id: str = "doc_id", text: str = "text",
     similarity: float = 0.8,

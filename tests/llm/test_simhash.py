@@ -119,6 +119,24 @@ def test_components(spark):
     assert graph.components(table.limit(0)).count() == 0
 
 
+def test_small_graphs_need_no_rounds(spark, monkeypatch):
+    """A chain and random links: one task gives the roots that rounds give, in two written tables."""
+    random = np.random.default_rng(5)
+    ends = [(n, n + 1) for n in range(1000, 1200)] + random.integers(-500, 500, (300, 2)).tolist() + [(None, 7)]
+    table = spark.createDataFrame([tuple(e) for e in ends], "a long, b long")
+    written = []
+    write = graph.write_once
+    monkeypatch.setattr(graph, "write_once", lambda df, kind: written.append(kind) or write(df, kind))
+    at_once = {tuple(r) for r in graph.components(table).collect()}
+    assert written == ["links", "roots"]
+    monkeypatch.setattr(graph, "AT_ONCE", 0)
+    assert {tuple(r) for r in graph.components(table).collect()} == at_once
+    # Rounds shrink no graph below its nodes, but copies of links go first.
+    monkeypatch.setattr(graph, "AT_ONCE", 210)
+    assert {tuple(r) for r in graph.components(table.unionAll(table)).collect()} == at_once
+    assert len(written) > 6
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(5, text), (3, text), (9, text + " more"), (4, "other words here"), (None, text), (None, "alone"),
