@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,11 @@ STATS_SCHEMA = (
 )
 ROUNDED = ("mean", "std", "q1", "median", "q3")
 SHORT_TEXT = 64
+# Values of a table that are grouped at once; of larger ones, values that a task combines and groups.
+VALUES_AT_ONCE = 2_000_000
+VALUES_COMBINED = 500_000
+VALUES_PER_TASK = 1_000_000
+_KEY = ["column", "beginning", "digest"]
 
 
 def numeric_stats(
@@ -145,28 +153,28 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     Ties go to the smaller value, NULL last; a column of an empty table has counts of 0.
     Values are grouped by their first characters and, if longer, a SHA-256 of the
     whole text, so that long texts are not shuffled.  The groups are written once; a
-    second scan reads the long texts that may win and takes the smallest.
+    second scan reads the long texts that may win and takes the smallest.  In tables of
+    more than ``VALUES_AT_ONCE`` values no task holds more than a fixed number of values.
     """
     columns = string_columns(df) if columns is None else columns
     rows = long_form(df, columns)
     beginning = F.substring("value", 1, SHORT_TEXT).alias("beginning")
     digest = F.when(F.length("value") > SHORT_TEXT, F.sha2("value", 256)).alias("digest")
     keyed = rows.select("column", "value", beginning, digest)
-    groups = keyed.groupBy("column", "beginning", "digest").agg(F.count(F.lit(1)).alias("n"))
-    groups = write_once(groups, "groups")
+    groups = write_once(_groups(keyed, df.count() * len(columns)), "groups")
     counts = groups.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq")
     )
     # One row per column on the right.
-    tied = groups.join(counts.select("column", F.col("freq").alias("n")), ["column", "n"])
-    first = tied.groupBy("column").agg(F.min("beginning").alias("beginning"))
+    tied = groups.join(F.broadcast(counts.select("column", F.col("freq").alias("n"))), ["column", "n"])
+    first = _least(tied.select("column", F.col("beginning").alias("text"))).withColumnRenamed("text", "beginning")
     # A text that is its own beginning comes before all longer ones.
     winners = tied.join(first, ["column", "beginning"]).groupBy("column", "beginning").agg(
         F.bool_or(F.col("digest").isNull()).alias("short")
     )
     long = tied.join(winners.filter("not short"), ["column", "beginning"]).select("column", "digest")
     texts = keyed.filter("digest IS NOT NULL").join(long, ["column", "digest"])
-    texts = texts.groupBy("column").agg(F.min("value").alias("text"))
+    texts = _least(texts.select("column", F.col("value").alias("text")))
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     best = named.join(counts, "column", "left").join(
         winners.filter("short").select("column", "beginning"), "column", "left"
@@ -177,6 +185,54 @@ def categorical_stats(df: DataFrame, columns: list[str] | None = None) -> DataFr
     )
 
 
+def _groups(keyed: DataFrame, values: int) -> DataFrame:
+    """``column, beginning, digest, n``; what a task holds does not grow with its share of a file."""
+    if values <= VALUES_AT_ONCE:
+        return keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    combined = keyed.select(*_KEY).mapInArrow(_combined, "column string, beginning string, digest string, n bigint")
+    spread = combined.repartition(-(-values // VALUES_PER_TASK), *_KEY)
+    return spread.groupBy(*_KEY).agg(F.sum("n").alias("n"))
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of so many values at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= VALUES_COMBINED:
+            yield from _counted(held)
+            held, rows = [], 0
+    if held:
+        yield from _counted(held)
+
+
+def _counted(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    counts = pa.Table.from_batches(batches).group_by(_KEY).aggregate([([], "count_all")])
+    return counts.select([*_KEY, "count_all"]).rename_columns([*_KEY, "n"]).to_batches()
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """The smallest ``text`` of each ``column``; NULL only if it has no other.
+
+    An aggregate of texts alone would sort all rows of a task.
+    """
+    few = rows.mapInArrow(_smallest, "column string, text string")
+    return few.groupBy("column").agg(F.min("text").alias("text"))
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[str, str | None] = {}
+    for batch in batches:
+        for name in pc.unique(batch["column"]).to_pylist():
+            text = pc.min(batch["text"].filter(pc.equal(batch["column"], name))).as_py()
+            known = found.get(name)
+            found[name] = known if text is None else text if known is None else min(known, text, key=str.encode)
+    if found:
+        names = pa.array(list(found), pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.array(list(found.values()), pa.string())], ["column", "text"])
+
+
 def stats_table(numeric: DataFrame) -> DataFrame:
     """Numeric statistics as display text, in reading order."""
     shown = ("mean", "std", "min", "q1", "median", "q3", "max")

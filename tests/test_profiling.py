@@ -250,3 +250,22 @@ def test_pages(spark):
     for limit, offset in ((0, 0), (10_001, 0), (1, -1)):
         with pytest.raises(ValueError):
             paging.page(df, "id", limit, offset)
+
+
+def test_groups_of_many_values_are_spread(spark, monkeypatch):
+    """One large split: its groups are written by as many tasks as its values need, with the same results."""
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.expr("concat('v ', id)").alias("unique"), F.expr("nullif(concat('h', id % 4), 'h1')").alias("holed"),
+        F.expr("concat(repeat('é', 70), id % 300)").alias("long"), F.expr("cast(null as string)").alias("none"),
+    )
+    whole = sorted(describe.categorical_stats(rows).collect())
+    assert [tuple(r) for r in whole if r["column"] == "unique"] == [("unique", 3000, 3000, "v 0", 1)]
+    written, write = [], describe.write_once
+    monkeypatch.setattr(describe, "write_once", lambda df, kind: written.append(df.rdd.getNumPartitions()) or write(df, kind))
+    monkeypatch.setattr(describe, "VALUES_AT_ONCE", 1000)
+    monkeypatch.setattr(describe, "VALUES_COMBINED", 700)
+    monkeypatch.setattr(describe, "VALUES_PER_TASK", 500)
+    assert sorted(describe.categorical_stats(rows).collect()) == whole
+    assert written == [24]
+    plan = describe.categorical_stats(rows)._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") >= 2
