@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkprof.columns import logical_type, qcol, quoted, require_columns, split_by_kind
 from sparkprof.operators import evaluate as E
+from sparkprof.operators.boosting import by_cells
 from sparkprof.operators.features import (
     SEED,
     check_share,
@@ -266,7 +267,7 @@ def _train_on(rows: DataFrame, spec: TrainSpec, algorithm: Algorithm, parts: int
     params.pop("labelCol", None)
     stages = feature_stages(rows, spec.features)
     try:
-        pipeline = Pipeline(stages=[*stages, estimator]).fit(train_rows)
+        pipeline = Pipeline(stages=[*stages, by_cells(estimator)]).fit(train_rows)
     finally:
         if kept_rows is not None:
             kept_rows.unpersist()
