@@ -82,7 +82,7 @@ def impurity(n, s, q):
 
 def by_cells(estimator: Estimator) -> Estimator:
     """What fits the estimator's model, of boosted trees by passes over cells."""
-    return Boosting(estimator) if isinstance(estimator, GBTRegressor) else estimator
+    return Boosting(estimator) if isinstance(estimator, GBTClassifier | GBTRegressor) else estimator
 
 
 class Boosting(Estimator):

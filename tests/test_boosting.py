@@ -1,5 +1,5 @@
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import functions as F
@@ -137,3 +137,14 @@ def test_training_a_regressor_does_not_pass_over_rows_for_every_tree(rows, monke
     result = trained(rows, "gbt_reg", tmp_path, model_type="regression", target="y")
     assert isinstance(result.model.pipeline.stages[-1], GBTRegressionModel)
     assert result.run.first()["metrics"]["r2"] > 0.5
+
+
+def test_training_a_classifier_does_not_pass_over_rows_for_every_tree(rows, monkeypatch, tmp_path):
+    def refused(*_):
+        raise AssertionError("trees are grown from single rows")
+
+    monkeypatch.setattr(GBTClassifier, "_fit", refused)
+    named = rows.withColumn("c", F.when(F.col("c") > 0, "dear").otherwise("cheap"))
+    result = trained(named, "gbt", tmp_path, model_type="classification", target="c")
+    assert isinstance(result.model.pipeline.stages[-1], GBTClassificationModel)
+    assert result.run.first()["metrics"]["roc_auc"] > 0.7
